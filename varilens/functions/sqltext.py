@@ -42,4 +42,4 @@ WHITESPACE_SQL = (r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200
 
 
 def tokens_sql(col: str) -> str:
-    return f"list_filter(regexp_split_to_array({col}, '{WHITESPACE_SQL}'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array({col}, '{WHITESPACE_SQL}'), lambda x: x <> '')"

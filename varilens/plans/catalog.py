@@ -529,3 +529,177 @@ def q_before_after(spark, sf):
     c = FX.cases(spark, sf)
     kept = TV.filter_ethnicity_mentions(c)
     return R.before_after_examples(kept, TV.expand_to_variants(kept, fallback_prepend=True), 10)
+
+
+# ------------------------------------------------- B: pairwise overlap ----
+
+from ..operators import embedding as E  # noqa: E402
+from ..operators import overlap as B  # noqa: E402
+
+_BLEU_CORE = FX.RESPONSES_SQL + f""",
+resp AS (SELECT case_id, variant_idx AS idx, {Q.tokens_sql('response')} AS tokens
+         FROM responses WHERE response IS NOT NULL),
+grams AS (
+  SELECT case_id, idx, n, array_to_string(list_slice(tokens, i, i + n - 1), ' ') AS gram
+  FROM (SELECT case_id, idx, n, tokens, unnest(generate_series(1, len(tokens) - n + 1)) AS i
+        FROM resp, (VALUES (1), (2), (3), (4)) v(n) WHERE len(tokens) >= n)
+),
+gc AS (SELECT case_id, idx, n, gram, count(*) AS c FROM grams GROUP BY ALL),
+m AS (
+  SELECT a.case_id, a.idx AS i, b.idx AS j,
+         sum(CASE WHEN a.n = 1 THEN least(a.c, b.c) END) AS m1, sum(CASE WHEN a.n = 2 THEN least(a.c, b.c) END) AS m2,
+         sum(CASE WHEN a.n = 3 THEN least(a.c, b.c) END) AS m3, sum(CASE WHEN a.n = 4 THEN least(a.c, b.c) END) AS m4
+  FROM gc a JOIN gc b ON a.case_id = b.case_id AND a.n = b.n AND a.gram = b.gram AND a.idx < b.idx
+  GROUP BY ALL
+),
+allpairs AS (
+  SELECT a.case_id, a.idx AS i, b.idx AS j, len(a.tokens) AS rl, len(b.tokens) AS cl
+  FROM resp a JOIN resp b ON a.case_id = b.case_id AND a.idx < b.idx
+),
+scored AS (
+  SELECT p.case_id, p.i, p.j,
+         CASE WHEN coalesce(m.m1, 0) = 0 THEN 0.0 ELSE
+           (CASE WHEN p.cl > p.rl THEN 1.0 ELSE exp(1 - p.rl / p.cl) END) * exp((
+             ln(CASE WHEN coalesce(m.m1, 0) > 0 THEN m.m1 ELSE 0.1 END / greatest(1, p.cl)) +
+             ln(CASE WHEN coalesce(m.m2, 0) > 0 THEN m.m2 ELSE 0.1 END / greatest(1, p.cl - 1)) +
+             ln(CASE WHEN coalesce(m.m3, 0) > 0 THEN m.m3 ELSE 0.1 END / greatest(1, p.cl - 2)) +
+             ln(CASE WHEN coalesce(m.m4, 0) > 0 THEN m.m4 ELSE 0.1 END / greatest(1, p.cl - 3))) / 4) END AS bleu
+  FROM allpairs p LEFT JOIN m USING (case_id, i, j)
+),
+case_bleu AS (
+  SELECT c.case_id, CASE WHEN c.k < 2 THEN NULL ELSE (SELECT avg(bleu) FROM scored s WHERE s.case_id = c.case_id) END AS bleu
+  FROM (SELECT case_id, count(response) AS k FROM responses GROUP BY 1) c
+)"""
+
+
+@register("bleu_across_variants", W(_BLEU_CORE, "SELECT case_id, round(bleu, 9) AS bleu FROM case_bleu"))
+def q_bleu(spark, sf):
+    return r9(B.bleu_across_variants(FX.responses(spark, sf), response_col="response"))
+
+
+@register("pair_bleu", W(_BLEU_CORE, "SELECT case_id, i AS ref_idx, j AS cand_idx, round(bleu, 9) AS bleu FROM scored WHERE bleu > 0"))
+def q_pair_bleu(spark, sf):
+    """B1 over every pair that shares a token (pairs without one score 0 and are not rows)."""
+    return r9(B.bleu_pair_scores(FX.responses(spark, sf), response_col="response"))
+
+
+@register("low_consistency_flag", W(_BLEU_CORE, "SELECT case_id, round(bleu, 9) AS bleu FROM case_bleu WHERE bleu < 0.5"))
+def q_low(spark, sf):
+    return r9(B.low_consistency(B.bleu_across_variants(FX.responses(spark, sf), response_col="response")))
+
+
+@register("consistency_summary", W(_BLEU_CORE, """
+SELECT round(avg(bleu), 9) AS mean_score, CAST(count(bleu) AS BIGINT) AS n_scored FROM case_bleu"""))
+def q_consistency(spark, sf):
+    from ..operators.answers import consistency_summary
+    return r9(consistency_summary(B.bleu_across_variants(FX.responses(spark, sf), response_col="response"), "bleu"))
+
+
+@register("rouge_l_across_variants")
+def q_rouge(spark, sf):
+    return r9(B.rouge_l_across_variants(FX.responses(spark, sf), response_col="response"))
+
+
+@register("pair_rouge_l")
+def q_pair_rouge(spark, sf):
+    """B3 on consecutive turns of each conversation (reference = earlier turn)."""
+    c = FX.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    pairs = c.join(nxt, ["conv_id", "turn"])
+    return r9(B.pair_rouge_l(pairs, reference_col="text", candidate_col="next_text")
+              .select("conv_id", "turn", "rouge_l"))
+
+
+# ----------------------------------------------------- E: embeddings ----
+
+@register("cosine_similarity", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.vec_id, round(CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0
+       ELSE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) END, 9) AS cosine
+FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""")
+def q_cosine(spark, sf):
+    e = FX.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next_embedding"))
+    return r9(e.join(nxt, "vec_id").select("vec_id", E.cosine_similarity("embedding", "next_embedding").alias("cosine")))
+
+
+@register("cossim_across_variants", W(FX.EMBEDDED_RESPONSES_SQL, """
+pairs AS (
+  SELECT a.case_id, CASE WHEN list_dot_product(a.embedding, a.embedding) = 0 OR list_dot_product(b.embedding, b.embedding) = 0
+         THEN 0.0 ELSE list_dot_product(a.embedding, b.embedding)
+              / (sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding))) END AS cs
+  FROM embedded a JOIN embedded b ON a.case_id = b.case_id AND a.vec_id < b.vec_id)""", """
+SELECT c.case_id, round(CASE WHEN c.k < 2 THEN NULL ELSE (SELECT avg(cs) FROM pairs p WHERE p.case_id = c.case_id) END, 9) AS cossim
+FROM (SELECT case_id, count(*) AS k FROM embedded WHERE embedding IS NOT NULL GROUP BY 1) c"""))
+def q_cossim(spark, sf):
+    return r9(E.cossim_across_variants(FX.embedded_responses(spark, sf)))
+
+
+_DIRECTION_SQL = FX.SCORED_CASES_SQL + """,
+pairs AS (SELECT CAST(f.embedding AS DOUBLE[]) AS fe, CAST(m.embedding AS DOUBLE[]) AS me
+          FROM embeddings f JOIN embeddings m ON m.vec_id = f.vec_id + 1 WHERE f.vec_id % 2 = 0),
+dd AS (SELECT unnest(generate_series(1, len(fe))) AS dim, unnest(fe) AS fv, unnest(me) AS mv FROM pairs),
+g AS (SELECT dim, avg(fv - mv) AS gv FROM dd GROUP BY dim),
+gn AS (SELECT sqrt(sum(gv * gv)) AS norm FROM g),
+ed AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS dim, unnest(embedding) AS ev FROM scored_cases),
+scores AS (
+  SELECT s.*, (SELECT sum(ed.ev * g.gv) FROM ed JOIN g USING (dim) WHERE ed.vec_id = s.vec_id) / (SELECT norm FROM gn)
+         AS gender_bias_score
+  FROM scored_cases s
+),
+labeled AS (SELECT *, CASE WHEN gender_male = 1 THEN 'male' WHEN gender_female = 1 THEN 'female'
+                         WHEN gender_none = 1 THEN 'none' ELSE 'unknown' END AS gender FROM scores)"""
+
+
+def _scored_rows(spark, sf):
+    # d floats (bounded by the embedding dimension), used as a literal array.
+    direction = E.gender_direction_mean(FX.sentence_pairs(spark, sf)).first()["direction"]
+    return E.gender_bias_score(FX.scored_cases(spark, sf), direction)
+
+
+@register("gender_bias_score", W(_DIRECTION_SQL, "SELECT vec_id, round(gender_bias_score, 9) AS gender_bias_score FROM scores"))
+def q_bias_score(spark, sf):
+    return r9(_scored_rows(spark, sf).select("vec_id", "gender_bias_score"))
+
+
+@register("gender_bias_by_gender", W(_DIRECTION_SQL, """
+SELECT gender, round(avg(gender_bias_score), 9) AS mean, round(stddev_samp(gender_bias_score), 9) AS std
+FROM labeled WHERE gender_bias_score IS NOT NULL GROUP BY gender"""))
+def q_bias_gender(spark, sf):
+    return r9(E.bias_by_gender(_scored_rows(spark, sf)))
+
+
+@register("gender_bias_by_ethnicity", W(_DIRECTION_SQL, """
+SELECT ethnicity, round(avg(gender_bias_score), 9) AS mean, round(stddev_samp(gender_bias_score), 9) AS std
+FROM labeled WHERE gender_bias_score IS NOT NULL AND ethnicity IS NOT NULL GROUP BY ethnicity"""))
+def q_bias_eth(spark, sf):
+    return r9(E.bias_by_ethnicity(_scored_rows(spark, sf)))
+
+
+@register("gender_bias_crosstab", W(_DIRECTION_SQL, """
+SELECT gender, ethnicity, round(avg(gender_bias_score), 9) AS mean
+FROM labeled WHERE gender_bias_score IS NOT NULL AND ethnicity IS NOT NULL GROUP BY gender, ethnicity"""))
+def q_bias_x(spark, sf):
+    return r9(E.bias_crosstab(_scored_rows(spark, sf)))
+
+
+@register("median_bias", W(_DIRECTION_SQL, "SELECT round(median(gender_bias_score), 9) AS mb FROM scores"))
+def q_median(spark, sf):
+    return r9(E.median_bias(_scored_rows(spark, sf)))
+
+
+@register("original_bias", W(_DIRECTION_SQL, """
+SELECT gender, 'original' AS ethnicity, round(avg(gender_bias_score), 9) AS mean,
+       round(stddev_samp(gender_bias_score), 9) AS std
+FROM labeled WHERE gender_bias_score IS NOT NULL GROUP BY gender"""))
+def q_original_bias(spark, sf):
+    """The bias summary of unexpanded rows tagged with ethnicity 'original'."""
+    rows = _scored_rows(spark, sf).withColumn("ethnicity", F.lit("original"))
+    return r9(E.bias_crosstab(rows).join(E.bias_by_gender(rows).select("gender", "std"), "gender"))
+
+
+@register("gender_direction")
+def q_direction(spark, sf):
+    """PCA direction of the sentence-pair differences (rows-only; numpy-checked in tests)."""
+    g = E.gender_direction_pca(FX.sentence_pairs(spark, sf))
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(g)], "dim int, loading double")
