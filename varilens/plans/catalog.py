@@ -261,7 +261,7 @@ def q_disparity(spark, sf):
     return r9(A.performance_disparity(_cube(spark, sf)))
 
 
-CELLS = CUBE + """,
+CELLS_TAIL = """,
 cells0 AS (
   SELECT llm, answer_idx AS label, ethnicity || '_' || gender AS version,
          sum(n) - sum(n_correct) AS c0, sum(n_correct) AS c1
@@ -271,8 +271,9 @@ cells AS (
   SELECT llm, label, version, 0 AS perf, c0 AS o FROM cells0 WHERE c0 > 0
   UNION ALL SELECT llm, label, version, 1, c1 FROM cells0 WHERE c1 > 0
 )"""
+CELLS = CUBE + CELLS_TAIL
 
-VS = CELLS + """,
+VS_TAIL = """,
 e0 AS (
   SELECT *, sum(o) OVER (PARTITION BY llm, label, version) * sum(o) OVER (PARTITION BY llm, label, perf)
             / sum(o) OVER (PARTITION BY llm, label) AS e
@@ -306,6 +307,17 @@ vs AS (
          CAST(any_value(n) AS BIGINT) AS n, CAST((any_value(r) - 1) * (any_value(c) - 1) AS INTEGER) AS dof
   FROM terms WHERE r > 1 AND c > 1 GROUP BY llm, label
 )"""
+VS = CELLS + VS_TAIL
+
+SKEW_TAIL = """,
+st AS (SELECT llm, avg(cramers_v) AS mu, count(*) AS k, sum(n) AS n FROM vs WHERE cramers_v IS NOT NULL GROUP BY llm),
+mo AS (SELECT v.llm, avg(power(v.cramers_v - st.mu, 2)) AS m2, avg(power(v.cramers_v - st.mu, 3)) AS m3
+       FROM vs v JOIN st USING (llm) WHERE v.cramers_v IS NOT NULL GROUP BY v.llm),
+skew AS (
+  SELECT llm, CASE WHEN m2 <= power(1e-15 * mu, 2) THEN NULL ELSE m3 / power(m2, 1.5) END AS skewsize,
+         CAST(n AS BIGINT) AS n_cases
+  FROM st JOIN mo USING (llm)
+)"""
 
 
 @register("contingency_by_label", W(CELLS, "SELECT llm, label, version, perf, CAST(o AS BIGINT) AS o FROM cells"))
@@ -318,13 +330,7 @@ def q_cramers(spark, sf):
     return r9(A.cramers_v_by_label(A.contingency_by_label(_cube(spark, sf))))
 
 
-@register("skewsize", W(VS, """
-st AS (SELECT llm, avg(cramers_v) AS mu, count(*) AS k, sum(n) AS n FROM vs WHERE cramers_v IS NOT NULL GROUP BY llm),
-mo AS (SELECT v.llm, avg(power(v.cramers_v - st.mu, 2)) AS m2, avg(power(v.cramers_v - st.mu, 3)) AS m3
-       FROM vs v JOIN st USING (llm) WHERE v.cramers_v IS NOT NULL GROUP BY v.llm)""", """
-SELECT llm, round(CASE WHEN m2 <= power(1e-15 * mu, 2) THEN NULL ELSE m3 / power(m2, 1.5) END, 9) AS skewsize,
-       CAST(n AS BIGINT) AS n_cases
-FROM st JOIN mo USING (llm)"""))
+@register("skewsize", W(VS + SKEW_TAIL, "SELECT llm, round(skewsize, 9) AS skewsize, n_cases FROM skew"))
 def q_skewsize(spark, sf):
     return r9(A.skewsize_from_cube(_cube(spark, sf)))
 
@@ -536,7 +542,9 @@ def q_before_after(spark, sf):
 from ..operators import embedding as E  # noqa: E402
 from ..operators import overlap as B  # noqa: E402
 
-_BLEU_CORE = FX.RESPONSES_SQL + f""",
+def bleu_ctes(responses_cte: str) -> str:
+    """BLEU oracle CTE chain over a CTE ``responses(case_id, variant_idx, response)`` (brute-force pairs)."""
+    return responses_cte + f""",
 resp AS (SELECT case_id, variant_idx AS idx, {Q.tokens_sql('response')} AS tokens
          FROM responses WHERE response IS NOT NULL),
 grams AS (
@@ -572,6 +580,9 @@ case_bleu AS (
 )"""
 
 
+_BLEU_CORE = bleu_ctes(FX.RESPONSES_SQL)
+
+
 @register("bleu_across_variants", W(_BLEU_CORE, "SELECT case_id, round(bleu, 9) AS bleu FROM case_bleu"))
 def q_bleu(spark, sf):
     return r9(B.bleu_across_variants(FX.responses(spark, sf), response_col="response"))
@@ -703,3 +714,77 @@ def q_direction(spark, sf):
     """PCA direction of the sentence-pair differences (rows-only; numpy-checked in tests)."""
     g = E.gender_direction_pca(FX.sentence_pairs(spark, sf))
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(g)], "dim int, loading double")
+
+
+# ---------------------------------------------------------- P: prompts ----
+
+from ..operators import prompts as P  # noqa: E402
+
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_OPTS_SQL = ("concat_ws(chr(10), 'A. ' || option_a, 'B. ' || option_b, 'C. ' || option_c, 'D. ' || option_d)")
+_BIND_SQL = {"CLINICAL_CASE": "case_text", "QUESTION": "question", "OPTIONS": _OPTS_SQL, "SOLUTION": "answer_idx",
+             "SPECIFIC": "''", "question": "question", "answer_choices": _OPTS_SQL, "few-shot examples": "''"}
+
+
+def _render_sql(template: str) -> str:
+    parts = [_sql_lit(v) if k == "lit" else f"coalesce({_BIND_SQL[v]}, '')" for k, v in P.split_template(template)]
+    return " || ".join(parts)
+
+
+@register("options_block", W(KEPT_ONLY, f"SELECT case_id, {_OPTS_SQL} AS options FROM kept"))
+def q_options(spark, sf):
+    kept = TV.filter_ethnicity_mentions(FX.cases(spark, sf))
+    return kept.select("case_id", P.options_block().alias("options"))
+
+
+@register("render_prompt", W(KEPT_ONLY, f"SELECT case_id, {_render_sql(P.TEMPLATES['p1'])} AS prompt FROM kept"))
+def q_render(spark, sf):
+    kept = TV.filter_ethnicity_mentions(FX.cases(spark, sf))
+    return P.render_prompt(kept, P.TEMPLATES["p1"]).select("case_id", "prompt")
+
+
+@register("prompt_grid", W(KEPT_ONLY, " UNION ALL ".join(
+    f"SELECT case_id, '{pid}' AS prompt_id, {_render_sql(t)} AS prompt FROM kept" for pid, t in P.TEMPLATES.items())))
+def q_grid(spark, sf):
+    kept = TV.filter_ethnicity_mentions(FX.cases(spark, sf))
+    return P.prompt_grid(kept).select("case_id", "prompt_id", "prompt")
+
+
+@register("parse_answer", r"""
+SELECT conv_id, turn, nullif(regexp_extract(text, '(^|[^\pL\pN_])([A-D])([^\pL\pN_]|$)', 2), '') AS parsed_answer
+FROM conversations""")
+def q_parse(spark, sf):
+    c = FX.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", X.parse_answer("text").alias("parsed_answer"))
+
+
+_P5_LONG = FX.prompt_outputs_sql() + """,
+long AS (
+  """ + " UNION ALL ".join(
+    f"SELECT '{p}' AS llm, answer_idx, ethnicity, gender_male, gender_female, gender_none, answer_{p} AS answer "
+    f"FROM prompt_outputs" for p in FX.PROMPT_IDS) + f"""
+),
+cube AS (
+  SELECT llm, answer_idx, ethnicity, {GENDER_SQL} AS gender, COUNT(*) AS n,
+         SUM(CASE WHEN answer = answer_idx THEN 1 ELSE 0 END) AS n_correct
+  FROM long GROUP BY ALL
+)""" + CELLS_TAIL + VS_TAIL + SKEW_TAIL + ",\n" + bleu_ctes("""responses AS (
+  """ + " UNION ALL ".join(
+    f"SELECT '{p}|' || case_id AS case_id, variant_idx, explanation_{p} AS response FROM prompt_outputs"
+    for p in FX.PROMPT_IDS) + """
+)""")
+
+
+@register("compare_prompts", W(_P5_LONG, """
+pb AS (SELECT split_part(case_id, '|', 1) AS prompt_id, avg(bleu) AS mean_pairwise_bleu FROM case_bleu GROUP BY 1)""", """
+SELECT coalesce(s.llm, pb.prompt_id) AS prompt_id, round(s.skewsize, 9) AS cramers_v_skew,
+       round(pb.mean_pairwise_bleu, 9) AS mean_pairwise_bleu, s.n_cases
+FROM skew s FULL JOIN pb ON s.llm = pb.prompt_id"""))
+def q_compare(spark, sf):
+    df = FX.prompt_outputs(spark, sf)
+    return r9(P.compare_prompts(df, answer_cols={p: f"answer_{p}" for p in FX.PROMPT_IDS},
+                                explanation_cols={p: f"explanation_{p}" for p in FX.PROMPT_IDS}))

@@ -209,3 +209,40 @@ scored_cases AS (
          ['White', 'Black', 'Asian', 'Hispanic', 'Arab'][vec_id % 5 + 1] AS ethnicity
   FROM embeddings
 )"""
+
+
+# --------------------------------------------------------- prompt outputs ----
+
+# Prompt conditions compared in the prompt-comparison fixture (answers shift by 3 per prompt).
+PROMPT_IDS = ["p0", "p1", "p2"]
+
+
+def prompt_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with one answer and one explanation per prompt condition."""
+    v = variants(spark, sf_dir, fallback_prepend=True)
+    m, a, b, c, n = MODELS[0]
+    cols = {}
+    g = (F.when(F.col("gender_male") == 1, "male").when(F.col("gender_female") == 1, "female")
+         .when(F.col("gender_none") == 1, "none").otherwise("unknown"))
+    for k, p in enumerate(PROMPT_IDS):
+        ans = _answer(F.col("case_key"), F.col("variant_idx") + 3 * k, a, b, c, n)
+        cols[f"answer_{p}"] = ans
+        cols[f"explanation_{p}"] = F.concat_ws(" ", F.lit("The answer is"), ans, F.lit("for this"),
+                                               F.col("ethnicity"), g, F.lit("patient."))
+    return v.withColumns(cols)
+
+
+def prompt_outputs_sql() -> str:
+    m, a, b, c, n = MODELS[0]
+    g = ("CASE WHEN gender_male = 1 THEN 'male' WHEN gender_female = 1 THEN 'female' "
+         "WHEN gender_none = 1 THEN 'none' ELSE 'unknown' END")
+    cols = []
+    for k, p in enumerate(PROMPT_IDS):
+        ans = _answer_sql(a, b, c, n).replace("variant_idx", f"(variant_idx + {3 * k})")
+        cols.append(f"{ans} AS answer_{p}")
+        cols.append(f"concat_ws(' ', 'The answer is', {ans}, 'for this', ethnicity, {g}, 'patient.') AS explanation_{p}")
+    return variants_sql(True) + """,
+prompt_outputs AS (
+  SELECT *, """ + ",\n         ".join(cols) + """
+  FROM variants
+)"""
