@@ -788,3 +788,55 @@ def q_compare(spark, sf):
     df = FX.prompt_outputs(spark, sf)
     return r9(P.compare_prompts(df, answer_cols={p: f"answer_{p}" for p in FX.PROMPT_IDS},
                                 explanation_cols={p: f"explanation_{p}" for p in FX.PROMPT_IDS}))
+
+
+# ------------------------------------------------------ H: page extraction ----
+
+from ..operators import extract as H  # noqa: E402
+
+
+def _pages(spark, sf):
+    return H.extract_pages(FX.table(spark, sf, "pages"))
+
+
+@register("extract_listing")
+def q_listing(spark, sf):
+    return H.extract_listing(_pages(spark, sf))
+
+
+@register("filter_year_cutoff")
+def q_year(spark, sf):
+    """H2, variant that keeps undated links and reports the year."""
+    return H.filter_year_cutoff(H.extract_listing(_pages(spark, sf)), keep_undated=True, as_year=True)
+
+
+@register("extract_answer_key")
+def q_answer_key(spark, sf):
+    return H.extract_answer_key(_pages(spark, sf))
+
+
+@register("extract_sections")
+def q_sections(spark, sf):
+    return _pages(spark, sf).select("page_id", "paragraphs", "diagnosis", "chosen_option", "case_paras",
+                                    "discussion_paras")
+
+
+@register("has_image")
+def q_has_image(spark, sf):
+    return _pages(spark, sf).select("page_id", "has_image")
+
+
+@register("article_type")
+def q_article_type(spark, sf):
+    return _pages(spark, sf).select("page_id", "article_type", "super_class")
+
+
+@register("extract_mcq")
+def q_mcq(spark, sf):
+    return _pages(spark, sf).select("page_id", "mcq_title", "mcq_answers")
+
+
+@register("assemble_raw_cases")
+def q_assemble(spark, sf):
+    """H8 + J4: link index joined with the extracted pages by URL."""
+    return H.assemble_raw_cases(_pages(spark, sf), FX.link_index(spark, sf))

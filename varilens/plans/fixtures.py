@@ -246,3 +246,14 @@ prompt_outputs AS (
   SELECT *, """ + ",\n         ".join(cols) + """
   FROM variants
 )"""
+
+
+# -------------------------------------------------------------- link index ----
+
+def link_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link index over ``pages``: id, link (= url), publication_year, answer key."""
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    return p.select(k.alias("id"), F.col("url").alias("link"), F.lit(None).cast("string").alias("publication_year"),
+                    F.substring(F.lit("ABCD"), (k % 4 + 1).cast("int"), 1).alias("answer_idx"),
+                    F.concat(F.lit("answer "), k.cast("string")).alias("answer"))
