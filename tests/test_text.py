@@ -72,7 +72,8 @@ def test_parse_answer(spark):
 
 # ---- parity with Python re on generated text ----
 _ALPHA = st.sampled_from(["a", "A", "An", "an", " ", "-", "year", "old", "patient", "Patient", "45", "man", "he",
-                          "White", "white", "é", "K", "Indian", "x", "_", "her", "Native American", "\n", "."])
+                          "White", "white", "é", "K", "Indian", "x", "_", "her", "Native American", "\n", ".", "\u0130", "\u0131", "\u017f",
+                          "\u212a", "Pakistan\u0131", "pat\u0131ent", "Bla\u212aK", "\u017fhe", "h\u0130s", "\u00c9"])
 _TEXT = st.lists(_ALPHA, max_size=25).map("".join)
 
 _PY_FILT = re.compile(r"\b(?:" + "|".join(re.escape(k) for k in S.ETHNICITY_KEYWORDS) + r")\b", re.I)
@@ -89,7 +90,7 @@ def _py_inject(text, eth, desc, prepend):
     return res
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(_TEXT, min_size=1, max_size=12))
 def test_python_re_parity(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
