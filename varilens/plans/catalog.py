@@ -840,3 +840,117 @@ def q_mcq(spark, sf):
 def q_assemble(spark, sf):
     """H8 + J4: link index joined with the extracted pages by URL."""
     return H.assemble_raw_cases(_pages(spark, sf), FX.link_index(spark, sf))
+
+
+# ------------------------------------------- sources, report sections, facade ----
+
+from ..sources import readers as SR  # noqa: E402
+
+
+@register("load_parquet", "SELECT doc_id, lang, source, n_chars FROM documents")
+def q_load_parquet(spark, sf):
+    """Declared-schema read; only the projected columns reach the scan."""
+    from pyspark.sql import types as T2
+    schema = T2.StructType([T2.StructField("doc_id", T2.LongType()), T2.StructField("lang", T2.StringType()),
+                            T2.StructField("source", T2.StringType()), T2.StructField("n_chars", T2.LongType())])
+    return SR.load(spark, f"{sf}/documents.parquet", schema=schema)
+
+
+_DTYPES = {"case_key": "bigint", "gender_male": "int", "gender_female": "int", "gender_none": "int",
+           "variant_idx": "int"}
+
+
+@register("schema_table", W(VARIANTS, "SELECT column_name, dtype, n_null FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{_DTYPES.get(c, 'string')}' AS dtype, "
+    f"CAST(count(*) - count({c}) AS BIGINT) AS n_null FROM variants" for c in _NULL_COLS) + ")"))
+def q_schema_table(spark, sf):
+    """R2: column, Spark type and null count of the variant table (one aggregate pass)."""
+    v = FX.variants(spark, sf).select(*_NULL_COLS)
+    types = spark.createDataFrame([(c, t) for c, t in v.dtypes], "column_name string, dtype string")
+    prof = V.null_profile(v).withColumn("n_null", F.col("n_null").cast("long"))
+    # Both sides have one row per column of the schema (bounded by the schema width).
+    return prof.join(F.broadcast(types), "column_name").select("column_name", "dtype", "n_null")
+
+
+@register("report_answer_distribution", W(VARIANTS, "SELECT answer_idx, CAST(count(*) AS BIGINT) AS n FROM variants WHERE answer_idx IS NOT NULL GROUP BY 1"))
+def q_report_answers(spark, sf):
+    """R5 (same numbers as V14)."""
+    return V.answer_distribution(FX.variants(spark, sf))
+
+
+@register("bias_sections", W(_DIRECTION_SQL, """
+SELECT 'by_gender' AS section, gender AS key1, CAST(NULL AS VARCHAR) AS key2, round(avg(gender_bias_score), 9) AS mean,
+       round(stddev_samp(gender_bias_score), 9) AS std FROM labeled WHERE gender_bias_score IS NOT NULL GROUP BY gender
+UNION ALL
+SELECT 'by_ethnicity', ethnicity, NULL, round(avg(gender_bias_score), 9), round(stddev_samp(gender_bias_score), 9)
+FROM labeled WHERE gender_bias_score IS NOT NULL AND ethnicity IS NOT NULL GROUP BY ethnicity
+UNION ALL
+SELECT 'crosstab', gender, ethnicity, round(avg(gender_bias_score), 9), NULL
+FROM labeled WHERE gender_bias_score IS NOT NULL AND ethnicity IS NOT NULL GROUP BY gender, ethnicity
+UNION ALL
+SELECT 'median', NULL, NULL, round(median(gender_bias_score), 9), NULL FROM scores"""))
+def q_bias_sections(spark, sf):
+    """E6-E9 as one long table."""
+    s = _scored_rows(spark, sf)
+    none = F.lit(None).cast("string")
+    g = E.bias_by_gender(s).select(F.lit("by_gender").alias("section"), F.col("gender").alias("key1"),
+                                   none.alias("key2"), "mean", "std")
+    e = E.bias_by_ethnicity(s).select(F.lit("by_ethnicity").alias("section"), F.col("ethnicity").alias("key1"),
+                                      none.alias("key2"), "mean", "std")
+    x = E.bias_crosstab(s).select(F.lit("crosstab").alias("section"), F.col("gender").alias("key1"),
+                                  F.col("ethnicity").alias("key2"), "mean", F.lit(None).cast("double").alias("std"))
+    m = E.median_bias(s).select(F.lit("median").alias("section"), none.alias("key1"), none.alias("key2"),
+                                F.col("mb").alias("mean"), F.lit(None).cast("double").alias("std"))
+    return r9(g.unionByName(e).unionByName(x).unionByName(m))
+
+
+@register("report_table", W(VARIANTS, f"""
+per AS (SELECT case_id, max(gender_none) AS neutral FROM variants GROUP BY 1)""", f"""
+SELECT 'overview' AS section, 'n_cases' AS key1, CAST(NULL AS VARCHAR) AS key2, CAST(count(DISTINCT case_id) AS DOUBLE) AS value FROM variants
+UNION ALL SELECT 'overview', 'n_rows', NULL, CAST(count(*) AS DOUBLE) FROM variants
+UNION ALL SELECT 'overview', 'n_dropped', NULL,
+  CAST((SELECT count_if(coalesce({Q.ethnicity_mention_sql('case_text')}, false)) FROM cases) AS DOUBLE)
+UNION ALL SELECT 'null_count', column_name, NULL, CAST(n_null AS DOUBLE) FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_null FROM variants" for c in _NULL_COLS) + f""")
+UNION ALL SELECT 'original_gender', 'gender keyword present', NULL, CAST(count_if(coalesce(neutral, 0) = 0) AS DOUBLE) FROM per
+UNION ALL SELECT 'original_gender', 'no gender keyword', NULL, CAST(count_if(neutral = 1) AS DOUBLE) FROM per
+UNION ALL SELECT 'gender', {GENDER_SQL}, NULL, CAST(count(*) AS DOUBLE) FROM variants GROUP BY 2
+UNION ALL SELECT 'ethnicity', ethnicity, NULL, CAST(count(*) AS DOUBLE) FROM variants WHERE ethnicity IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'crosstab', {GENDER_SQL}, ethnicity, CAST(count(*) AS DOUBLE) FROM variants WHERE ethnicity IS NOT NULL GROUP BY 2, 3
+UNION ALL SELECT 'answer', answer_idx, NULL, CAST(count(*) AS DOUBLE) FROM variants WHERE answer_idx IS NOT NULL GROUP BY 2"""))
+def q_report_table(spark, sf):
+    """The report sections as one long table."""
+    c = FX.cases(spark, sf)
+    return R.report_table(TV.build_variants(c, fallback_prepend=True), TV.count_ethnicity_mentions(c))
+
+
+@register("evaluate_summary", W(CUBE + CELLS_TAIL + VS_TAIL + SKEW_TAIL, """
+g AS (SELECT llm, ethnicity, gender, sum(n_correct) / sum(n) AS acc FROM cube
+      WHERE ethnicity IS NOT NULL GROUP BY llm, ethnicity, gender),
+d AS (SELECT llm, max(acc) - min(acc) AS max_gap, stddev_pop(acc) AS std FROM g GROUP BY llm),
+a AS (SELECT llm, sum(n_correct) / sum(n) AS accuracy FROM cube GROUP BY llm)""", """
+SELECT a.llm, round(a.accuracy, 9) AS accuracy, round(d.max_gap, 9) AS max_gap, round(d.std, 9) AS std,
+       round(s.skewsize, 9) AS skewsize, s.n_cases
+FROM a JOIN d USING (llm) LEFT JOIN skew s USING (llm)"""))
+def q_evaluate(spark, sf):
+    """The scalar part of an evaluation bundle, one row per model."""
+    from .evaluate import evaluate
+    p = FX.predictions(spark, sf)
+    rows = None
+    for col in LLM_COLS:
+        res = evaluate(p, llm_col=col)
+        one = (res.accuracy.select("llm", "accuracy")
+               .join(res.performance_disparity.select("llm", "max_gap", "std"), "llm")
+               .join(res.skewsize, "llm", "left"))
+        rows = one if rows is None else rows.unionByName(one)
+    return r9(rows)
+
+
+@register("embed_dedup")
+def q_embed_dedup(spark, sf):
+    """Every distinct response text embedded once (feature-hashing embedder as a stand-in model)."""
+    from ..operators.embedding import embed_distinct
+    from ..functions.hashing import hashing_embedder
+    resp = FX.responses(spark, sf)
+    out = embed_distinct(resp, "response", hashing_embedder(64))
+    return E.cossim_across_variants(out.where(F.col("embedding").isNotNull()))
