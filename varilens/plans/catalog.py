@@ -954,3 +954,20 @@ def q_embed_dedup(spark, sf):
     resp = FX.responses(spark, sf)
     out = embed_distinct(resp, "response", hashing_embedder(64))
     return E.cossim_across_variants(out.where(F.col("embedding").isNotNull()))
+
+
+# Regex-expressible page fields get an oracle (the test pages use plain tags).
+_UNESCAPE = ("replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), "
+             "'&#39;', ''''), '&amp;', '&')")
+
+ORACLE["extract_listing"] = """
+SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, """ + _UNESCAPE.format(x="links[pos]") + """ AS link,
+       CAST(NULL AS VARCHAR) AS date_text
+FROM (SELECT page_id, links, unnest(generate_series(1, len(links))) AS pos
+      FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS links FROM pages)
+      WHERE len(links) > 0)"""
+
+ORACLE["article_type"] = """
+SELECT page_id, """ + _UNESCAPE.format(x="regexp_extract(html, '<h1>(.*?)</h1>', 1)") + """ AS article_type,
+       CAST(NULL AS VARCHAR) AS super_class
+FROM pages"""
