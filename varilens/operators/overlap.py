@@ -73,7 +73,10 @@ def bleu_pair_scores(df: DataFrame, *, response_col: str, case_col: str = "case_
     grams = gram_counts(resp, ["case_id", "idx"])
     a = grams.select("case_id", "n", "gram", F.col("idx").alias("i"), F.col("c").alias("ci"))
     b = grams.select("case_id", "n", "gram", F.col("idx").alias("j"), F.col("c").alias("cj"))
-    shared = (a.join(b, ["case_id", "n", "gram"]).where(F.col("i") < F.col("j"))
+    # The exploded gram table is far larger than the scan it comes from, so a
+    # size estimate taken from the files could wrongly pick a broadcast: force a
+    # shuffled sort-merge join (AQE still splits skewed gram keys).
+    shared = (a.hint("merge").join(b, ["case_id", "n", "gram"]).where(F.col("i") < F.col("j"))
               .groupBy("case_id", "i", "j")
               .agg(*[F.sum(F.when(F.col("n") == n, F.least("ci", "cj"))).alias(f"m{n}")
                      for n in range(1, S.BLEU_MAX_N + 1)]))
@@ -155,7 +158,7 @@ def rouge_pair_scores(df: DataFrame, *, response_col: str, case_col: str = "case
             .select(F.col(case_col).alias("case_id"), F.col(idx_col).alias("idx"),
                     stem_tokens(rouge_tokens(response_col)).alias("tokens")))
     toks = resp.select("case_id", "idx", F.explode(F.array_distinct("tokens")).alias("tok"))
-    cand_pairs = (toks.alias("a").join(toks.alias("b"), ["case_id", "tok"])
+    cand_pairs = (toks.alias("a").hint("merge").join(toks.alias("b"), ["case_id", "tok"])
                   .where(F.col("a.idx") < F.col("b.idx"))
                   .select("case_id", F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).distinct())
     t = resp.select("case_id", "idx", "tokens")
