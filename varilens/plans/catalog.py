@@ -304,7 +304,7 @@ vs AS (
   SELECT llm, label,
          CASE WHEN bool_or(has_zero) THEN NULL
               ELSE sqrt(sum(d * d / e) / (any_value(n) * (any_value(r) - 1) * (any_value(c) - 1))) END AS cramers_v,
-         CAST(any_value(n) AS BIGINT) AS n, CAST((any_value(r) - 1) * (any_value(c) - 1) AS INTEGER) AS dof
+         CAST(any_value(n) AS BIGINT) AS n, CAST((any_value(r) - 1) * (any_value(c) - 1) AS BIGINT) AS dof
   FROM terms WHERE r > 1 AND c > 1 GROUP BY llm, label
 )"""
 VS = CELLS + VS_TAIL
