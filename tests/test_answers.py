@@ -90,3 +90,13 @@ def test_partition_count_invariance(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     b = sorted(map(tuple, catalog.QUERIES["accuracy_by_group"](spark, SF_SMALL).collect()))
     assert a == b
+
+
+def test_accuracy_by_other_group_column(spark):
+    df = spark.createDataFrame([("c", "A", "White", 1, 0, 0, "A", "cardio"), ("c", "A", "White", 0, 1, 0, "B", "cardio"),
+                                ("d", "B", "Black", 1, 0, 0, "B", "neuro")],
+                               "case_id string, answer_idx string, ethnicity string, gender_male int, gender_female int, "
+                               "gender_none int, llm_x_answer string, specialty string")
+    cube = A.answer_cube(df, ["llm_x_answer"], extra_keys=["specialty"])
+    got = {r.specialty: (r.accuracy, r.n) for r in A.accuracy_by_group(cube, ["specialty"]).collect()}
+    assert got == {"cardio": (0.5, 2), "neuro": (1.0, 1)}

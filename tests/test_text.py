@@ -102,3 +102,12 @@ def test_python_re_parity(spark, texts):
         exp_g = "male" if _PY_M.search(t) else ("female" if _PY_F.search(t) else None)
         assert r.g == exp_g, t
         assert r.inj == _py_inject(t, "Black", "woman", True), t
+
+
+def test_map_options_dict_missing_vs_null(spark):
+    from varilens.operators import mapping as M
+    df = spark.createDataFrame([(0, "q", {"A": "a", "B": "b", "C": "c"}, "A", "a"),
+                                (1, "q", {"A": "a", "B": "b", "C": "c", "D": None}, "B", "b")],
+                               "idx int, question string, options map<string,string>, answer_idx string, answer string")
+    rows = M.map_options_dict(df, index_col="idx").orderBy("case_id").collect()
+    assert rows[0].case_id == "medqa_00000" and rows[0].option_d == "" and rows[1].option_d is None

@@ -38,14 +38,19 @@ def _gender_col(df: DataFrame):
     return X.derive_gender(*cols)
 
 
-def answer_cube(df: DataFrame, llm_cols) -> DataFrame:
-    """(llm, answer_idx, ethnicity, gender) -> n, n_correct.  NULL keys are kept here."""
-    long = long_predictions(df, llm_cols)
+def answer_cube(df: DataFrame, llm_cols, extra_keys=()) -> DataFrame:
+    """(llm, answer_idx, ethnicity, gender, *extra_keys) -> n, n_correct.  NULL keys are kept here.
+
+    ``extra_keys`` adds any other grouping column (e.g. ``specialty``) to the
+    cube; the cube stays small as long as those columns have few values.
+    """
+    extra = [k for k in extra_keys if k not in CUBE_KEYS]
+    long = long_predictions(df, llm_cols, keep=extra)
     eth = F.col("ethnicity") if "ethnicity" in df.columns else F.lit(None).cast("string")
     return (long
-            .select("llm", "answer_idx", eth.alias("ethnicity"), _gender_col(long).alias("gender"),
+            .select("llm", "answer_idx", eth.alias("ethnicity"), _gender_col(long).alias("gender"), *extra,
                     X.performance("answer", "answer_idx").alias("correct"))
-            .groupBy(*CUBE_KEYS)
+            .groupBy(*CUBE_KEYS, *extra)
             .agg(F.count(F.lit(1)).alias("n"), F.sum("correct").cast("long").alias("n_correct")))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import text as X
@@ -22,7 +23,14 @@ def map_options_dict(df: DataFrame, *, index_col: str, prefix: str = "medqa",
                      answer_idx_col: str = "answer_idx", answer_col: str | None = "answer") -> DataFrame:
     """M1: ``options`` map/struct with keys A-D (missing key -> "") -> option_a..option_d."""
     opt = F.col(options_col)
-    opts = [F.coalesce(opt.getItem(k), F.lit("")).alias(f"option_{k.lower()}") for k in S.VALID_ANSWER_IDX]
+    dt = df.schema[options_col].dataType
+    if isinstance(dt, T.MapType):
+        # Only a missing key defaults to ""; a key present with a NULL value stays NULL.
+        pick = lambda k: F.when(F.map_contains_key(opt, k), opt.getItem(k)).otherwise(F.lit(""))
+    else:
+        names = {f.name for f in dt.fields}
+        pick = lambda k: opt.getField(k) if k in names else F.lit("")
+    opts = [pick(k).alias(f"option_{k.lower()}") for k in S.VALID_ANSWER_IDX]
     cols = [F.format_string(f"{prefix}_%0{width}d", F.col(index_col)).alias("case_id"),
             F.col(question_col).alias("case_text"), F.col(question_col).alias("question"),
             *opts, F.col(answer_idx_col).alias("answer_idx")]
