@@ -114,7 +114,7 @@ def gender_bias_score(df: DataFrame, direction, *, embedding_col: str = "embeddi
     """E5: (e . g) / |g| per row; ``direction`` is a list of floats (length = embedding dimension)."""
     g = F.array(*[F.lit(float(x)) for x in direction]) if isinstance(direction, (list, tuple)) else direction
     score = F.when(F.col(embedding_col).isNull(), F.lit(None).cast("double")).otherwise(
-        dot(embedding_col, g) / norm(g))
+        F.try_divide(dot(embedding_col, g), norm(g)))
     return df.withColumn(out_col, score)
 
 
