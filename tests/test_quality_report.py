@@ -41,3 +41,26 @@ def test_quality_rules_flags_bad_answer(spark):
     rules = {r.rule: r.n_bad for r in Q.quality_rules(_variants(spark), option_d="never_null").collect()}
     assert rules["answer_idx_valid"] == 15 and rules["option_d_never_null"] == 15
     assert rules["ethnicity_in_case_text"] == 0 and rules["ethnicity_set_equal"] == 0
+
+
+def test_domain_violation_tables_and_messages(spark):
+    df = spark.createDataFrame(
+        [("c1", "t", "q", "a", "b", "c", "d", "A", 1, 0, 0, "White"),
+         ("c2", "t", "q", "a", "b", "c", "d", "E", 2, 0, 0, "Martian"),
+         ("c3", "t", "q", "a", "b", "c", "d", "", 1, 1, 0, "White"),
+         ("c4", "t", "q", "a", "b", "c", "d", "B", 0, None, 1, None)],
+        "case_id string, case_text string, question string, option_a string, option_b string, option_c string, "
+        "option_d string, answer_idx string, gender_male int, gender_female int, gender_none int, ethnicity string")
+    assert {(r.value, r.n) for r in Q.answer_domain_violations(df).collect()} == {("E", 1), ("", 1)}
+    assert [(r.column_name, r.value, r.n) for r in Q.onehot_binary_violations(df).collect()] == [("gender_male", 2.0, 1)]
+    assert Q.onehot_sum_violations(df).first().n_bad == 3
+    assert [(r.value, r.n) for r in Q.ethnicity_domain_violations(df).collect()] == [("Martian", 1)]
+    assert Q.validate_schema(df) == [
+        "Column 'gender_female' has 1 null values.",
+        "Column 'ethnicity' has 1 null values.",
+        "Invalid answer_idx values: ['', 'E']",
+        "Column 'gender_male' has non-binary values: [2]",
+        "3 rows have invalid one-hot gender encoding (sum != 1).",
+        "Invalid ethnicity values: ['Martian']",
+    ]
+    assert Q.shape_profile(df).first().asDict() == {"n_rows": 4, "n_columns": 12}

@@ -39,51 +39,111 @@ def null_violations(df: DataFrame, allow_null_option_d: bool = False) -> DataFra
     return null_profile(df, cols).where(F.col("n_null") > 0)
 
 
+def answer_domain_violations(df: DataFrame, col: str = "answer_idx") -> DataFrame:
+    """V3: distinct non-null answer labels outside A-D, with their row counts."""
+    a = F.col(col)
+    return (df.where(a.isNotNull() & ~a.isin(*S.VALID_ANSWER_IDX))
+            .groupBy(a.alias("value")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def onehot_binary_violations(df: DataFrame) -> DataFrame:
+    """V4: ``(column_name, value, n)`` for one-hot gender values outside {0, 1}."""
+    onehot = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+        for c in S.GENDER_ONEHOT])))
+    return (onehot.where(F.col("value").isNotNull() & ~F.col("value").isin(0.0, 1.0))
+            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def onehot_sum_violations(df: DataFrame) -> DataFrame:
+    """V5: one row, the number of rows whose one-hots do not sum to 1 (a NULL one-hot counts)."""
+    s = sum(F.col(c) for c in S.GENDER_ONEHOT)
+    return df.agg(F.count_if(F.coalesce(s != 1, F.lit(True))).alias("n_bad"))
+
+
+def ethnicity_domain_violations(df: DataFrame, ethnicities=None) -> DataFrame:
+    """V6: distinct non-null ethnicities outside the expected set, with their row counts."""
+    e = F.col("ethnicity")
+    return (df.where(e.isNotNull() & ~e.isin(*list(ethnicities or S.ETHNICITIES)))
+            .groupBy(e.alias("value")).agg(F.count(F.lit(1)).alias("n")))
+
+
 def schema_violations(df: DataFrame, allow_null_option_d: bool = False,
                       ethnicities=None) -> DataFrame:
     """V2-V6 as rows ``(check, item, n)``; empty when the table is valid."""
-    eths = list(ethnicities or S.ETHNICITIES)
     nulls = null_violations(df, allow_null_option_d).select(
         F.lit("null_values").alias("check"), F.col("column_name").alias("item"), F.col("n_null").alias("n"))
-    a = F.col("answer_idx")
-    bad_answers = (df.where(a.isNotNull() & ~a.isin(*S.VALID_ANSWER_IDX)).groupBy(a.alias("item")).count()
-                   .select(F.lit("invalid_answer_idx").alias("check"), "item", F.col("count").alias("n")))
-    onehot = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in S.GENDER_ONEHOT])))
-    bad_onehot = (onehot.where(F.col("val").isNotNull() & ~F.col("val").isin("0", "1"))
-                  .groupBy(F.concat_ws("=", "col", "val").alias("item")).count()
-                  .select(F.lit("non_binary_onehot").alias("check"), "item", F.col("count").alias("n")))
-    s = sum(F.col(c) for c in S.GENDER_ONEHOT)
-    bad_sum = (df.agg(F.count_if(F.coalesce(s != 1, F.lit(True))).alias("n")).where(F.col("n") > 0)
-               .select(F.lit("onehot_sum").alias("check"), F.lit(None).cast("string").alias("item"), "n"))
-    e = F.col("ethnicity")
-    bad_eth = (df.where(e.isNotNull() & ~e.isin(*eths)).groupBy(e.alias("item")).count()
-               .select(F.lit("invalid_ethnicity").alias("check"), "item", F.col("count").alias("n")))
+    bad_answers = answer_domain_violations(df).select(
+        F.lit("invalid_answer_idx").alias("check"), F.col("value").alias("item"), "n")
+    bad_onehot = onehot_binary_violations(df).select(
+        F.lit("non_binary_onehot").alias("check"),
+        F.concat_ws("=", "column_name", _num_text(F.col("value"))).alias("item"), "n")
+    bad_sum = (onehot_sum_violations(df).where(F.col("n_bad") > 0)
+               .select(F.lit("onehot_sum").alias("check"), F.lit(None).cast("string").alias("item"),
+                       F.col("n_bad").alias("n")))
+    bad_eth = ethnicity_domain_violations(df, ethnicities).select(
+        F.lit("invalid_ethnicity").alias("check"), F.col("value").alias("item"), "n")
     return nulls.unionByName(bad_answers).unionByName(bad_onehot).unionByName(bad_sum).unionByName(bad_eth)
 
 
-def validate_schema(df: DataFrame, *, allow_null_option_d: bool = False) -> list[str]:
-    """V1: list of error messages, empty when valid (missing columns short-circuit)."""
+def _num_text(v):
+    """A double as the original prints it: integral values without a fraction."""
+    return F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
+
+
+def _quoted_list(values):
+    """Sorted strings rendered as a Python list literal: ['x', 'y']."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
+                    F.lit("]"))
+
+
+def validation_messages(df: DataFrame, *, allow_null_option_d: bool = False, ethnicities=None) -> DataFrame:
+    """V1 as a DataFrame ``(seq, message)``: one row per violated check, in the original order.
+
+    Missing columns short-circuit on the driver (a schema check, no job).
+    Value sets are sorted (the original prints an unordered set); they are
+    bounded by the number of *distinct* bad values, which the tidy V3-V6
+    tables report with counts.
+    """
     missing = [c for c in S.REQUIRED_COLUMNS if c not in df.columns]
     if missing:
-        return [f"Missing required columns: {missing}"]
-    msgs = []
-    rows = schema_violations(df, allow_null_option_d).orderBy("check", "item").collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r["check"], []).append(r)
-    for r in by.get("null_values", []):
-        msgs.append(f"Column '{r['item']}' has {r['n']} null values.")
-    if "invalid_answer_idx" in by:
-        msgs.append(f"Invalid answer_idx values: {sorted(r['item'] for r in by['invalid_answer_idx'])}")
-    for r in by.get("non_binary_onehot", []):
-        col, val = r["item"].split("=", 1)
-        msgs.append(f"Column '{col}' has non-binary value: {val}")
-    for r in by.get("onehot_sum", []):
-        msgs.append(f"{r['n']} rows have invalid one-hot gender encoding (sum != 1).")
-    if "invalid_ethnicity" in by:
-        msgs.append(f"Invalid ethnicity values: {sorted(r['item'] for r in by['invalid_ethnicity'])}")
-    return msgs
+        return df.sparkSession.createDataFrame([(0, f"Missing required columns: {missing}")],
+                                               "seq int, message string")
+    order = {c: i for i, c in enumerate(S.REQUIRED_COLUMNS)}
+    pos = F.element_at(F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))]),
+                       F.col("column_name"))
+    nulls = null_violations(df, allow_null_option_d).select(
+        (pos + 1).cast("int").alias("seq"),
+        F.format_string("Column '%s' has %d null values.", F.col("column_name"), F.col("n_null")).alias("message"))
+
+    def value_set(vio: DataFrame, seq: int, label: str) -> DataFrame:
+        return (vio.agg(F.array_sort(F.collect_list("value")).alias("vals"))
+                .where(F.size("vals") > 0)
+                .select(F.lit(seq).alias("seq"),
+                        F.concat(F.lit(f"Invalid {label} values: "), _quoted_list(F.col("vals"))).alias("message")))
+
+    base = len(S.REQUIRED_COLUMNS) + 1
+    answers = value_set(answer_domain_violations(df), base, "answer_idx")
+    onehot = (onehot_binary_violations(df).groupBy("column_name")
+              .agg(F.array_sort(F.collect_list("value")).alias("vals"))
+              .select((F.lit(base + 1) + F.element_at(F.create_map(*[x for i, c in enumerate(S.GENDER_ONEHOT)
+                                                                     for x in (F.lit(c), F.lit(i))]),
+                                                      F.col("column_name"))).cast("int").alias("seq"),
+                      F.format_string("Column '%s' has non-binary values: [%s]", F.col("column_name"),
+                                      F.array_join(F.transform("vals", _num_text), ", ")).alias("message")))
+    sums = (onehot_sum_violations(df).where(F.col("n_bad") > 0)
+            .select(F.lit(base + 1 + len(S.GENDER_ONEHOT)).alias("seq"),
+                    F.format_string("%d rows have invalid one-hot gender encoding (sum != 1).",
+                                    F.col("n_bad")).alias("message")))
+    eths = value_set(ethnicity_domain_violations(df, ethnicities), base + 2 + len(S.GENDER_ONEHOT), "ethnicity")
+    return (nulls.unionByName(answers).unionByName(onehot).unionByName(sums).unionByName(eths)
+            .select(F.col("seq").cast("int").alias("seq"), "message"))
+
+
+def validate_schema(df: DataFrame, *, allow_null_option_d: bool = False) -> list[str]:
+    """V1: list of error messages, empty when valid (at most one message per check)."""
+    rows = validation_messages(df, allow_null_option_d=allow_null_option_d).orderBy("seq").collect()
+    return [r["message"] for r in rows]
 
 
 def with_gender_label(df: DataFrame) -> DataFrame:
@@ -141,9 +201,9 @@ def auto_null_option_d(df: DataFrame) -> DataFrame:
     return df.agg((F.count("option_d") == 0).cast("int").alias("allow_null_option_d"))
 
 
-def shape_profile(df: DataFrame) -> dict:
-    """Row count, column count and dtypes (one count action)."""
-    return {"n_rows": df.count(), "n_columns": len(df.columns), "dtypes": df.dtypes}
+def shape_profile(df: DataFrame) -> DataFrame:
+    """One row ``(n_rows, n_columns)``; the dtypes come with the schema (``df.dtypes``, R2)."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_columns"))
 
 
 def quality_rules(df: DataFrame, *, ethnicities=None, option_d: str = "any",

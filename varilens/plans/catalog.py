@@ -105,6 +105,18 @@ def q_inject(spark, sf):
     return c.select("case_id", X.inject_demographics("case_text", eth, desc).alias("case_text"))
 
 
+@register("inject_ethnicity_only", W(KEPT_ONLY, f"""
+SELECT case_id, CASE WHEN coalesce(regexp_matches(case_text, '{Q.AGE_SQL}'), false)
+                     THEN replace({Q.age_template_sql('case_text')}, '{Q.SLOT_SQL}', {_INJ_ETH})
+                     ELSE case_text END AS case_text
+FROM kept"""))
+def q_inject_eth(spark, sf):
+    """T4: gender-neutral injection (ethnicity only) through the direct regex path."""
+    c = TV.filter_ethnicity_mentions(FX.cases(spark, sf))
+    eth = F.element_at(F.array(*[F.lit(e) for e in S.ETHNICITIES]), (F.col("case_key") % 5 + 1).cast("int"))
+    return c.select("case_id", X.inject_demographics("case_text", eth, F.lit(None).cast("string")).alias("case_text"))
+
+
 _VCOLS = "case_id, variant_idx, gender_male, gender_female, gender_none, ethnicity, case_text"
 
 
@@ -374,6 +386,71 @@ def q_schema_violations(spark, sf):
     return V.schema_violations(m).withColumn("n", F.col("n").cast("long"))
 
 
+_DIRTY = FX.DIRTY_SQL
+_BAD_ANS = "answer_idx IS NOT NULL AND answer_idx NOT IN ('A', 'B', 'C', 'D')"
+_BAD_ETH = "ethnicity IS NOT NULL AND ethnicity NOT IN ('White', 'Black', 'Asian', 'Hispanic', 'Arab')"
+_ONEHOT_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM dirty WHERE {c} IS NOT NULL AND {c} NOT IN (0, 1)"
+    for c in S.GENDER_ONEHOT)
+
+
+@register("answer_domain_violations", W(_DIRTY, f"""
+SELECT answer_idx AS value, CAST(count(*) AS BIGINT) AS n FROM dirty WHERE {_BAD_ANS} GROUP BY 1"""))
+def q_answer_domain(spark, sf):
+    return V.answer_domain_violations(FX.dirty_variants(spark, sf))
+
+
+@register("onehot_binary_violations", W(_DIRTY, f"""
+SELECT column_name, value, CAST(count(*) AS BIGINT) AS n FROM ({_ONEHOT_SQL}) GROUP BY 1, 2"""))
+def q_onehot_binary(spark, sf):
+    return V.onehot_binary_violations(FX.dirty_variants(spark, sf))
+
+
+@register("onehot_sum_violations", W(_DIRTY, """
+SELECT CAST(count_if(coalesce(gender_male + gender_female + gender_none <> 1, true)) AS BIGINT) AS n_bad FROM dirty"""))
+def q_onehot_sum(spark, sf):
+    return V.onehot_sum_violations(FX.dirty_variants(spark, sf))
+
+
+@register("ethnicity_domain_violations", W(_DIRTY, f"""
+SELECT ethnicity AS value, CAST(count(*) AS BIGINT) AS n FROM dirty WHERE {_BAD_ETH} GROUP BY 1"""))
+def q_eth_domain(spark, sf):
+    return V.ethnicity_domain_violations(FX.dirty_variants(spark, sf))
+
+
+_NREQ = len(S.REQUIRED_COLUMNS)
+_V1_NULLS = " UNION ALL ".join(
+    f"SELECT {i + 1} AS seq, '{c}' AS column_name, count(*) - count({c}) AS n FROM dirty"
+    for i, c in enumerate(S.REQUIRED_COLUMNS))
+_V1_ONEHOT = " UNION ALL ".join(
+    f"SELECT {_NREQ + 2 + i} AS seq, 'Column ''{c}'' has non-binary values: [' || "
+    f"string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) || ']' AS message "
+    f"FROM (SELECT DISTINCT {c} AS v FROM dirty WHERE {c} IS NOT NULL AND {c} NOT IN (0, 1)) HAVING count(*) > 0"
+    for i, c in enumerate(S.GENDER_ONEHOT))
+_Q = "''''"  # a single quote inside a DuckDB string literal
+
+
+@register("validate_schema", W(_DIRTY, f"""
+nulls AS ({_V1_NULLS})""", f"""
+SELECT CAST(seq AS INTEGER) AS seq, message FROM (
+  SELECT seq, 'Column ' || {_Q} || column_name || {_Q} || ' has ' || CAST(n AS VARCHAR) || ' null values.' AS message
+  FROM nulls WHERE n > 0
+  UNION ALL
+  SELECT {_NREQ + 1}, 'Invalid answer_idx values: [' || string_agg({_Q} || v || {_Q}, ', ' ORDER BY v) || ']'
+  FROM (SELECT DISTINCT answer_idx AS v FROM dirty WHERE {_BAD_ANS}) HAVING count(*) > 0
+  UNION ALL {_V1_ONEHOT}
+  UNION ALL
+  SELECT {_NREQ + 5}, CAST(n AS VARCHAR) || ' rows have invalid one-hot gender encoding (sum != 1).'
+  FROM (SELECT count_if(coalesce(gender_male + gender_female + gender_none <> 1, true)) AS n FROM dirty) WHERE n > 0
+  UNION ALL
+  SELECT {_NREQ + 6}, 'Invalid ethnicity values: [' || string_agg({_Q} || v || {_Q}, ', ' ORDER BY v) || ']'
+  FROM (SELECT DISTINCT ethnicity AS v FROM dirty WHERE {_BAD_ETH}) HAVING count(*) > 0
+)"""))
+def q_validate(spark, sf):
+    """V1: the validation messages, one row per violated check."""
+    return V.validation_messages(FX.dirty_variants(spark, sf))
+
+
 @register("gender_counts", W(VARIANTS, f"SELECT {GENDER_SQL} AS gender, CAST(count(*) AS BIGINT) AS n FROM variants GROUP BY 1"))
 def q_gender_counts(spark, sf):
     return V.gender_counts(FX.variants(spark, sf))
@@ -420,6 +497,12 @@ def q_answer_dist(spark, sf):
     return V.answer_distribution(FX.variants(spark, sf))
 
 
+@register("shape_profile", W(VARIANTS, f"""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, {len(_ALLV.split(', '))} AS n_columns FROM variants"""))
+def q_shape(spark, sf):
+    return V.shape_profile(FX.variants(spark, sf))
+
+
 @register("auto_null_option_d", W(VARIANTS, "SELECT CAST(count(option_d) = 0 AS INTEGER) AS allow_null_option_d FROM variants"))
 def q_auto_null(spark, sf):
     return V.auto_null_option_d(FX.variants(spark, sf))
@@ -856,6 +939,40 @@ def q_load_parquet(spark, sf):
     return SR.load(spark, f"{sf}/documents.parquet", schema=schema)
 
 
+from ..sources import writers as SW  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+_CSV_COLS = ["case_id", "case_text", "question", "option_d", "answer_idx", "explanation", "specialty"]
+_CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in _CSV_COLS])
+
+
+@register("load_csv", W(CASES, f"SELECT {', '.join(_CSV_COLS)} FROM cases"))
+def q_load_csv(spark, sf):
+    """Cases (whole, multi-line texts) written as CSV and read back through the ``load`` dispatch."""
+    path = scratch_path(spark, "cases") + ".csv"
+    SW.write_raw_csv(FX.cases(spark, sf).select(*_CSV_COLS), path)
+    return SR.load(spark, path, schema=_CSV_SCHEMA)
+
+
+@register("write_variants", W(VARIANTS, f"SELECT {_VCOLS} FROM variants"))
+def q_write_variants(spark, sf):
+    """The variant table written partitioned by ethnicity and read back as parquet."""
+    path = scratch_path(spark, "variants")
+    SW.write_variants(FX.variants(spark, sf, fallback_prepend=True), path, partition_by="ethnicity")
+    return SR.load_parquet(spark, path).select(*_VCOLS.split(", "))
+
+
+@register("results_json", W(CUBE, """
+SELECT llm, ethnicity, gender, round(sum(n_correct) / sum(n), 9) AS accuracy, CAST(sum(n) AS BIGINT) AS n
+FROM cube WHERE ethnicity IS NOT NULL GROUP BY llm, ethnicity, gender"""))
+def q_results_json(spark, sf):
+    """An evaluation table written as JSON (NaN -> null) and read back with its schema."""
+    df = r9(A.accuracy_by_group(_cube(spark, sf)))
+    path = scratch_path(spark, "results")
+    SW.write_results({"accuracy_by_group": df}, path)
+    return spark.read.schema(df.schema).json(f"{path}/accuracy_by_group")
+
+
 _DTYPES = {"case_key": "bigint", "gender_male": "int", "gender_female": "int", "gender_none": "int",
            "variant_idx": "int"}
 

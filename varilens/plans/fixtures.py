@@ -257,3 +257,46 @@ def link_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(k.alias("id"), F.col("url").alias("link"), F.lit(None).cast("string").alias("publication_year"),
                     F.substring(F.lit("ABCD"), (k % 4 + 1).cast("int"), 1).alias("answer_idx"),
                     F.concat(F.lit("answer "), k.cast("string")).alias("answer"))
+
+
+# ---------------------------------------------------------- dirty variants ----
+
+_DIRTY_ETHNICITIES = S.ETHNICITIES + ["Martian", "white"]
+
+
+def dirty_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variant-shaped rows over ``documents`` carrying every kind of schema violation (V1-V6)."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    null_s = F.lit(None).cast("string")
+    gm = F.when(k % 13 == 0, 2).when((k % 4 == 0) | (k % 4 == 3), 1).otherwise(0)
+    gf = F.when(k % 17 == 0, F.lit(None)).when((k % 4 == 1) | (k % 4 == 3), 1).otherwise(0)
+    gn = F.when(k % 4 == 2, 1).otherwise(0)
+    ans = F.when(k % 29 == 0, null_s).otherwise(
+        F.element_at(F.array(*[F.lit(x) for x in ["A", "B", "C", "D", "E", ""]]), (k % 6 + 1).cast("int")))
+    eth = F.when(k % 19 == 0, null_s).otherwise(
+        F.element_at(F.array(*[F.lit(x) for x in _DIRTY_ETHNICITIES]), (k % 7 + 1).cast("int")))
+    return d.select(
+        F.format_string("doc_%06d", k).alias("case_id"), F.col("text").alias("case_text"),
+        F.concat(F.lit("Question "), k.cast("string")).alias("question"),
+        F.when(k % 23 == 0, null_s).otherwise(F.lit("opt a")).alias("option_a"),
+        F.lit("opt b").alias("option_b"), F.lit("opt c").alias("option_c"),
+        F.when(k % 5 == 0, null_s).otherwise(F.lit("opt d")).alias("option_d"),
+        ans.alias("answer_idx"), gm.cast("int").alias("gender_male"), gf.cast("int").alias("gender_female"),
+        gn.cast("int").alias("gender_none"), eth.alias("ethnicity"))
+
+
+DIRTY_SQL = """
+dirty AS (
+  SELECT printf('doc_%06d', doc_id) AS case_id, text AS case_text, 'Question ' || CAST(doc_id AS VARCHAR) AS question,
+         CASE WHEN doc_id % 23 = 0 THEN NULL ELSE 'opt a' END AS option_a,
+         'opt b' AS option_b, 'opt c' AS option_c,
+         CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'opt d' END AS option_d,
+         CASE WHEN doc_id % 29 = 0 THEN NULL ELSE ['A', 'B', 'C', 'D', 'E', ''][doc_id % 6 + 1] END AS answer_idx,
+         CAST(CASE WHEN doc_id % 13 = 0 THEN 2 WHEN doc_id % 4 IN (0, 3) THEN 1 ELSE 0 END AS INTEGER) AS gender_male,
+         CAST(CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 4 IN (1, 3) THEN 1 ELSE 0 END AS INTEGER) AS gender_female,
+         CAST(CASE WHEN doc_id % 4 = 2 THEN 1 ELSE 0 END AS INTEGER) AS gender_none,
+         CASE WHEN doc_id % 19 = 0 THEN NULL
+              ELSE ['White', 'Black', 'Asian', 'Hispanic', 'Arab', 'Martian', 'white'][doc_id % 7 + 1] END AS ethnicity
+  FROM documents
+)"""
