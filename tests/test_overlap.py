@@ -89,3 +89,42 @@ def test_rouge_hand_cases(spark):
     # tokens: [the, cat, are, run] vs [the, cat, is, run] -> lcs 3 of 4
     assert got["same"] == pytest.approx(0.75)
     assert got["disj"] == 0.0 and got["one"] is None
+
+
+def py_rouge(ref: str, cand: str) -> float:
+    import re
+    tok = lambda s: [stem(t) if len(t) > 3 else t for t in re.sub("[^a-z0-9]+", " ", s.lower()).split()]
+    a, b = tok(ref), tok(cand)
+    if not a or not b:
+        return 0.0
+    l = lcs_length_dp(a, b)
+    if l == 0:
+        return 0.0
+    p, r = l / len(b), l / len(a)
+    return 2 * p * r / (p + r)
+
+
+def test_rouge_with_copies_matches_brute_force(spark):
+    """Copies of a text are scored once and weighted; result equals the plain mean over all pairs."""
+    conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").where("role = 'assistant'")
+    rows = [(f"c{r.conv_id}", int(r.turn), r.text) for r in conv.select("conv_id", "turn", "text").collect()]
+    # Replicate the first response of every third case several times, add punctuation-only and NULL texts.
+    extra = []
+    for i, (cid, turn, text) in enumerate(rows):
+        if i % 3 == 0:
+            extra += [(cid, 100 + k, text) for k in range(4)]
+    extra += [("punct", 0, "!!"), ("punct", 1, "!!"), ("punct", 2, "cats"), ("nul", 0, None), ("nul", 1, None)]
+    data = rows + extra
+    df = spark.createDataFrame(data, "case_id string, variant_idx int, response string")
+    got = {r.case_id: r.rouge_l for r in B.rouge_l_across_variants(df, response_col="response").collect()}
+    by = {}
+    for cid, turn, text in data:
+        by.setdefault(cid, []).append((turn, text))
+    for cid, items in by.items():
+        texts = [t for _, t in sorted(items) if t is not None]
+        pairs = list(combinations(texts, 2))
+        exp = None if not pairs else sum(py_rouge(a, b) for a, b in pairs) / len(pairs)
+        if exp is None:
+            assert got[cid] is None, cid
+        else:
+            assert got[cid] == pytest.approx(exp, abs=1e-12), cid

@@ -60,51 +60,81 @@ def _bleu_expr(ref_len, cand_len, m):
 
 
 def _prepare(df: DataFrame, case_col: str, idx_col: str, text_col: str) -> DataFrame:
-    return (df.where(F.col(text_col).isNotNull())
+    """(case_id, idx, tokens, len) per response row; NULL text keeps its row with NULL tokens."""
+    return (df.where(F.col(case_col).isNotNull())
             .select(F.col(case_col).alias("case_id"), F.col(idx_col).alias("idx"),
                     X.whitespace_tokens(text_col).alias("tokens"))
             .withColumn("len", F.size("tokens")))
 
 
-def bleu_pair_scores(df: DataFrame, *, response_col: str, case_col: str = "case_id",
-                     idx_col: str = "variant_idx") -> DataFrame:
-    """Per overlapping pair (case_id, ref_idx < cand_idx): BLEU(reference=earlier, candidate=later)."""
-    resp = _prepare(df, case_col, idx_col, response_col)
-    grams = gram_counts(resp, ["case_id", "idx"])
-    a = grams.select("case_id", "n", "gram", F.col("idx").alias("i"), F.col("c").alias("ci"))
-    b = grams.select("case_id", "n", "gram", F.col("idx").alias("j"), F.col("c").alias("cj"))
+def _gram_table(df: DataFrame, case_col: str, idx_col: str, text_col: str) -> DataFrame:
+    """(case_id, idx, len, n, gram) -> c for n = 1..4, plus one presence row per response (n = 0).
+
+    The presence row has ``gram = ''`` for a non-null response and NULL for a
+    null one, so the number of responses per case (and cases whose responses
+    are all NULL) come out of the same aggregate as the grams.  Every
+    consumer (pair join, per-case k) reads this one shuffle, so the input
+    plan runs once (exchange reuse).
+    """
+    tok = F.col("tokens")
+    empty = F.array().cast("array<string>")
+    presence = F.struct(F.lit(0).alias("n"),
+                        F.array(F.when(tok.isNotNull(), F.lit(""))).alias("grams"))
+    per_n = F.array(presence, *[
+        F.struct(F.lit(n).alias("n"), F.when(tok.isNull(), empty).otherwise(_ngrams(tok, n)).alias("grams"))
+        for n in range(1, S.BLEU_MAX_N + 1)])
+    return (_prepare(df, case_col, idx_col, text_col)
+            .select("case_id", "idx", "len", F.inline(per_n))
+            .select("case_id", "idx", "len", "n", F.explode("grams").alias("gram"))
+            .groupBy("case_id", "idx", "len", "n", "gram").agg(F.count(F.lit(1)).alias("c")))
+
+
+def _bleu_pairs(grams: DataFrame) -> DataFrame:
+    """Per pair sharing a gram: BLEU(reference = lower idx, candidate = higher idx)."""
+    g = grams.where(F.col("n") > 0)
+    a = g.select("case_id", "n", "gram", F.col("idx").alias("i"), F.col("len").alias("ref_len"), F.col("c").alias("ci"))
+    b = g.select("case_id", "n", "gram", F.col("idx").alias("j"), F.col("len").alias("cand_len"), F.col("c").alias("cj"))
     # The exploded gram table is far larger than the scan it comes from, so a
     # size estimate taken from the files could wrongly pick a broadcast: force a
-    # shuffled sort-merge join (AQE still splits skewed gram keys).
-    shared = (a.hint("merge").join(b, ["case_id", "n", "gram"]).where(F.col("i") < F.col("j"))
-              .groupBy("case_id", "i", "j")
+    # shuffled sort-merge join (AQE still splits skewed gram keys).  Lengths
+    # ride along as grouping keys (they are functions of (case, idx)), so no
+    # lookup join is needed after the aggregate.
+    # Key order (gram, n, case_id): the sort prefix then discriminates on the
+    # gram text instead of on case ids that share long common prefixes.
+    shared = (a.hint("merge").join(b, ["gram", "n", "case_id"]).where(F.col("i") < F.col("j"))
+              .groupBy("case_id", "i", "j", "ref_len", "cand_len")
               .agg(*[F.sum(F.when(F.col("n") == n, F.least("ci", "cj"))).alias(f"m{n}")
                      for n in range(1, S.BLEU_MAX_N + 1)]))
-    lens = resp.select("case_id", "idx", "len")
-    pairs = (shared.join(lens.withColumnsRenamed({"idx": "i", "len": "ref_len"}), ["case_id", "i"])
-             .join(lens.withColumnsRenamed({"idx": "j", "len": "cand_len"}), ["case_id", "j"]))
     m = {n: F.col(f"m{n}") for n in range(1, S.BLEU_MAX_N + 1)}
-    return pairs.select("case_id", F.col("i").alias("ref_idx"), F.col("j").alias("cand_idx"),
-                        _bleu_expr(F.col("ref_len"), F.col("cand_len"), m).alias("bleu"))
+    return shared.select("case_id", F.col("i").alias("ref_idx"), F.col("j").alias("cand_idx"),
+                         _bleu_expr(F.col("ref_len"), F.col("cand_len"), m).alias("bleu"))
+
+
+def bleu_pair_scores(df: DataFrame, *, response_col: str, case_col: str = "case_id",
+                     idx_col: str = "variant_idx") -> DataFrame:
+    """Per overlapping pair (case_id, ref_idx < cand_idx): BLEU(reference=earlier, candidate=later)."""
+    return _bleu_pairs(_gram_table(df, case_col, idx_col, response_col))
 
 
-def _mean_over_pairs(df: DataFrame, pair_scores: DataFrame, score: str, *, case_col: str,
-                     response_col: str, out: str) -> DataFrame:
-    """Per case: sum of pair scores / C(k, 2); NULL when k < 2; every case of ``df`` kept."""
-    k = (df.groupBy(F.col(case_col).alias("case_id"))
-         .agg(F.count(response_col).alias("k")))
-    sums = pair_scores.groupBy("case_id").agg(F.sum(score).alias("_s"))
+def _mean_over_pairs(k: DataFrame, pair_sums: DataFrame, out: str) -> DataFrame:
+    """Per case: summed pair scores / C(k, 2); NULL when k < 2; every case of ``k`` kept."""
     n_pairs = F.col("k") * (F.col("k") - 1) / 2
-    return (k.join(sums, "case_id", "left")
+    return (k.join(pair_sums, "case_id", "left")
             .select("case_id", F.when(F.col("k") < 2, F.lit(None).cast("double"))
                     .otherwise(F.coalesce(F.col("_s"), F.lit(0.0)) / n_pairs).alias(out)))
 
 
 def bleu_across_variants(df: DataFrame, *, response_col: str, case_col: str = "case_id",
                          idx_col: str = "variant_idx") -> DataFrame:
-    """B2: mean pairwise BLEU per case (NULL when fewer than two responses)."""
-    pairs = bleu_pair_scores(df, response_col=response_col, case_col=case_col, idx_col=idx_col)
-    return _mean_over_pairs(df, pairs, "bleu", case_col=case_col, response_col=response_col, out="bleu")
+    """B2: mean pairwise BLEU per case (NULL when fewer than two non-null responses).
+
+    Rows with a NULL case id are left out, as a pandas ``groupby`` does.
+    """
+    grams = _gram_table(df, case_col, idx_col, response_col)
+    k = (grams.where(F.col("n") == 0).groupBy("case_id")
+         .agg(F.coalesce(F.sum(F.when(F.col("gram").isNotNull(), F.col("c"))), F.lit(0)).alias("k")))
+    sums = _bleu_pairs(grams).groupBy("case_id").agg(F.sum("bleu").alias("_s"))
+    return _mean_over_pairs(k, sums, "bleu")
 
 
 def pair_bleu(df: DataFrame, *, reference_col: str, candidate_col: str, key_cols) -> DataFrame:
@@ -151,29 +181,67 @@ def _rouge_f(lcs, len_ref, len_cand):
     return F.when((lcs == 0) | (len_ref == 0) | (len_cand == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-def rouge_pair_scores(df: DataFrame, *, response_col: str, case_col: str = "case_id",
-                      idx_col: str = "variant_idx") -> DataFrame:
-    """Per pair sharing a stemmed token: ROUGE-L F-measure."""
-    resp = (df.where(F.col(response_col).isNotNull())
-            .select(F.col(case_col).alias("case_id"), F.col(idx_col).alias("idx"),
-                    stem_tokens(rouge_tokens(response_col)).alias("tokens")))
-    toks = resp.select("case_id", "idx", F.explode(F.array_distinct("tokens")).alias("tok"))
-    cand_pairs = (toks.alias("a").hint("merge").join(toks.alias("b"), ["case_id", "tok"])
-                  .where(F.col("a.idx") < F.col("b.idx"))
-                  .select("case_id", F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).distinct())
-    t = resp.select("case_id", "idx", "tokens")
-    pairs = (cand_pairs.join(t.withColumnsRenamed({"idx": "i", "tokens": "ta"}), ["case_id", "i"])
-             .join(t.withColumnsRenamed({"idx": "j", "tokens": "tb"}), ["case_id", "j"]))
+def _rouge_units(df: DataFrame, case_col: str, idx_col: str, text_col: str) -> DataFrame:
+    """Distinct texts per case: (case_id, tid, m, tokens).
+
+    Identical responses are scored once and weighted: ``m`` copies, id
+    ``tid`` = their smallest index.  The copy count is a partial aggregate,
+    so a case made of one text repeated millions of times is one row.  The
+    stemmed table is repartitioned by (case_id, tid) right after the UDF, so
+    every consumer reads one shuffle and the Python stemmer runs once per
+    distinct text.
+    """
+    units = (df.where(F.col(case_col).isNotNull())
+             .groupBy(F.col(case_col).alias("case_id"), F.col(text_col).alias("text"))
+             .agg(F.min(idx_col).alias("tid"), F.count(F.lit(1)).alias("m")))
+    return (units.select("case_id", "tid", "m",
+                         F.when(F.col("text").isNotNull(), stem_tokens(rouge_tokens("text"))).alias("tokens"))
+            .repartition("case_id", "tid"))
+
+
+def _rouge_pairs(units: DataFrame) -> DataFrame:
+    """Per pair of distinct texts sharing a stemmed token: (case_id, i, j, weight, rouge_l)."""
+    u = units.where(F.col("tokens").isNotNull())
+    toks = u.select("case_id", "tid", F.explode(F.array_distinct("tokens")).alias("tok"))
+    cand = (toks.alias("a").hint("merge").join(toks.alias("b"), ["tok", "case_id"])
+            .where(F.col("a.tid") < F.col("b.tid"))
+            .select("case_id", F.col("a.tid").alias("i"), F.col("b.tid").alias("j")).distinct())
+    t = u.select("case_id", "tid", "m", "tokens")
+    pairs = (cand.join(t.withColumnsRenamed({"tid": "i", "m": "mi", "tokens": "ta"}), ["case_id", "i"])
+             .join(t.withColumnsRenamed({"tid": "j", "m": "mj", "tokens": "tb"}), ["case_id", "j"]))
     lcs = lcs_udf("ta", "tb")
-    return pairs.select("case_id", F.col("i").alias("ref_idx"), F.col("j").alias("cand_idx"),
+    return pairs.select("case_id", "i", "j", (F.col("mi") * F.col("mj")).alias("weight"),
                         _rouge_f(lcs, F.size("ta"), F.size("tb")).alias("rouge_l"))
 
 
+def rouge_pair_scores(df: DataFrame, *, response_col: str, case_col: str = "case_id",
+                      idx_col: str = "variant_idx") -> DataFrame:
+    """Per pair of distinct texts sharing a stemmed token: ROUGE-L F-measure.
+
+    ``ref_idx`` / ``cand_idx`` are the smallest indexes of the two texts and
+    ``weight`` the number of response pairs with exactly these two texts.
+    """
+    p = _rouge_pairs(_rouge_units(df, case_col, idx_col, response_col))
+    return p.select("case_id", F.col("i").alias("ref_idx"), F.col("j").alias("cand_idx"), "weight", "rouge_l")
+
+
 def rouge_l_across_variants(df: DataFrame, *, response_col: str, case_col: str = "case_id",
                             idx_col: str = "variant_idx") -> DataFrame:
-    """Mean pairwise ROUGE-L F per case (NULL when fewer than two responses)."""
-    pairs = rouge_pair_scores(df, response_col=response_col, case_col=case_col, idx_col=idx_col)
-    return _mean_over_pairs(df, pairs, "rouge_l", case_col=case_col, response_col=response_col, out="rouge_l")
+    """Mean pairwise ROUGE-L F per case (NULL when fewer than two non-null responses).
+
+    ROUGE-L F is symmetric, so the sum over response pairs is
+    sum over distinct text pairs of m_a * m_b * F + sum over texts of C(m, 2) * F(t, t),
+    with F(t, t) = 1 for a text with at least one token.
+    """
+    units = _rouge_units(df, case_col, idx_col, response_col)
+    present = F.col("tokens").isNotNull()
+    per_case = units.groupBy("case_id").agg(
+        F.coalesce(F.sum(F.when(present, F.col("m"))), F.lit(0)).alias("k"),
+        F.sum(F.when(present & (F.size("tokens") > 0), F.col("m") * (F.col("m") - 1) / 2)).alias("_self"))
+    cross = _rouge_pairs(units).groupBy("case_id").agg(F.sum(F.col("weight") * F.col("rouge_l")).alias("_cross"))
+    sums = (per_case.join(cross, "case_id", "left")
+            .select("case_id", "k", (F.coalesce("_self", F.lit(0.0)) + F.coalesce("_cross", F.lit(0.0))).alias("_s")))
+    return _mean_over_pairs(sums.select("case_id", "k"), sums.select("case_id", "_s"), "rouge_l")
 
 
 def pair_rouge_l(df: DataFrame, *, reference_col: str, candidate_col: str) -> DataFrame:

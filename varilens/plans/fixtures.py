@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import variants as V
+from ..sources.readers import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # ---------------------------------------------------------------- cases ----

@@ -58,3 +58,18 @@ def load(spark: SparkSession, source: str, config: str | None = None, split: str
 def read_link_index(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of {id, link, publication_year, answer_idx, answer}."""
     return spark.read.schema(LINK_INDEX_SCHEMA).option("multiLine", True).json(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Guarantee input parallelism for per-row heavy work (regexes, explodes, n-grams).
+
+    A file written as one large row group scans as one task however big it
+    is.  When the scan yields fewer partitions than ``min_partitions``
+    (default: the cluster's default parallelism) the rows are redistributed
+    round-robin (a shuffle of the raw rows, far cheaper than the work that
+    follows); a normally split input is returned unchanged.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
