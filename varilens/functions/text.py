@@ -26,9 +26,25 @@ def word_alternation(words) -> str:
     return "|".join(_lit_regex(w) for w in words)
 
 
-ETHNICITY_MENTION_RE = _FLAGS + r"\b(?:" + word_alternation(S.ETHNICITY_KEYWORDS) + r")\b"
-MALE_RE = _FLAGS + r"\b(?:" + word_alternation(S.MALE_WORDS) + r")\b"
-FEMALE_RE = _FLAGS + r"\b(?:" + word_alternation(S.FEMALE_WORDS) + r")\b"
+def first_letter_guard(words) -> str:
+    """Lookahead on the letters a word can start with.
+
+    Most text positions fail this one-character test at once, so the
+    alternation is only tried where a word can begin; the set of matches is
+    unchanged (under the same flags a class member matches exactly what the
+    literal first letter matches).
+    """
+    letters = sorted({w[0].lower() for w in words} | {w[0].upper() for w in words})
+    return "(?=[" + "".join(_lit_regex(c) for c in letters) + "])"
+
+
+def whole_word_regex(words) -> str:
+    return _FLAGS + r"\b" + first_letter_guard(words) + r"(?:" + word_alternation(words) + r")\b"
+
+
+ETHNICITY_MENTION_RE = whole_word_regex(S.ETHNICITY_KEYWORDS)
+MALE_RE = whole_word_regex(S.MALE_WORDS)
+FEMALE_RE = whole_word_regex(S.FEMALE_WORDS)
 AGE_RE = _FLAGS + S.AGE_PHRASE
 # Lower-cases the optional " patient" of every age phrase (first pass of the injection).
 _AGE_PATIENT_RE = _FLAGS + r"((?:A|An) \d+-year-old) patient"
