@@ -86,3 +86,14 @@ def test_entry_and_contract(spark):
     assert set(df.columns) == {"llm", "ethnicity", "gender", "accuracy", "n"}
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_spread_only_repartitions_narrow_scans(spark):
+    from varilens.sources.readers import spread
+    one = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert one.rdd.getNumPartitions() == 1
+    wide = spread(one, min_partitions=4)
+    assert wide.rdd.getNumPartitions() == 4
+    assert wide.count() == one.count()
+    many = one.repartition(6)
+    assert spread(many, min_partitions=4) is many
