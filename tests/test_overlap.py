@@ -128,3 +128,33 @@ def test_rouge_with_copies_matches_brute_force(spark):
             assert got[cid] is None, cid
         else:
             assert got[cid] == pytest.approx(exp, abs=1e-12), cid
+
+
+def test_bleu_with_copies_and_mixed_lengths_matches_brute_force(spark):
+    """Copies, texts of different lengths and interleaved indexes: the earlier response is the reference."""
+    conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").where("role = 'assistant'")
+    rows = [(f"c{r.conv_id}", int(r.turn), r.text) for r in conv.select("conv_id", "turn", "text").collect()]
+    extra = []
+    for i, (cid, turn, text) in enumerate(rows):
+        if i % 3 == 0:  # copies of this text, interleaved with the other responses by index
+            extra += [(cid, turn + 50 * (k + 1), text) for k in range(3)]
+    # Hand cases: short/long texts, copies on both sides, interleaved order, NULLs, empty texts.
+    hand = [("h1", 0, "a b c"), ("h1", 1, "a b c d e f"), ("h1", 2, "a b c"), ("h1", 3, "a b c d e f"),
+            ("h1", 4, "a b c"), ("h1", 5, "x"), ("h1", 6, None), ("h1", 7, "a b c d e f"),
+            ("h2", 3, "p q"), ("h2", 1, "p q r s t"), ("h2", 0, "p q"), ("h2", 2, "p q"),
+            ("h3", 0, "same text here ok"), ("h3", 1, "same text here ok"), ("h3", 2, "same text here ok"),
+            ("h4", 0, ""), ("h4", 1, ""), ("h4", 2, "a"), ("h5", 0, None), ("h5", 1, None)]
+    data = rows + extra + hand
+    df = spark.createDataFrame(data, "case_id string, variant_idx int, response string")
+    got = {r.case_id: r.bleu for r in B.bleu_across_variants(df, response_col="response").collect()}
+    by = {}
+    for cid, turn, text in data:
+        by.setdefault(cid, []).append((turn, text))
+    for cid, items in by.items():
+        texts = [t for _, t in sorted(items) if t is not None]
+        pairs = list(combinations(texts, 2))
+        exp = None if not pairs else sum(py_bleu(a, b) for a, b in pairs) / len(pairs)
+        if exp is None:
+            assert got[cid] is None, cid
+        else:
+            assert got[cid] == pytest.approx(exp, abs=1e-12), cid
