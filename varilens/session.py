@@ -35,6 +35,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -68,3 +69,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers (Arrow UDFs, mapInPandas).
+
+    A local-mode session gets a zip of the package through ``addPyFile`` (once
+    per context), so UDF queries work whatever the driver's working folder
+    is.  On a cluster the package is deployed with the job
+    (``spark-submit --py-files`` / ``spark.submit.pyFiles``), so nothing is
+    written here.
+    """
+    import shutil
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or getattr(sc, "_varilens_zip", None):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = tempfile.mkdtemp(prefix="varilens-pkg-")
+    zpath = shutil.make_archive(os.path.join(base, "varilens"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(zpath)
+    sc._varilens_zip = zpath
