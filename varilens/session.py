@@ -11,10 +11,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Small local inputs: AQE would coalesce a few-MB shuffle into one or two
-    # partitions and run the heavy per-row work after it (n-gram explodes,
-    # stemming, LCS) on one core.  A low floor keeps all local cores busy.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
