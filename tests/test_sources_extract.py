@@ -97,3 +97,12 @@ def test_spread_only_repartitions_narrow_scans(spark):
     assert wide.count() == one.count()
     many = one.repartition(6)
     assert spread(many, min_partitions=4) is many
+
+
+def test_package_is_shipped_to_python_workers(spark):
+    import zipfile
+    from varilens.session import ship_package
+    ship_package(spark)  # idempotent
+    path = spark.sparkContext._varilens_zip
+    names = zipfile.ZipFile(path).namelist()
+    assert "varilens/operators/overlap.py" in names and "varilens/functions/porter.py" in names
