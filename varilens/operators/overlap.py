@@ -72,9 +72,10 @@ def _gram_table(df: DataFrame, case_col: str, idx_col: str, text_col: str) -> Da
 
     The presence row has ``gram = ''`` for a non-null response and NULL for a
     null one, so the number of responses per case (and cases whose responses
-    are all NULL) come out of the same aggregate as the grams.  Every
-    consumer (pair join, per-case k) reads this one shuffle, so the input
-    plan runs once (exchange reuse).
+    are all NULL) come from the same table as the grams, with no lookup join.
+    Both sides of the pair join read one shuffle of it (exchange reuse in the
+    executed plan); the per-case count filters on ``n``, which Catalyst
+    pushes below the aggregate, so that branch builds its own small copy.
     """
     tok = F.col("tokens")
     empty = F.array().cast("array<string>")
@@ -187,9 +188,9 @@ def _rouge_units(df: DataFrame, case_col: str, idx_col: str, text_col: str) -> D
     Identical responses are scored once and weighted: ``m`` copies, id
     ``tid`` = their smallest index.  The copy count is a partial aggregate,
     so a case made of one text repeated millions of times is one row.  The
-    stemmed table is repartitioned by (case_id, tid) right after the UDF, so
-    every consumer reads one shuffle and the Python stemmer runs once per
-    distinct text.
+    stemmed table is repartitioned by (case_id, tid) right after the UDF; the
+    per-case sums and the token lookups read that one shuffle, the token
+    explode branch (different column set after pruning) stems again.
     """
     units = (df.where(F.col(case_col).isNotNull())
              .groupBy(F.col(case_col).alias("case_id"), F.col(text_col).alias("text"))
