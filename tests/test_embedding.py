@@ -59,3 +59,11 @@ def test_bias_score_and_summaries(spark):
     assert scores == [0.0, 2.0, 4.0, None]
     g = {r.gender: r for r in E.bias_by_gender(s).collect()}
     assert g["female"].mean == pytest.approx(3.0) and g["male"].std is None and "none" not in g
+
+
+def test_median_small_and_constant_paths(spark):
+    vals = [float(x) for x in np.random.default_rng(2).normal(size=300)]
+    df = spark.createDataFrame([(v,) for v in vals], "gender_bias_score double")
+    assert E.median_bias(df).first().mb == pytest.approx(float(np.median(vals)))  # one bounded collect
+    const = spark.createDataFrame([(2.5,)] * 7, "gender_bias_score double")
+    assert E.median_bias(const, max_collect=1).first().mb == 2.5  # min == max, no rounds

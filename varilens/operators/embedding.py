@@ -187,12 +187,18 @@ def median_bias(df: DataFrame, score_col: str = "gender_bias_score", *, max_coll
     from ..session import cut_lineage
     spark = df.sparkSession
     x = df.where(F.col(score_col).isNotNull() & ~F.isnan(score_col)).select(F.col(score_col).cast("double").alias("x"))
-    n = x.count()
+    st = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    n = st["n"]
     if n == 0:
         return spark.createDataFrame([(None,)], "mb double")
-    if n > max_collect:
-        x = cut_lineage(x)
     ranks = sorted({(n - 1) // 2, n // 2})
-    vals = _kth_values(x, ranks, max_collect, buckets)
+    if st["lo"] == st["hi"]:
+        vals = {r: st["lo"] for r in ranks}
+    elif n <= max_collect:
+        # Small input: one bounded collect serves both middle ranks.
+        srt = sorted(row["x"] for row in x.collect())
+        vals = {r: srt[r] for r in ranks}
+    else:
+        vals = _kth_values(cut_lineage(x), ranks, max_collect, buckets)
     mb = (vals[ranks[0]] + vals[ranks[-1]]) / 2.0
     return spark.createDataFrame([(float(mb),)], "mb double")
