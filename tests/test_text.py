@@ -111,3 +111,16 @@ def test_map_options_dict_missing_vs_null(spark):
                                "idx int, question string, options map<string,string>, answer_idx string, answer string")
     rows = M.map_options_dict(df, index_col="idx").orderBy("case_id").collect()
     assert rows[0].case_id == "medqa_00000" and rows[0].option_d == "" and rows[1].option_d is None
+
+
+def test_first_letter_guard_keeps_matches_on_documents(spark):
+    from pyspark.sql import functions as F
+    from varilens import schema as S
+    from varilens.functions import text as X
+    from tests.conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    for words in (S.ETHNICITY_KEYWORDS, S.MALE_WORDS, S.FEMALE_WORDS):
+        plain = "(?iuU)\\b(?:" + X.word_alternation(words) + ")\\b"
+        guarded = X.whole_word_regex(words)
+        diff = docs.where(F.col("text").rlike(plain) != F.col("text").rlike(guarded)).count()
+        assert diff == 0, words[:3]
