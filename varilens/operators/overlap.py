@@ -6,7 +6,7 @@ both are 0 for a pair that shares no token, so pairs are only generated
 through a join on shared tokens/grams:
 
 * BLEU: n-grams are counted once per response, then joined on
-  ``(case_id, n, gram)``; the join key spreads a large case over many keys
+  ``(gram, case_id)``; the join key spreads a large case over many keys
   and AQE's skew handling splits hot grams.  Clipped matches are summed
   per pair; pairs without a shared unigram never exist as rows and enter
   the mean only through the denominator C(k, 2).
@@ -94,15 +94,16 @@ def _bleu_pairs(grams: DataFrame) -> DataFrame:
     """Per pair sharing a gram: BLEU(reference = lower idx, candidate = higher idx)."""
     g = grams.where(F.col("n") > 0)
     a = g.select("case_id", "n", "gram", F.col("idx").alias("i"), F.col("len").alias("ref_len"), F.col("c").alias("ci"))
-    b = g.select("case_id", "n", "gram", F.col("idx").alias("j"), F.col("len").alias("cand_len"), F.col("c").alias("cj"))
+    b = g.select("case_id", "gram", F.col("idx").alias("j"), F.col("len").alias("cand_len"), F.col("c").alias("cj"))
     # The exploded gram table is far larger than the scan it comes from, so a
     # size estimate taken from the files could wrongly pick a broadcast: force a
     # shuffled sort-merge join (AQE still splits skewed gram keys).  Lengths
     # ride along as grouping keys (they are functions of (case, idx)), so no
     # lookup join is needed after the aggregate.
-    # Key order (gram, n, case_id): the sort prefix then discriminates on the
-    # gram text instead of on case ids that share long common prefixes.
-    shared = (a.hint("merge").join(b, ["gram", "n", "case_id"]).where(F.col("i") < F.col("j"))
+    # Keys (gram, case_id): the sort prefix discriminates on the gram text
+    # instead of on case ids that share long common prefixes, and n needs no
+    # key of its own (tokens hold no space, so a gram's n is its space count + 1).
+    shared = (a.hint("merge").join(b, ["gram", "case_id"]).where(F.col("i") < F.col("j"))
               .groupBy("case_id", "i", "j", "ref_len", "cand_len")
               .agg(*[F.sum(F.when(F.col("n") == n, F.least("ci", "cj"))).alias(f"m{n}")
                      for n in range(1, S.BLEU_MAX_N + 1)]))
