@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepared, table, text_or_empty
+from .sharding import write_shards
 from .url_filter import judge_urls
 
 QUERIES: dict = {}
@@ -47,3 +48,15 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {_RULE_VALUES} AS rules(host, path, verdict)")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+# --------------------------------------------------------- 5: sharding ----
+
+@register("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: the order is random by design; tests hold the law, the slots and the rows against the input."""
+    shards = write_shards(table(spark, sf_dir, "documents"), n_shards=24)
+    text = text_or_empty("record.text")
+    return shards.select(F.col("record.doc_id").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"),
+                         F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
