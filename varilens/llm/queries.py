@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import prepared, table, text_or_empty
 from .sharding import write_shards
 from .url_filter import judge_urls
+from .warc import read_archives, write_archives
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -60,3 +61,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select(F.col("record.doc_id").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"),
                          F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ------------------------------------------------------------- 1: WARC ----
+
+@register("op1_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT page_id, strlen(html) AS payload_bytes, d AS payload_digest,
+             CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY d) ELSE page_id END AS best FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN best <> page_id THEN best END AS refers_to
+FROM q""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_archives(write_archives(table(spark, sf_dir, "pages"))).where("kind = 'record'")
+    page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")  # noqa: E731  after "urn:page:"
+    revisit = F.col("record_type") == "revisit"
+    return rows.select(
+        page("record_id").alias("page_id"),
+        F.when(revisit, F.col("header_bytes")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.col("header_digest")).otherwise(F.sha1("payload")).alias("payload_digest"),
+        "record_type", page("refers_to").alias("refers_to"))
