@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_digests
 from .common import prepared, table, text_or_empty
 from .sharding import write_shards
 from .url_filter import judge_urls
@@ -81,3 +83,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(revisit, F.col("header_bytes")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.when(revisit, F.col("header_digest")).otherwise(F.sha1("payload")).alias("payload_digest"),
         "record_type", page("refers_to").alias("refers_to"))
+
+
+# -------------------------------------------------------------- 7: BPE ----
+
+@register("op7_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tests hold ids and texts against the tokenizers library."""
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
