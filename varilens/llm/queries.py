@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_digests
 from .common import prepared, table, text_or_empty
+from .decontaminate import benchmark_matches
 from .sharding import write_shards
 from .url_filter import judge_urls
 from .warc import read_archives, write_archives
@@ -91,3 +92,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: tests hold ids and texts against the tokenizers library."""
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# -------------------------------------------------- 3: decontamination ----
+
+@register("op3_decontaminate")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: edit distance within a text; tests hold the matches against full dynamic programming."""
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
