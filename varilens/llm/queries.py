@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_digests
 from .common import prepared, table, text_or_empty
 from .decontaminate import benchmark_matches
+from .pii import find_spans
 from .sharding import write_shards
 from .url_filter import judge_urls
 from .warc import read_archives, write_archives
@@ -100,3 +101,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: edit distance within a text; tests hold the matches against full dynamic programming."""
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# -------------------------------------------------------------- 4: PII ----
+
+@register("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: DuckDB's regular expressions give no offsets; tests hold the base spans against ``re``."""
+    return find_spans(table(spark, sf_dir, "documents"))
