@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .bpe import encode_digests
 from .common import prepared, table, text_or_empty
 from .decontaminate import benchmark_matches
@@ -109,3 +110,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: DuckDB's regular expressions give no offsets; tests hold the base spans against ``re``."""
     return find_spans(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------- 2: quality ----
+
+@register("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: a trained model; tests hold its accuracy on the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return (quality.scored(docs.select("doc_id", "text"), model)
+            .select("doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+                    (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")))
