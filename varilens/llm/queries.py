@@ -10,6 +10,7 @@ from . import quality
 from .bpe import encode_digests
 from .common import prepared, table, text_or_empty
 from .decontaminate import benchmark_matches
+from .neighbours import nearest
 from .pii import find_spans
 from .sharding import write_shards
 from .url_filter import judge_urls
@@ -122,3 +123,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (quality.scored(docs.select("doc_id", "text"), model)
             .select("doc_id", quality.held_out("doc_id").alias("held_out"), "score",
                     (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")))
+
+
+# --------------------------------------------- 10: nearest neighbours ----
+
+@register("op10_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: approximate; tests and ``brute_force`` measure its recall."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
