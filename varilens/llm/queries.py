@@ -10,6 +10,7 @@ from . import quality
 from .bpe import encode_digests
 from .common import prepared, table, text_or_empty
 from .decontaminate import benchmark_matches
+from .near_dup import near_duplicates
 from .neighbours import nearest
 from .pii import find_spans
 from .sharding import write_shards
@@ -131,3 +132,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: approximate; tests and ``brute_force`` measure its recall."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+# -------------------------------------------------- 6: near-duplicates ----
+
+@register("op6_near_duplicates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: connected groups of a set similarity; tests hold the classes against all pairs."""
+    return (near_duplicates(table(spark, sf_dir, "documents"))
+            .select(F.col("id").alias("doc_id"), F.col("class_id")))
