@@ -13,6 +13,7 @@ from .decontaminate import benchmark_matches
 from .near_dup import near_duplicates
 from .neighbours import nearest
 from .pii import find_spans
+from .repeats import without_repeats
 from .sharding import write_shards
 from .url_filter import judge_urls
 from .warc import read_archives, write_archives
@@ -141,3 +142,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: connected groups of a set similarity; tests hold the classes against all pairs."""
     return (near_duplicates(table(spark, sf_dir, "documents"))
             .select(F.col("id").alias("doc_id"), F.col("class_id")))
+
+
+# --------------------------------------------------- 9: long repeats ----
+
+@register("op9_repeats")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL on whole tables; tests hold the result against all windows of a small table."""
+    return (without_repeats(table(spark, sf_dir, "documents"))
+            .select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))

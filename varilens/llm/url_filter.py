@@ -48,14 +48,18 @@ def bloom_blocks(keys: DataFrame, key: str, n_blocks: int) -> DataFrame:
             .groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)]))
 
 
-def bloom_hits(rows: DataFrame, key: str, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """Rows whose key may be in the filter.  The broadcast holds at most ``n_blocks`` rows of 72 bytes."""
+def bloom_hits(rows: DataFrame, key: str, blocks: DataFrame, n_blocks: int, *, hits: bool = True) -> DataFrame:
+    """Rows whose key may be in the filter; with ``hits=False`` the others, which surely are not listed.
+
+    The broadcast holds at most ``n_blocks`` rows of 72 bytes.
+    """
     hit = F.lit(True)
     for w in range(WORDS):
         m = _mask(F.col(key), w)
         hit = hit & (F.col(f"w{w}").bitwiseAND(m) == m)
     return (rows.withColumn("block", _block(F.col(key), n_blocks))
-            .join(F.broadcast(blocks), "block").where(hit)
+            .join(F.broadcast(blocks), "block", "inner" if hits else "left")
+            .where(hit if hits else ~F.coalesce(hit, F.lit(False)))
             .drop("block", *[f"w{w}" for w in range(WORDS)]))
 
 
