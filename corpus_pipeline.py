@@ -1,12 +1,56 @@
-"""Corpus cleaning pipeline over ``documents``; each stage calls one operator of ``varilens.llm``."""
+"""Corpus cleaning pipeline over ``documents``; each stage calls one operator of ``varilens.llm``.
+
+A stage works on all rows that its predecessor kept, and its decisions take
+effect on the rows it returns.  All stages but the last return the columns of
+``documents``.  ``run`` writes each result as Parquet into the shared folder
+and reads it back, so a lost executor never repeats an earlier stage.
+
+Defined results for odd inputs are those of the operators: NULL texts count
+as empty, repeated rows fall together in near-dedup (one row stays), an empty
+table passes through, extra columns are carried to the last stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varilens.llm.common import staged
+from varilens.llm import bpe, decontaminate, near_dup, pii, quality
+from varilens.llm.common import staged, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, accepts."""
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the least id."""
+    return near_dup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars counts the new text."""
+    return pii.redacted(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and hashes of ids and decoded text of every document."""
+    return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("PII", mask_pii),
+    ("BPE encoding and decoding", encode),
+]
 
 #: No SQL: the classifier, the near-copy groups and the tokenizer can't be said in it.
 ORACLE_SQL = None
@@ -14,8 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each stage's result is written and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, f"pipeline-{k}")

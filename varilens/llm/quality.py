@@ -234,3 +234,18 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, Network], *, text_col: str
                 yield part.append_column(score_col, pa.array(score, pa.float64()))
 
     return docs.mapInArrow(run, docs.select("*", F.lit(0.5).alias(score_col)).schema)
+
+
+def accepted(docs: DataFrame, model: tuple[np.ndarray, Network], *, text_col: str = "text",
+             threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``; rows and columns pass through unchanged, map-only."""
+    spark = prepared(docs.sparkSession)
+    at, held = docs.columns.index(text_col), spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, network = held.value
+        for batch in batches:
+            for part in slices(batch, at, SLICE_BYTES):
+                yield part.filter(pa.array(network.score(pooled(part.column(at), vectors)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
