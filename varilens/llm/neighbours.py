@@ -145,19 +145,18 @@ class Grid:
 
 
 def _ordered(reps: DataFrame, grid, dim: int, parts: int) -> DataFrame:
-    """``key, ids, vec, ordering, rank``: all rows in all orderings, numbered from 0 in each."""
+    """``key, ordering, rank``: all vectors in all orderings, numbered from 0 in each; the vectors stay behind."""
     spark = reps.sparkSession
     held = spark.sparkContext.broadcast(grid)
-    shape = "key long, ids array<long>, vec array<double>, ordering int"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                u = units(matrix(batch.column(2), dim))
+                u = units(matrix(batch.column(1), dim))
                 for o in range(ORDERINGS):
                     yield pa.RecordBatch.from_arrays(
-                        [*batch.columns, pa.array(np.full(len(u), o, np.int32)), pa.array(held.value.keys(u, o))],
-                        names=["key", "ids", "vec", "ordering", "curve"])
+                        [batch.column(0), pa.array(np.full(len(u), o, np.int32)), pa.array(held.value.keys(u, o))],
+                        names=["key", "ordering", "curve"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
@@ -165,15 +164,16 @@ def _ordered(reps: DataFrame, grid, dim: int, parts: int) -> DataFrame:
             yield batch.append_column("row", pa.array(np.arange(seen, seen + batch.num_rows)))
             seen += batch.num_rows
 
-    placed = (reps.mapInArrow(place, f"{shape}, curve long").repartitionByRange(parts, "ordering", "curve", "key")
+    shape = "key long, ordering int, curve long"
+    placed = (reps.select("key", "vec").mapInArrow(place, shape).repartitionByRange(parts, "ordering", "curve", "key")
               .sortWithinPartitions("ordering", "curve", "key").withColumn("part", F.spark_partition_id()))
-    rows = staged(placed.mapInArrow(number, f"{shape}, curve long, part int, row long"), "orderings")
+    rows = staged(placed.mapInArrow(number, f"{shape}, part int, row long"), "orderings")
     # Places before each part of an ordering: as many rows as partitions, not as data.
     parts_of = rows.groupBy("ordering", "part").agg(F.count("*").alias("n"), F.min("row").alias("head"))
     before = F.sum("n").over(Window.partitionBy("ordering").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = parts_of.select("ordering", "part", (F.coalesce(before, F.lit(0)) - F.col("head")).alias("start"))
     return (rows.join(F.broadcast(starts), ["ordering", "part"])  # one row per partition and ordering
-            .select("key", "ids", "vec", "ordering", (F.col("row") + F.col("start")).alias("rank")))
+            .select("key", "ordering", (F.col("row") + F.col("start")).alias("rank")))
 
 
 def _best(ids: list[list[int]], cand: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int):
@@ -201,7 +201,9 @@ def nearest(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_co
     """``query_id, rank, id, score``: the ``k`` nearest rows found for each row where ``is_query`` holds."""
     spark = prepared(rows.sparkSession)
     empty = spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
-    vec = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
+    vec = F.col(vec_col)
+    if rows.schema[vec_col].dataType.simpleString() not in ("array<float>", "array<double>"):
+        vec = vec.cast("array<double>")
     base = (rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), is_query.alias("asks"))
             .where(F.col("id").isNotNull() & _usable(F.col("vec"))))
     lengths = base.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
@@ -215,7 +217,7 @@ def nearest(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_co
 
     fit = reps.orderBy(F.xxhash64("key"), "key").limit(FIT_ROWS).select("vec").collect()  # bounded sample
     grid = Grid(np.array([r[0] for r in fit]), seed)
-    parts = max(ORDERINGS, math.ceil(n * ORDERINGS * (8 * dim + 64) / (64 << 20)), spark.sparkContext.defaultParallelism)
+    parts = max(ORDERINGS, math.ceil(n * ORDERINGS * 32 / (64 << 20)), spark.sparkContext.defaultParallelism)
     ordered = _ordered(reps, grid, dim, parts)
     window = _window(reps, ordered, queries, dim, k, n, target)
 
@@ -223,13 +225,13 @@ def nearest(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_co
     # Queries with equal vectors ask once, under the key of their vector.
     asks = staged(queries.select(F.col("id").alias("query_id"), "vec")
                   .join(reps.select("vec", F.col("key").alias("qkey")), "vec").select("query_id", "qkey"), "asks")
-    places = staged(asks.select("qkey").distinct().join(ordered, F.col("qkey") == F.col("key"))
-                    .select("qkey", F.col("vec").alias("qvec"), "ordering", "rank"), "places")
+    places = staged(asks.select(F.col("qkey").alias("key")).distinct().join(reps, "key").join(ordered, "key")
+                    .select(F.col("key").alias("qkey"), F.col("vec").alias("qvec"), "ordering", "rank"), "places")
     asked = places.select(
         "qkey", "qvec", "ordering", F.pmod(F.xxhash64("qkey"), F.lit(chunks)).cast("int").alias("chunk"),
         F.explode(F.sequence(F.expr(f"greatest(0L, rank - {window}L) div {BLOCK}"),
                              F.expr(f"least({n - 1}L, rank + {window}L) div {BLOCK}"))).alias("block"))
-    blocks = ordered.select("ids", "vec", "ordering", F.expr(f"rank div {BLOCK}").alias("block"),
+    blocks = ordered.join(reps, "key").select("ids", "vec", "ordering", F.expr(f"rank div {BLOCK}").alias("block"),
                             F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -285,8 +287,8 @@ def _window(reps: DataFrame, ordered: DataFrame, queries: DataFrame, dim: int, k
     pairs = [(r[0], r[1]) for r in brute_force(reps, probes, dim, k).collect()]  # at most PROBES * k
     wanted = {i for p in pairs for i in p}
     ids = reps.sparkSession.createDataFrame([(i,) for i in sorted(wanted)], "id long")
-    rows = (ordered.select("ordering", "rank", F.explode("ids").alias("id"))
-            .join(F.broadcast(ids), "id").collect())  # at most ORDERINGS * PROBES * (k + 1)
+    keys = reps.select("key", F.explode("ids").alias("id")).join(F.broadcast(ids), "id")
+    rows = ordered.join(F.broadcast(keys), "key").collect()  # at most ORDERINGS * PROBES * (k + 1), as bounded as keys
     at: dict[int, np.ndarray] = {}
     for r in rows:
         at.setdefault(r["id"], np.zeros(ORDERINGS))[r["ordering"]] = r["rank"]
