@@ -38,15 +38,34 @@ def test_pca_direction_matches_numpy(spark):
     assert np.allclose(g, ref, atol=1e-8)
 
 
-def test_median_exact_with_refinement(spark):
-    vals = [float(x) for x in np.random.default_rng(1).normal(size=2001)] + [float("nan")]
-    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "gender_bias_score double")
-    got = E.median_bias(df, max_collect=50, buckets=8).first().mb
-    assert got == pytest.approx(float(np.median([v for v in vals if v == v])))
-    even = spark.createDataFrame([(1.0,), (2.0,), (10.0,), (4.0,)], "gender_bias_score double")
-    assert E.median_bias(even, max_collect=1, buckets=2).first().mb == pytest.approx(3.0)
-    empty = spark.createDataFrame([], "gender_bias_score double")
-    assert E.median_bias(empty).first().mb is None
+@pytest.mark.parametrize("values", [
+    np.random.default_rng(1).normal(size=2001).tolist() + [float("nan")], np.random.default_rng(2).normal(size=300).tolist(),
+    [1.0, 2.0, 10.0, 4.0], [2.5] * 7, [3.0], [1.0, 1.0, 2.0, 2.0], [float("inf"), 1.0, 2.0, 3.0, 4.0, 5.0, 6.0],
+    [float("-inf"), float("-inf"), 1.0], [5.0, float("inf")], [0.0] * 500 + [1.0] * 500])
+def test_median_is_exact_and_one_lazy_plan(spark, values):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "gender_bias_score double")
+    fine = [v for v in values if v == v]
+    exp = pytest.approx(float(np.median(fine)))
+    assert E.median_bias(df).first().mb == exp
+    assert E.median_bias(df, accuracy=20).first().mb == exp  # a wide bracket
+
+
+def test_median_of_nothing(spark):
+    for rows in ([], [(None,)], [(float("nan"),)]):
+        assert E.median_bias(spark.createDataFrame(rows, "gender_bias_score double")).first().mb is None
+
+
+def test_cossim_leaves_out_null_cases(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), ("a", [1.0, 0.0]), ("a", [0.0, 0.0]), ("b", [1.0, 1.0])],
+                               "case_id string, embedding array<double>")
+    assert {r.case_id: r.cossim for r in E.cossim_across_variants(df).collect()} == {"a": 0.0, "b": None}
+
+
+def test_hashing_embedder_is_native_and_counts_tokens(spark):
+    from varilens.functions.hashing import hashing_embedder
+    df = spark.createDataFrame([("a b a",), ("",), (None,)], "t string")
+    rows = [r[0] for r in df.select(hashing_embedder(8)(df["t"])).collect()]
+    assert sum(map(abs, rows[0])) in (1.0, 3.0) and rows[1] == [0.0] * 8 and rows[2] is None
 
 
 def test_bias_score_and_summaries(spark):
@@ -59,11 +78,3 @@ def test_bias_score_and_summaries(spark):
     assert scores == [0.0, 2.0, 4.0, None]
     g = {r.gender: r for r in E.bias_by_gender(s).collect()}
     assert g["female"].mean == pytest.approx(3.0) and g["male"].std is None and "none" not in g
-
-
-def test_median_small_and_constant_paths(spark):
-    vals = [float(x) for x in np.random.default_rng(2).normal(size=300)]
-    df = spark.createDataFrame([(v,) for v in vals], "gender_bias_score double")
-    assert E.median_bias(df).first().mb == pytest.approx(float(np.median(vals)))  # one bounded collect
-    const = spark.createDataFrame([(2.5,)] * 7, "gender_bias_score double")
-    assert E.median_bias(const, max_collect=1).first().mb == 2.5  # min == max, no rounds

@@ -158,3 +158,29 @@ def test_bleu_with_copies_and_mixed_lengths_matches_brute_force(spark):
             assert got[cid] is None, cid
         else:
             assert got[cid] == pytest.approx(exp, abs=1e-12), cid
+
+
+def test_explicit_pairs_with_null_and_repeated_keys(spark):
+    rows = [(None, "a b c d e", "a b c d e"), (1, "a b a b c", "a b x"), (1, "q r s", "x y z"), (2, None, "a"), (3, "", "")]
+    df = spark.createDataFrame(rows, "k long, r string, c string")
+    got = sorted(((r.k is None, r.k or 0, round(r.bleu, 9)) for r in B.pair_bleu(df, reference_col="r", candidate_col="c", key_cols=["k"]).collect()))
+    assert got == sorted((k is None, k or 0, round(py_bleu(r or "", c or ""), 9)) for k, r, c in rows)
+
+
+def test_compared_prompts_leave_out_null_cases(spark):
+    from varilens.operators.prompts import compare_prompts
+    rows = [(c, i, "A", "White", 1, 0, 0, "A", t) for c, i, t in
+            [("x", 0, "a b c d"), ("x", 1, "a b c d"), (None, 0, "a b"), (None, 1, "q r s t")]]
+    df = spark.createDataFrame(rows, "case_id string, variant_idx int, answer_idx string, ethnicity string, gender_male int, "
+                                     "gender_female int, gender_none int, ans string, ex string")
+    r = compare_prompts(df, answer_cols={"p|1": "ans"}, explanation_cols={"p|1": "ex"}).collect()
+    assert [(x.prompt_id, x.mean_pairwise_bleu, x.n_cases) for x in r] == [("p|1", 1.0, 0)]
+
+
+def test_stems_of_everyday_words():
+    """Worked by hand from the published rules."""
+    known = {"used": "use", "using": "use", "uses": "use", "aged": "age", "ages": "age", "biology": "biolog", "biological": "biolog",
+             "inning": "inning", "innings": "inning", "outing": "outing", "sky": "sky", "skies": "sky", "additionally": "addit",
+             "additional": "addit", "dying": "die", "caresses": "caress", "ponies": "poni", "hopping": "hop", "hoping": "hope",
+             "relational": "relat", "feed": "feed", "agreed": "agre", "controlling": "control", "probate": "probat", "rate": "rate"}
+    assert {w: stem(w) for w in known} == known

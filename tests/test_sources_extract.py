@@ -88,15 +88,29 @@ def test_entry_and_contract(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-def test_spread_only_repartitions_narrow_scans(spark):
+def test_spread_deals_as_told(spark):
     from varilens.sources.readers import spread
     one = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    assert one.rdd.getNumPartitions() == 1
-    wide = spread(one, min_partitions=4)
-    assert wide.rdd.getNumPartitions() == 4
-    assert wide.count() == one.count()
-    many = one.repartition(6)
-    assert spread(many, min_partitions=4) is many
+    wide = spread(one, 4)
+    assert wide.rdd.getNumPartitions() == 4 and wide.count() == one.count()
+
+
+def test_sections_by_position(spark):
+    def page(*parts):
+        return "<article>" + "".join(p if p.startswith("<") else f"<p>{p}</p>" for p in parts) + "</article>"
+    sel = H.Selectors(min_words=3)
+    rows = [
+        page("Case", "one two three", "short", "Diagnosis", "Gout", "What to Do Next", "Wait", "Discussion", "four five six"),
+        page("Answer", "Diagnosis", "free words here", "Diagnosis", "Flu", "<div>Article Information</div>", "Diagnosis", "Late"),
+        page("Diagnosis", "Flu", "Answer"), page(), "<p>no container here</p>",
+        page("Discussion", "a b c", "Case", "d e f"),
+    ]
+    found = H.extract_pages(spark.createDataFrame(list(enumerate(rows)), "page_id long, html string").selectExpr("*", "'u' as url"), sel)
+    got = [(r.diagnosis, r.chosen_option, r.case_paras, r.discussion_paras, r.paragraphs) for r in found.orderBy("page_id").collect()]
+    assert got == [
+        ("Gout", "Wait", ["one two three"], ["four five six"], ["one two three", "four five six"]),
+        ("Flu", "Flu", [], [], ["free words here"]), ("Flu", "", [], [], []), ("", "", [], [], []), ("", "", [], [], []),
+        ("", "", ["d e f"], ["a b c", "d e f"], ["a b c", "d e f"])]
 
 
 def test_package_is_shipped_to_python_workers(spark):

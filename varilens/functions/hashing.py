@@ -1,31 +1,24 @@
 """A feature-hashing text embedder (stand-in for a sentence encoder in tests and queries).
 
-Whitespace tokens are hashed into ``dim`` buckets with a sign bit
-(xxhash64), giving a deterministic, model-free vector per text.  Runs as an
-Arrow-batched UDF, so each text is processed inside the task that owns it.
+White-space tokens are hashed by MD5 into ``dim`` buckets with a sign, all in
+built-in functions; a text without tokens is the zero vector, NULL stays NULL.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .text import whitespace_tokens
 
 
 def hashing_embedder(dim: int = 64):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        import xxhash
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            v = np.zeros(dim)
-            for tok in t.split():
-                h = xxhash.xxh64_intdigest(tok)
-                v[h % dim] += 1.0 if (h >> 63) & 1 else -1.0
-            out.append(v.tolist())
-        return pd.Series(out)
+    """A function from a text column to its vector: hex digits 1-8 of a token's hash are its bucket, digit 9 its sign."""
+    def embed(text: Column) -> Column:
+        signed = F.transform(whitespace_tokens(text), lambda t: F.struct(
+            F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).alias("at"),
+            F.when(F.substring(F.md5(t), 9, 1) < "8", F.lit(-1.0)).otherwise(F.lit(1.0)).alias("sign")))
+        return F.when(text.isNotNull(), F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda d: F.aggregate(F.filter(signed, lambda x: x["at"] == d), F.lit(0.0), lambda s, x: s + x["sign"])))
     return embed

@@ -13,8 +13,9 @@ _VOWELS = frozenset("aeiou")
 
 # Irregular forms kept whole (fixed values of the NLTK-mode stemmer).
 _IRREGULAR = {
-    "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
-    "innings": "inning", "outings": "outing", "cannings": "canning", "howe": "howe",
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "inning": "inning", "innings": "inning", "outing": "outing", "outings": "outing",
+    "canning": "canning", "cannings": "canning", "howe": "howe",
     "proceed": "proceed", "exceed": "exceed", "succeed": "succeed",
 }
 
@@ -48,6 +49,9 @@ def _double_cons(w: str) -> bool:
 
 
 def _cvc(w: str) -> bool:
+    """Ends consonant-vowel-consonant (the last not w, x, y); a whole word vowel-consonant counts too."""
+    if len(w) == 2:
+        return not _cons(w, 0) and _cons(w, 1)
     if len(w) < 3:
         return False
     return (_cons(w, len(w) - 3) and not _cons(w, len(w) - 2) and _cons(w, len(w) - 1)
@@ -66,7 +70,7 @@ _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "an
           ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
           ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
           ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
-          ("fulli", "ful"), ("lessli", "less"), ("logi", "log")]
+          ("fulli", "ful"), ("logi", "log")]
 _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"),
           ("ful", ""), ("ness", "")]
 _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion",
@@ -119,8 +123,13 @@ def stem(word: str) -> str:
     # Step 1c
     if w.endswith("y") and len(w) > 2 and _cons(w, len(w) - 2):
         w = w[:-1] + "i"
-    # Step 2-3
-    w = _replace(w, _STEP2, lambda s: _m(s) > 0)
+    # Step 2-3; after "alli" the step is taken once more, "logi" counts its own l and o
+    if w.endswith("alli") and _m(w[:-4]) > 0:
+        w = w[:-2]
+    if w.endswith("logi"):
+        w = w[:-1] if _m(w[:-3]) > 0 else w
+    else:
+        w = _replace(w, _STEP2, lambda s: _m(s) > 0)
     w = _replace(w, _STEP3, lambda s: _m(s) > 0)
     # Step 4
     for suf in _STEP4:
@@ -135,6 +144,6 @@ def stem(word: str) -> str:
         if _m(s) > 1 or (_m(s) == 1 and not _cvc(s)):
             w = s
     # Step 5b
-    if _m(w) > 1 and _double_cons(w) and w.endswith("l"):
+    if w.endswith("ll") and _m(w[:-1]) > 1:
         w = w[:-1]
     return w

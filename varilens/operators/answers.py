@@ -161,8 +161,11 @@ def skewsize(vs: DataFrame) -> DataFrame:
     return out
 
 
-def skewsize_from_cube(cube: DataFrame, min_expected_value: float = 5) -> DataFrame:
-    return skewsize(cramers_v_by_label(contingency_by_label(cube), min_expected_value))
+def skewsize_from_cube(cube: DataFrame, min_expected_value: float = 5, label_col: str = "answer_idx") -> DataFrame:
+    """A6 for every model of the cube; one without a usable label has a NULL skew and 0 cases."""
+    found = skewsize(cramers_v_by_label(contingency_by_label(cube, label_col), min_expected_value))
+    return (cube.select("llm").where(F.col("llm").isNotNull()).distinct().join(found, "llm", "left")
+            .select("llm", "skewsize", F.coalesce("n_cases", F.lit(0).cast("long")).alias("n_cases")))
 
 
 def eval_header(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ functions (``zip_with`` / ``aggregate``), always in double precision.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -44,29 +44,30 @@ def cossim_across_variants(df: DataFrame, *, embedding_col: str = "embedding",
 
     With unit vectors u (zero vectors stay zero), the sum over pairs i<j of
     u_i . u_j is (|sum u|^2 - sum |u|^2) / 2, so the mean is
-    (|sum u|^2 - sum |u|^2) / (k (k - 1)).  Sums are per (case, dimension),
-    a partial aggregate that spreads even a huge case over its dimensions.
-    One response gives NULL; cases without responses give no row.
+    (|sum u|^2 - sum |u|^2) / (k (k - 1)).  One partial aggregate per case
+    (vector sum, count, sum of squares), so even a huge case is one row per
+    task before the only shuffle.  One response gives NULL; cases without
+    responses and rows with a NULL case id give no row.
     """
-    u = df.where(F.col(embedding_col).isNotNull()).select(
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    u = df.where(F.col(embedding_col).isNotNull() & F.col(case_col).isNotNull()).select(
         F.col(case_col).alias("case_id"), unit(embedding_col).alias("u"))
-    per_vec = u.select("case_id", F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x).alias("sq"),
-                       F.posexplode("u").alias("dim", "x"))
-    per_dim = per_vec.groupBy("case_id", "dim").agg(F.sum("x").alias("s"))
-    norms = u.groupBy("case_id").agg(F.count(F.lit(1)).alias("k"),
-                                     F.sum(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x)).alias("sum_sq"))
-    tot = per_dim.groupBy("case_id").agg(F.sum(F.col("s") * F.col("s")).alias("sq_of_sum"))
-    out = norms.join(tot, "case_id", "left")
-    mean = F.try_divide(F.coalesce(F.col("sq_of_sum"), F.lit(0.0)) - F.col("sum_sq"),
-                        (F.col("k") * (F.col("k") - 1)).cast("double"))
-    return out.select("case_id", F.when(F.col("k") < 2, F.lit(None).cast("double")).otherwise(mean).alias("cossim"))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+    out = u.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("k"), F.sum(square("u")).alias("sum_sq"),
+        square(vector_to_array(Summarizer.sum(array_to_vector("u")))).alias("sq_of_sum"))
+    mean = F.try_divide(F.col("sq_of_sum") - F.col("sum_sq"), (F.col("k") * (F.col("k") - 1)).cast("double"))
+    return out.select("case_id", F.when(F.col("k") >= 2, mean).alias("cossim"))
 
 
 def embed_distinct(df: DataFrame, text_col: str, embed) -> DataFrame:
-    """Embed each distinct text once with ``embed`` (a Column -> Column UDF) and join back."""
-    texts = df.select(text_col).where(F.col(text_col).isNotNull()).distinct()
-    emb = texts.select(text_col, embed(F.col(text_col)).alias("embedding"))
-    return df.join(emb, text_col, "left")
+    """Embed each distinct text once with ``embed`` (Column -> Column) and join back, on a hash before the text."""
+    keyed = df.withColumn("_hash", F.xxhash64(text_col))
+    texts = keyed.select("_hash", text_col).where(F.col(text_col).isNotNull()).distinct()
+    emb = texts.select("_hash", text_col, embed(F.col(text_col)).alias("embedding"))
+    return keyed.join(emb, ["_hash", text_col], "left").drop("_hash")
 
 
 # --------------------------------------------------------- gender direction ----
@@ -141,64 +142,25 @@ def bias_crosstab(df: DataFrame, score_col: str = "gender_bias_score") -> DataFr
             .agg(F.avg(score_col).alias("mean")))
 
 
-def _kth_values(x: DataFrame, ranks, max_collect: int, buckets: int) -> dict:
-    """Exact k-th smallest values of column ``x`` for each rank, without a global sort.
+def median_bias(df: DataFrame, score_col: str = "gender_bias_score", *, accuracy: int = 200_000) -> DataFrame:
+    """Exact median of the score (mean of the two middle values when n is even), as one lazy plan.
 
-    Each round counts ``buckets`` value ranges of the rows still in play (a
-    tiny grouped result) and keeps only the bucket holding the rank; the
-    bucket test is the same expression every round, so edges are consistent.
-    Stops when at most ``max_collect`` rows remain, then sorts those.
-    """
-    out = {}
-    for r in ranks:
-        pred, below = F.lit(True), 0
-        while True:
-            inside = x.where(pred)
-            st = inside.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-            if st["lo"] == st["hi"]:
-                out[r] = st["lo"]
-                break
-            if st["n"] <= max_collect:
-                srt = sorted(v["x"] for v in inside.collect())
-                out[r] = srt[r - below]
-                break
-            lo, width = st["lo"], (st["hi"] - st["lo"]) / buckets
-            b = F.least(F.greatest(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(0)),
-                        F.lit(buckets - 1)).cast("int")
-            hist = sorted((row["b"], row["c"]) for row in
-                          inside.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect())
-            for bi, c in hist:
-                if below + c > r:
-                    pred = pred & (b == bi)
-                    break
-                below += c
-    return out
-
-
-def median_bias(df: DataFrame, score_col: str = "gender_bias_score", *, max_collect: int = 200_000,
-                buckets: int = 4096) -> DataFrame:
-    """Exact median of the score (mean of the two middle values when n is even).
-
-    No single task or the driver ever holds the whole column: ranks are
-    located by bucket counting (``_kth_values``); inputs larger than
-    ``max_collect`` are checkpointed first so the rounds re-read a stable copy.
-    Empty input -> NULL.
+    An approximate quantile sketch brackets the middle: its rank error is at
+    most ``n / accuracy``, and the bracket is two such steps wide on either
+    side, so both middle rows lie inside.  Rows below are only counted, rows
+    inside are counted per value (partial aggregates), and only these few
+    counts are ordered.  NULL and NaN are left out; empty input -> NULL.
     """
-    from ..session import cut_lineage
-    spark = df.sparkSession
     x = df.where(F.col(score_col).isNotNull() & ~F.isnan(score_col)).select(F.col(score_col).cast("double").alias("x"))
-    st = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    n = st["n"]
-    if n == 0:
-        return spark.createDataFrame([(None,)], "mb double")
-    ranks = sorted({(n - 1) // 2, n // 2})
-    if st["lo"] == st["hi"]:
-        vals = {r: st["lo"] for r in ranks}
-    elif n <= max_collect:
-        # Small input: one bounded collect serves both middle ranks.
-        srt = sorted(row["x"] for row in x.collect())
-        vals = {r: srt[r] for r in ranks}
-    else:
-        vals = _kth_values(cut_lineage(x), ranks, max_collect, buckets)
-    mb = (vals[ranks[0]] + vals[ranks[-1]]) / 2.0
-    return spark.createDataFrame([(float(mb),)], "mb double")
+    step = 2.0 / accuracy
+    around = F.percentile_approx("x", [0.5 - step, 0.5 + step], accuracy)
+    bounds = x.agg(F.struct(F.count(F.lit(1)).alias("n"), around[0].alias("low"), around[1].alias("high")).alias("b")).scalar()
+    low, high, n = bounds["low"], bounds["high"], bounds["n"]
+    inside = F.when(F.col("x") >= low, F.col("x"))
+    counts = (x.where(F.col("x") <= high).groupBy(inside.alias("value")).agg(F.count(F.lit(1)).alias("c"))
+              .withColumn("upto", F.sum("c").over(Window.orderBy(F.asc_nulls_first("value")))))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank), F.col("value")))
+
+    return counts.agg(((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2.0).alias("mb"))

@@ -139,21 +139,22 @@ def bleu_across_variants(df: DataFrame, *, response_col: str, case_col: str = "c
     return _mean_over_pairs(k, sums, "bleu")
 
 
+def _clipped(ref, cand, n: int):
+    """Sum over the distinct n-grams of ``cand`` of the smaller of its two counts."""
+    r, c = _ngrams(ref, n), _ngrams(cand, n)
+    times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+    return F.aggregate(F.array_intersect(c, r), F.lit(0), lambda s, g: s + F.least(times(r, g), times(c, g)))
+
+
 def pair_bleu(df: DataFrame, *, reference_col: str, candidate_col: str, key_cols) -> DataFrame:
-    """B1 for explicit (reference, candidate) rows identified by ``key_cols``."""
-    keys = list(key_cols)
-    base = df.select(*keys, X.whitespace_tokens(F.coalesce(F.col(reference_col), F.lit(""))).alias("rt"),
-                     X.whitespace_tokens(F.coalesce(F.col(candidate_col), F.lit(""))).alias("ct"))
-    ref = base.select(*keys, F.col("rt").alias("tokens"))
-    cand = base.select(*keys, F.col("ct").alias("tokens"))
-    g_r = gram_counts(ref, keys).withColumnRenamed("c", "cr")
-    g_c = gram_counts(cand, keys).withColumnRenamed("c", "cc")
-    m = (g_r.join(g_c, [*keys, "n", "gram"]).groupBy(*keys)
-         .agg(*[F.sum(F.when(F.col("n") == n, F.least("cr", "cc"))).alias(f"m{n}")
-                for n in range(1, S.BLEU_MAX_N + 1)]))
-    out = base.join(m, keys, "left")
-    mm = {n: F.col(f"m{n}") for n in range(1, S.BLEU_MAX_N + 1)}
-    return out.select(*keys, _bleu_expr(F.size("rt"), F.size("ct"), mm).alias("bleu"))
+    """B1 for explicit (reference, candidate) rows: ``key_cols`` and ``bleu``, scored inside each row.
+
+    Keys are only carried along, so NULL and repeated keys are rows like any other.
+    """
+    base = df.select(*key_cols, X.whitespace_tokens(F.coalesce(F.col(reference_col), F.lit(""))).alias("_ref"),
+                     X.whitespace_tokens(F.coalesce(F.col(candidate_col), F.lit(""))).alias("_cand"))
+    matches = {n: _clipped(F.col("_ref"), F.col("_cand"), n) for n in range(1, S.BLEU_MAX_N + 1)}
+    return base.select(*key_cols, _bleu_expr(F.size("_ref"), F.size("_cand"), matches).alias("bleu"))
 
 
 # --------------------------------------------------------------- ROUGE-L ----

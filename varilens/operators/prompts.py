@@ -104,10 +104,9 @@ def compare_prompts(df: DataFrame, *, answer_cols: dict, explanation_cols: dict,
     skew = A.skewsize_from_cube(cube, min_expected_value).withColumnRenamed("llm", "prompt_id")
     expl = wide.select("case_id", "variant_idx", F.inline(F.array(*[
         F.struct(F.lit(p).alias("prompt_id"), F.col(f"_x_{p}").alias("explanation")) for p in ids])))
-    keyed = expl.withColumn("pcase", F.concat_ws("|", "prompt_id", "case_id"))
-    per_case = B.bleu_across_variants(keyed, response_col="explanation", case_col="pcase")
-    bleu = (per_case.withColumn("prompt_id", F.substring_index("case_id", "|", 1))
-            .groupBy("prompt_id").agg(F.avg("bleu").alias("mean_pairwise_bleu")))
+    keyed = expl.where(F.col("case_id").isNotNull()).withColumn("key", F.struct("prompt_id", "case_id"))
+    per_case = B.bleu_across_variants(keyed, response_col="explanation", case_col="key")
+    bleu = (per_case.groupBy(F.col("case_id.prompt_id").alias("prompt_id")).agg(F.avg("bleu").alias("mean_pairwise_bleu")))
     return (skew.join(bleu, "prompt_id", "full")
             .select("prompt_id", F.col("skewsize").alias("cramers_v_skew"), "mean_pairwise_bleu", "n_cases")
             .orderBy(F.asc_nulls_last("cramers_v_skew"), "prompt_id"))

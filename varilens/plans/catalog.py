@@ -327,8 +327,8 @@ mo AS (SELECT v.llm, avg(power(v.cramers_v - st.mu, 2)) AS m2, avg(power(v.crame
        FROM vs v JOIN st USING (llm) WHERE v.cramers_v IS NOT NULL GROUP BY v.llm),
 skew AS (
   SELECT llm, CASE WHEN m2 <= power(1e-15 * mu, 2) THEN NULL ELSE m3 / power(m2, 1.5) END AS skewsize,
-         CAST(n AS BIGINT) AS n_cases
-  FROM st JOIN mo USING (llm)
+         CAST(coalesce(n, 0) AS BIGINT) AS n_cases
+  FROM (SELECT DISTINCT llm FROM cube) LEFT JOIN st USING (llm) LEFT JOIN mo USING (llm)
 )"""
 
 
@@ -1063,14 +1063,30 @@ def q_evaluate(spark, sf):
     return r9(rows)
 
 
-@register("embed_dedup")
+_EMBED_SQL = FX.RESPONSES_SQL + f""",
+tok AS (SELECT response, md5(t) AS h FROM (
+          SELECT response, unnest({Q.tokens_sql('response')}) AS t FROM (SELECT DISTINCT response FROM responses WHERE response IS NOT NULL))),
+hashed AS (SELECT response, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS dim, sum(CASE WHEN substr(h, 9, 1) < '8' THEN -1.0 ELSE 1.0 END) AS x
+           FROM tok GROUP BY 1, 2),
+vectors AS (SELECT response, sqrt(sum(x * x)) AS norm FROM hashed GROUP BY 1),
+rows_ AS (SELECT row_number() OVER () AS r, case_id, response FROM responses WHERE response IS NOT NULL),
+unit AS (SELECT case_id, r, dim, CASE WHEN norm = 0 THEN 0.0 ELSE x / norm END AS u FROM rows_ JOIN hashed USING (response) JOIN vectors USING (response)),
+sums AS (SELECT case_id, dim, sum(u) AS s FROM unit GROUP BY 1, 2),
+total AS (SELECT case_id, sum(s * s) AS sq FROM sums GROUP BY 1),
+own AS (SELECT case_id, sum(u * u) AS sq FROM unit GROUP BY 1),
+k AS (SELECT case_id, count(*) AS k FROM rows_ GROUP BY 1)"""
+
+
+@register("embed_dedup", W(_EMBED_SQL, """
+SELECT k.case_id, round(CASE WHEN k >= 2 THEN (coalesce(total.sq, 0) - coalesce(own.sq, 0)) / (k * (k - 1)) END, 9) AS cossim
+FROM k LEFT JOIN total USING (case_id) LEFT JOIN own USING (case_id)"""))
 def q_embed_dedup(spark, sf):
     """Every distinct response text embedded once (feature-hashing embedder as a stand-in model)."""
     from ..operators.embedding import embed_distinct
     from ..functions.hashing import hashing_embedder
     resp = FX.responses(spark, sf)
     out = embed_distinct(resp, "response", hashing_embedder(64))
-    return E.cossim_across_variants(out.where(F.col("embedding").isNotNull()))
+    return r9(E.cossim_across_variants(out.where(F.col("embedding").isNotNull())))
 
 
 # Regex-expressible page fields get an oracle (the test pages use plain tags).

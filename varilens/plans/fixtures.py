@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import variants as V
+from ..session import INPUT_PARTITIONS
 from ..sources.readers import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A test table.  Each is one row group; a local session (tests, bench) asks for the rows to be spread."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    partitions = spark.conf.get(INPUT_PARTITIONS, None)
+    return spread(df, int(partitions)) if partitions else df
 
 
 # ---------------------------------------------------------------- cases ----

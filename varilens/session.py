@@ -7,6 +7,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Partitions over which the test tables are dealt; set by ``local_session`` only.
+INPUT_PARTITIONS = "spark.varilens.inputPartitions"
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -30,6 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(INPUT_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     return spark

@@ -41,17 +41,17 @@ def load_snapshot(spark: SparkSession, root: str, dataset: str, config: str | No
 
 def load(spark: SparkSession, source: str, config: str | None = None, split: str = "train", *,
          snapshot_root: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """S3: dispatch on the path suffix; anything else that exists is an error; else a snapshot id."""
+    """S3: dispatch on the suffix; a name with another suffix is an error, one without a suffix a snapshot id."""
     low = source.lower()
     if low.endswith(".parquet"):
         return load_parquet(spark, source, schema)
     if low.endswith(".csv"):
         return load_csv(spark, source, schema)
-    if os.path.exists(source):
-        ext = os.path.splitext(source)[1]
-        raise ValueError(f"Unsupported file format: {ext}")
+    suffix = os.path.splitext(source)[1]
+    if suffix and snapshot_root is None:
+        raise ValueError(f"no reader for files named *{suffix}")
     if snapshot_root is None:
-        raise ValueError(f"{source!r} is not a local file and no snapshot_root was given")
+        raise ValueError(f"{source!r} has no suffix that names a format, and no snapshot_root was given")
     return load_snapshot(spark, snapshot_root, source, config, split, schema)
 
 
@@ -60,16 +60,10 @@ def read_link_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LINK_INDEX_SCHEMA).option("multiLine", True).json(path)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Guarantee input parallelism for per-row heavy work (regexes, explodes, n-grams).
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Deal the rows round-robin over ``partitions`` (a shuffle of the raw rows).
 
-    A file written as one large row group scans as one task however big it
-    is.  When the scan yields fewer partitions than ``min_partitions``
-    (default: the cluster's default parallelism) the rows are redistributed
-    round-robin (a shuffle of the raw rows, far cheaper than the work that
-    follows); a normally split input is returned unchanged.
+    For a caller that knows its input scans as too few tasks, such as a file
+    written as one large row group; nothing calls it on its own account.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    return df.repartition(partitions)
