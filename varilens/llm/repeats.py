@@ -101,15 +101,27 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
                 yield piece, np.array([0, len(piece)]), ids, ties, k
 
 
-def _settled(rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(first contexts, marks of later ones) of (pk, ctx, id, tie, start, size, lead, kind) columns."""
+def _settled(rows: list[np.ndarray], ordered: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(first contexts, marks of later ones) of (pk, ctx, id, tie, start, size, lead, kind) columns.
+
+    ``ordered``: the rows come sorted by the first five columns.  Otherwise
+    one quick sort brings equal contexts together and only these are put in
+    document order.
+    """
+    if not ordered and len(rows[0]):
+        order = np.argsort(mix(rows[0].view(np.uint64) + mix(rows[1].view(np.uint64))))
+        pk, ctx = rows[0][order], rows[1][order]
+        same = np.append(False, (pk[1:] == pk[:-1]) & (ctx[1:] == ctx[:-1]))
+        several = np.flatnonzero(same | np.append(same[1:], False))
+        run = np.cumsum(~same)[several]
+        ids, tie, start = (rows[k][order[several]] for k in (2, 3, 4))
+        order[several] = order[several][np.lexsort((start, tie, ids, run))]
+        rows = [x[order] for x in rows]
     pk, ctx, ids, tie, start, size, lead, kind = rows
-    order = np.lexsort((start, tie, ids, ctx, pk))
-    pk, ctx, ids, tie, start, size, lead, kind = (x[order] for x in (pk, ctx, ids, tie, start, size, lead, kind))
     same = np.append(False, (pk[1:] == pk[:-1]) & (ctx[1:] == ctx[:-1])) if len(pk) else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(pk))))
     later = same & ((ids != ids[head]) | (tie != tie[head]) | (start != start[head]))
-    return [x[~same] for x in (pk, ctx, ids, tie, start, size, lead, kind)], merged(ids[later], tie[later], start[later], size[later])
+    return [x[~same] for x in rows], merged(ids[later], tie[later], start[later], size[later])
 
 
 def merged(ids, tie, start, size) -> list[np.ndarray]:
@@ -194,15 +206,22 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, n, total = [], 0, 0
 
     def counted():
-        gram, count = np.unique(np.concatenate(held), return_counts=True)
+        gram, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+        # Copies of a context don't make a minimizer hot: they settle in their task.
+        order = np.argsort(ctx)
+        gram = gram[order[np.append(True, ctx[order[1:]] != ctx[order[:-1]])]]
+        gram.sort()
+        heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        count = np.diff(np.append(heads, len(gram)))
         often = count >= HOT_LOCAL
-        return pa.RecordBatch.from_pydict({"pk": pa.array(gram[often].view(np.int64)), "n": pa.array(count[often])})
+        return pa.RecordBatch.from_pydict({"pk": pa.array(gram[heads[often]].view(np.int64)), "n": pa.array(count[often])})
 
     for batch in batches:
         for data, ends, _, _, _ in _pieces(batch):
-            # Copies of a context don't make a minimizer hot: they settle in their task.
             gram, ctx, *_ = contexts(data, ends)
-            held.append(gram[np.unique(ctx, return_index=True)[1]])
+            if not len(gram):
+                continue
+            held.append((gram, ctx))
             n += len(gram)
             total += len(gram)
             if n >= FLUSH:
@@ -234,7 +253,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind, pk, ctx, ids, tie, start, size, lead = (x[~mark] for x in rows)
         if not len(pk):
             return
-        first, marks = _settled([pk, ctx, ids, tie, start, size, lead, kind])
+        first, marks = _settled([pk, ctx, ids, tie, start, size, lead, kind], ordered=True)
         if len(marks[0]):
             yield _marks(*marks)
         pk, ctx, ids, tie, start, size, lead, kind = first
@@ -340,22 +359,32 @@ class RunLengthIndex:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling: the first seven symbols, then ranks of twice the length, until all differ."""
+    """By prefix doubling: the first seven symbols, then ranks of twice the length, until all differ.
+
+    A rank is the first row of its group; only suffixes that share a group are sorted again.
+    """
     n = len(text)
     key = np.zeros(n, np.int64)
     padded = np.concatenate((text.astype(np.int64) + 1, np.zeros(6, np.int64)))
     for k in range(7):
         key = key * 259 + padded[k:k + n]
-    width = 7
+    order = np.argsort(key)
+    ranked = key[order]
+    rows, width = np.arange(n), 7      # rows whose suffixes are not settled
+    rank = np.empty(n + 1, np.int64)   # behind the end: less than all
+    rank[n] = -1
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, ranked[1:] != ranked[:-1]))
-        if rank[order[-1]] == n - 1:
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+        rank[order[rows]] = first
+        shared = ~(new & np.append(new[1:], True))
+        rows = rows[shared]
+        if not len(rows):
             return order
-        key = rank * (n + 1)
-        key[:max(0, n - width)] += rank[width:] + 1
+        suffix = order[rows]
+        key = rank[suffix] * (n + 1) + rank[np.minimum(suffix + width, n)] + 1
+        again = np.argsort(key)
+        ranked, order[rows] = key[again], suffix[again]
         width *= 2
 
 
