@@ -17,9 +17,9 @@ def _variants(spark):
 def test_validate_schema_messages(spark):
     v = _variants(spark)
     msgs = Q.validate_schema(v)
-    assert "Column 'option_d' has 15 null values." in msgs
-    assert "Invalid answer_idx values: ['E']" in msgs
-    assert Q.validate_schema(v.drop("ethnicity")) == ["Missing required columns: ['ethnicity']"]
+    assert "option_d: no value in 15 rows" in msgs
+    assert 'answer_idx: unknown label "E" in 15 rows' in msgs
+    assert Q.validate_schema(v.drop("ethnicity")) == ["columns not in the table: ethnicity"]
     assert all("option_d" not in m for m in Q.validate_schema(v, allow_null_option_d=True))
 
 
@@ -56,11 +56,15 @@ def test_domain_violation_tables_and_messages(spark):
     assert Q.onehot_sum_violations(df).first().n_bad == 3
     assert [(r.value, r.n) for r in Q.ethnicity_domain_violations(df).collect()] == [("Martian", 1)]
     assert Q.validate_schema(df) == [
-        "Column 'gender_female' has 1 null values.",
-        "Column 'ethnicity' has 1 null values.",
-        "Invalid answer_idx values: ['', 'E']",
-        "Column 'gender_male' has non-binary values: [2]",
-        "3 rows have invalid one-hot gender encoding (sum != 1).",
-        "Invalid ethnicity values: ['Martian']",
+        "ethnicity: no value in 1 rows",
+        "gender_female: no value in 1 rows",
+        'answer_idx: unknown label "" in 1 rows',
+        'answer_idx: unknown label "E" in 1 rows',
+        "gender_male=2: neither 0 nor 1 in 1 rows",
+        "gender: not exactly one flag is set in 3 rows",
+        'ethnicity: unknown label "Martian" in 1 rows',
     ]
-    assert Q.shape_profile(df).first().asDict() == {"n_rows": 4, "n_columns": 12}
+    shape = Q.shape_profile(df).first()
+    assert (shape.n_rows, shape.n_columns) == (4, 12) and shape.dtypes.startswith("case_id:string,") and "gender_male:int" in shape.dtypes
+    cells = {(r.gender, r.ethnicity): r.n for r in Q.gender_ethnicity_crosstab(df).collect()}
+    assert cells["none", "White"] == 0 and cells["male", "White"] == 2 and cells["male", "Asian"] == 0 and sum(cells.values()) == 3

@@ -2,8 +2,8 @@
 
 Every check is a column expression inside one ``agg`` (or one grouped
 aggregate), so a profile is one scan with map-side partial aggregation.
-Results are small tidy DataFrames; ``validate_schema`` renders them as the
-list of messages the original tool prints.
+Results are small tidy DataFrames; ``validate_schema`` renders them as a list
+of messages.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from .. import schema as S
 from ..functions import text as X
 
 
-def _null_expr(df: DataFrame, c: str):
+def null_count(df: DataFrame, c: str):
     dt = df.schema[c].dataType
     isnull = F.col(c).isNull()
     if isinstance(dt, (T.FloatType, T.DoubleType)):
@@ -27,7 +27,7 @@ def _null_expr(df: DataFrame, c: str):
 def null_profile(df: DataFrame, columns=None) -> DataFrame:
     """Null count (NaN counts as null for float columns) per column, one pass."""
     cols = list(columns or df.columns)
-    wide = df.agg(*[_null_expr(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    wide = df.agg(*[null_count(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.coalesce(F.col(f"c{i}"), F.lit(0)).alias("n_null"))
         for i, c in enumerate(cols)])))
@@ -70,86 +70,60 @@ def ethnicity_domain_violations(df: DataFrame, ethnicities=None) -> DataFrame:
 
 def schema_violations(df: DataFrame, allow_null_option_d: bool = False,
                       ethnicities=None) -> DataFrame:
-    """V2-V6 as rows ``(check, item, n)``; empty when the table is valid."""
-    nulls = null_violations(df, allow_null_option_d).select(
-        F.lit("null_values").alias("check"), F.col("column_name").alias("item"), F.col("n_null").alias("n"))
-    bad_answers = answer_domain_violations(df).select(
-        F.lit("invalid_answer_idx").alias("check"), F.col("value").alias("item"), "n")
-    bad_onehot = onehot_binary_violations(df).select(
-        F.lit("non_binary_onehot").alias("check"),
-        F.concat_ws("=", "column_name", _num_text(F.col("value"))).alias("item"), "n")
-    bad_sum = (onehot_sum_violations(df).where(F.col("n_bad") > 0)
-               .select(F.lit("onehot_sum").alias("check"), F.lit(None).cast("string").alias("item"),
-                       F.col("n_bad").alias("n")))
-    bad_eth = ethnicity_domain_violations(df, ethnicities).select(
-        F.lit("invalid_ethnicity").alias("check"), F.col("value").alias("item"), "n")
-    return nulls.unionByName(bad_answers).unionByName(bad_onehot).unionByName(bad_sum).unionByName(bad_eth)
+    """V2-V6 as rows ``(check, item, n)`` from one pass; empty when the table is valid.
+
+    Every row lists what it violates; one partial aggregate counts the list.
+    """
+    cols = [c for c in S.REQUIRED_COLUMNS if not (allow_null_option_d and c == "option_d")]
+    answer, ethnicity = F.col("answer_idx"), F.col("ethnicity")
+    total = sum(F.col(c) for c in S.GENDER_ONEHOT)
+
+    def broken(check: str, when, item):
+        return F.when(when, F.struct(F.lit(check).alias("check"), item.cast("string").alias("item")))
+
+    found = [broken("null_values", F.isnull(c) | (F.isnan(c) if df.schema[c].dataType.typeName() in ("float", "double") else F.lit(False)),
+                    F.lit(c)) for c in cols]
+    found.append(broken("invalid_answer_idx", answer.isNotNull() & ~answer.isin(*S.VALID_ANSWER_IDX), answer))
+    for c in S.GENDER_ONEHOT:
+        value = F.col(c).cast("double")
+        found.append(broken("non_binary_onehot", value.isNotNull() & ~value.isin(0.0, 1.0), F.concat_ws("=", F.lit(c), _num_text(value))))
+    found.append(broken("onehot_sum", F.coalesce(total != 1, F.lit(True)), F.lit(None)))
+    found.append(broken("invalid_ethnicity", ethnicity.isNotNull() & ~ethnicity.isin(*list(ethnicities or S.ETHNICITIES)), ethnicity))
+    return (df.select(F.inline(F.array_compact(F.array(*found)))).groupBy("check", "item").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _num_text(v):
-    """A double as the original prints it: integral values without a fraction."""
+    """A double as text: integral values without a fraction."""
     return F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))
 
 
-def _quoted_list(values):
-    """Sorted strings rendered as a Python list literal: ['x', 'y']."""
-    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
-                    F.lit("]"))
+_CHECKS = ("null_values", "invalid_answer_idx", "non_binary_onehot", "onehot_sum", "invalid_ethnicity")
 
 
 def validation_messages(df: DataFrame, *, allow_null_option_d: bool = False, ethnicities=None) -> DataFrame:
-    """V1 as a DataFrame ``(seq, message)``: one row per violated check, in the original order.
+    """V1 as rows ``(seq, message)``: one per violated check and item, ``seq`` numbers the check.
 
     Missing columns short-circuit on the driver (a schema check, no job).
-    Value sets are sorted (the original prints an unordered set); they are
-    bounded by the number of *distinct* bad values, which the tidy V3-V6
-    tables report with counts.
     """
     missing = [c for c in S.REQUIRED_COLUMNS if c not in df.columns]
     if missing:
-        return df.sparkSession.createDataFrame([(0, f"Missing required columns: {missing}")],
-                                               "seq int, message string")
-    order = {c: i for i, c in enumerate(S.REQUIRED_COLUMNS)}
-    pos = F.element_at(F.create_map(*[x for c, i in order.items() for x in (F.lit(c), F.lit(i))]),
-                       F.col("column_name"))
-    nulls = null_violations(df, allow_null_option_d).select(
-        (pos + 1).cast("int").alias("seq"),
-        F.format_string("Column '%s' has %d null values.", F.col("column_name"), F.col("n_null")).alias("message"))
-
-    def value_set(vio: DataFrame, seq: int, label: str) -> DataFrame:
-        return (vio.agg(F.array_sort(F.collect_list("value")).alias("vals"))
-                .where(F.size("vals") > 0)
-                .select(F.lit(seq).alias("seq"),
-                        F.concat(F.lit(f"Invalid {label} values: "), _quoted_list(F.col("vals"))).alias("message")))
-
-    base = len(S.REQUIRED_COLUMNS) + 1
-    answers = value_set(answer_domain_violations(df), base, "answer_idx")
-    onehot = (onehot_binary_violations(df).groupBy("column_name")
-              .agg(F.array_sort(F.collect_list("value")).alias("vals"))
-              .select((F.lit(base + 1) + F.element_at(F.create_map(*[x for i, c in enumerate(S.GENDER_ONEHOT)
-                                                                     for x in (F.lit(c), F.lit(i))]),
-                                                      F.col("column_name"))).cast("int").alias("seq"),
-                      F.format_string("Column '%s' has non-binary values: [%s]", F.col("column_name"),
-                                      F.array_join(F.transform("vals", _num_text), ", ")).alias("message")))
-    sums = (onehot_sum_violations(df).where(F.col("n_bad") > 0)
-            .select(F.lit(base + 1 + len(S.GENDER_ONEHOT)).alias("seq"),
-                    F.format_string("%d rows have invalid one-hot gender encoding (sum != 1).",
-                                    F.col("n_bad")).alias("message")))
-    eths = value_set(ethnicity_domain_violations(df, ethnicities), base + 2 + len(S.GENDER_ONEHOT), "ethnicity")
-    return (nulls.unionByName(answers).unionByName(onehot).unionByName(sums).unionByName(eths)
-            .select(F.col("seq").cast("int").alias("seq"), "message"))
-
-
-def validate_schema(df: DataFrame, *, allow_null_option_d: bool = False) -> list[str]:
-    """V1: list of error messages, empty when valid (at most one message per check)."""
-    rows = validation_messages(df, allow_null_option_d=allow_null_option_d).orderBy("seq").collect()
+        return df.sparkSession.createDataFrame([(0, f"columns not in the table: {', '.join(missing)}")], "seq int, message string")
+    item, rows = F.col("item"), F.concat(F.lit(" in "), F.col("n").cast("string"), F.lit(" rows"))
+    text = (F.when(F.col("check") == "null_values", F.concat(item, F.lit(": no value")))
+            .when(F.col("check") == "invalid_answer_idx", F.concat(F.lit('answer_idx: unknown label "'), item, F.lit('"')))
+            .when(F.col("check") == "non_binary_onehot", F.concat(item, F.lit(": neither 0 nor 1")))
+            .when(F.col("check") == "onehot_sum", F.lit("gender: not exactly one flag is set"))
+            .otherwise(F.concat(F.lit('ethnicity: unknown label "'), item, F.lit('"'))))
+    seq = F.array_position(F.array(*[F.lit(c) for c in _CHECKS]), F.col("check")).cast("int")
+    return schema_violations(df, allow_null_option_d, ethnicities).select(seq.alias("seq"), F.concat(text, rows).alias("message"))
+
+
+def validate_schema(df: DataFrame, *, allow_null_option_d: bool = False, most: int = 1000) -> list[str]:
+    """V1: the first ``most`` messages, empty when the table is valid (``validation_messages`` has all)."""
+    rows = validation_messages(df, allow_null_option_d=allow_null_option_d).orderBy("seq", "message").limit(most).collect()
     return [r["message"] for r in rows]
 
 
-def with_gender_label(df: DataFrame) -> DataFrame:
-    return df.withColumn("gender", X.derive_gender())
-
-
 def gender_counts(df: DataFrame) -> DataFrame:
     """V7: rows per derived gender label."""
     return df.groupBy(X.derive_gender().alias("gender")).agg(F.count(F.lit(1)).alias("n"))
@@ -160,17 +134,19 @@ def ethnicity_counts(df: DataFrame) -> DataFrame:
     return df.where(F.col("ethnicity").isNotNull()).groupBy("ethnicity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def gender_ethnicity_crosstab(df: DataFrame) -> DataFrame:
-    """V9 (long form): rows per (gender, ethnicity)."""
-    return (df.where(F.col("ethnicity").isNotNull())
-            .groupBy(X.derive_gender().alias("gender"), "ethnicity").agg(F.count(F.lit(1)).alias("n")))
-
+def gender_ethnicity_crosstab(df: DataFrame, ethnicities=None) -> DataFrame:
+    """V9: rows per (gender, ethnicity); every gender of the table meets every ethnicity, absent cells are 0.
 
-def crosstab_pivot(df: DataFrame, ethnicities=None) -> DataFrame:
-    """V9 (display form): gender x ethnicity counts, absent cells 0 (explicit pivot values)."""
-    eths = list(ethnicities or S.ETHNICITIES)
-    return (df.groupBy(X.derive_gender().alias("gender")).pivot("ethnicity", eths)
-            .agg(F.count(F.lit(1))).fillna(0))
+    The known ethnicities and those of the table are the columns.  One scan:
+    the second aggregate works on the cells.
+    """
+    cells = df.groupBy(X.derive_gender().alias("gender"), "ethnicity").agg(F.count(F.lit(1)).alias("n"))
+    known = F.array(*[F.lit(e) for e in ethnicities or S.ETHNICITIES])
+    # The set of labels is bounded by the cells, not by the rows.
+    per_gender = cells.groupBy("gender").agg(F.map_from_entries(F.collect_list(F.when(
+        F.col("ethnicity").isNotNull(), F.struct("ethnicity", "n")))).alias("have"))
+    return (per_gender.select("gender", "have", F.explode(F.array_union(known, F.map_keys("have"))).alias("ethnicity"))
+            .select("gender", "ethnicity", F.coalesce(F.try_element_at("have", F.col("ethnicity")), F.lit(0)).alias("n")))
 
 
 def variants_per_case(df: DataFrame, group_col: str = "case_id") -> DataFrame:
@@ -202,8 +178,10 @@ def auto_null_option_d(df: DataFrame) -> DataFrame:
 
 
 def shape_profile(df: DataFrame) -> DataFrame:
-    """One row ``(n_rows, n_columns)``; the dtypes come with the schema (``df.dtypes``, R2)."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_columns"))
+    """One row ``(n_rows, n_columns, dtypes)``; dtypes lists ``name:type`` in column order."""
+    dtypes = ",".join(f"{c}:{t}" for c, t in df.dtypes)
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.lit(len(df.columns)).alias("n_columns"),
+                                                            F.lit(dtypes).alias("dtypes"))
 
 
 def quality_rules(df: DataFrame, *, ethnicities=None, option_d: str = "any",
@@ -240,8 +218,8 @@ def quality_rules(df: DataFrame, *, ethnicities=None, option_d: str = "any",
     rules["ethnicity_in_case_text"] = F.count_if(scope & ~contains)
     agg = {f"r_{k}": v for k, v in rules.items()}
     agg["_n"] = F.count(F.lit(1))
-    agg["_n_eth"] = F.countDistinct("ethnicity")
-    agg["_extra_eth"] = F.countDistinct(F.when(~F.col("ethnicity").isin(*eths), F.col("ethnicity")))
+    # A set of labels instead of distinct counts, which would copy every text-bearing row.
+    agg["_labels"] = F.collect_set("ethnicity")
     for i, e in enumerate(eths):
         agg[f"_has{i}"] = F.max((F.col("ethnicity") == e).cast("int"))
     agg["_male"] = F.max("gender_male")
@@ -258,10 +236,10 @@ def quality_rules(df: DataFrame, *, ethnicities=None, option_d: str = "any",
         F.struct(F.lit("female_present").alias("rule"), F.when(F.col("_female") == 1, 0).otherwise(1).cast("long").alias("n_bad")),
         F.struct(F.lit("none_present").alias("rule"), F.when(F.col("_none") == 1, 0).otherwise(1).cast("long").alias("n_bad")),
         F.struct(F.lit("ethnicity_set_equal").alias("rule"),
-                 (F.col("_extra_eth") + sum(1 - F.coalesce(F.col(f"_has{i}"), F.lit(0)) for i in range(len(eths))))
+                 (F.size(F.array_except("_labels", F.array(*[F.lit(e) for e in eths]))) + sum(1 - F.coalesce(F.col(f"_has{i}"), F.lit(0)) for i in range(len(eths))))
                  .cast("long").alias("n_bad")),
         F.struct(F.lit("row_count_multiple").alias("rule"),
-                 (F.col("_n") % F.greatest(F.col("_n_eth"), F.lit(1))).cast("long").alias("n_bad")),
+                 (F.col("_n") % F.greatest(F.size("_labels"), F.lit(1))).cast("long").alias("n_bad")),
     ]
     if "explanation" in df.columns:
         rows.append(F.struct(F.lit("explanation_mostly_nonempty").alias("rule"),

@@ -41,14 +41,21 @@ def original_gender_distribution(variants: DataFrame) -> DataFrame:
 
 
 def variant_distribution(variants: DataFrame) -> DataFrame:
-    """Gender counts, ethnicity counts and the crosstab as one long table."""
-    g = Q.gender_counts(variants).select(F.lit("gender").alias("section"), F.col("gender").alias("key1"),
-                                         F.lit(None).cast("string").alias("key2"), F.col("n").alias("value"))
-    e = Q.ethnicity_counts(variants).select(F.lit("ethnicity").alias("section"), F.col("ethnicity").alias("key1"),
-                                            F.lit(None).cast("string").alias("key2"), F.col("n").alias("value"))
-    x = Q.gender_ethnicity_crosstab(variants).select(F.lit("crosstab").alias("section"), F.col("gender").alias("key1"),
-                                                     F.col("ethnicity").alias("key2"), F.col("n").alias("value"))
-    return g.unionByName(e).unionByName(x)
+    """Gender counts, ethnicity counts and the crosstab as one long table, all from one set of cells."""
+    cells = variants.groupBy(X.derive_gender().alias("gender"), "ethnicity").agg(F.count(F.lit(1)).alias("n"))
+    return _sections(cells, {"gender": ("gender", None), "ethnicity": ("ethnicity", None), "crosstab": ("gender", "ethnicity")})
+
+
+def _sections(cells: DataFrame, sections: dict) -> DataFrame:
+    """``section, key1, key2, value``: sums of the cells' ``n`` by each section's keys (NULL keys left out)."""
+    none = F.lit(None).cast("string")
+    rows = []
+    for name, (key1, key2) in sections.items():
+        row = F.struct(F.lit(name).alias("section"), F.col(key1).alias("key1"),
+                       (F.col(key2) if key2 else none).alias("key2"), "n")
+        rows.append(F.when(F.col(key1).isNotNull() & (F.col(key2).isNotNull() if key2 else F.lit(True)), row))
+    return (cells.select(F.inline(F.array_compact(F.array(*rows)))).groupBy("section", "key1", "key2")
+            .agg(F.sum("n").alias("value")))
 
 
 def specialty_top20(df: DataFrame, n: int = 20) -> DataFrame:
@@ -76,35 +83,42 @@ def expansion_summary(original: DataFrame, variants: DataFrame) -> DataFrame:
                     F.lit(len(variants.columns)).alias("variant_columns"))
 
 
-def before_after_examples(original: DataFrame, variants: DataFrame, n: int = 10) -> DataFrame:
+def before_after_examples(original: DataFrame, expand, n: int = 10) -> DataFrame:
     """The first n original cases (by case_id) next to all their variants.
 
+    ``expand`` turns cases into variants; it is applied to the n cases only.
     Display snippets as in the original tool: original text cut to 400
     characters; variant text cut to 300, newlines to spaces, then 120.
     """
-    first = original.select("case_id", "case_text").orderBy("case_id").limit(n)
+    first = original.orderBy("case_id").limit(n)
     snippet = F.substring(F.replace(F.substring("case_text", 1, 300), F.lit("\n"), F.lit(" ")), 1, 120)
-    v = variants.select("case_id", "variant_idx", X.derive_gender().alias("gender"), "ethnicity",
-                        snippet.alias("variant_snippet"))
-    return (first.select("case_id", F.substring("case_text", 1, 400).alias("original_snippet"))
-            .join(v, "case_id", "inner"))
+    kept = first.withColumn("original_snippet", F.substring("case_text", 1, 400))
+    return expand(kept).select("case_id", "original_snippet", "variant_idx", X.derive_gender().alias("gender"), "ethnicity",
+                               snippet.alias("variant_snippet"))
 
 
 def report_table(variants: DataFrame, n_dropped: DataFrame) -> DataFrame:
-    """The numeric report sections unioned into ``(section, key1, key2, value)``."""
-    ov = dataset_overview(variants, n_dropped).select(F.inline(F.array(
-        *[F.struct(F.lit("overview").alias("section"), F.lit(k).alias("key1"),
-                   F.lit(None).cast("string").alias("key2"), F.col(k).cast("double").alias("value"))
-          for k in ("n_cases", "n_rows", "n_dropped")])))
-    sch = Q.null_profile(variants).select(F.lit("null_count").alias("section"), F.col("column_name").alias("key1"),
-                                          F.lit(None).cast("string").alias("key2"),
-                                          F.col("n_null").cast("double").alias("value"))
-    og = original_gender_distribution(variants).select(F.lit("original_gender").alias("section"),
-                                                       F.col("category").alias("key1"),
-                                                       F.lit(None).cast("string").alias("key2"),
-                                                       F.col("cases").cast("double").alias("value"))
-    vd = variant_distribution(variants).withColumn("value", F.col("value").cast("double"))
-    ans = Q.answer_distribution(variants).select(F.lit("answer").alias("section"), F.col("answer_idx").alias("key1"),
-                                                 F.lit(None).cast("string").alias("key2"),
-                                                 F.col("n").cast("double").alias("value"))
-    return ov.unionByName(sch).unionByName(og).unionByName(vd).unionByName(ans)
+    """The numeric report sections unioned into ``(section, key1, key2, value)``.
+
+    Three scans of the variants: one profile, one aggregate per case, one set
+    of (gender, ethnicity, answer) cells.
+    """
+    def row(section: str, key: str, value):
+        return F.struct(F.lit(section).alias("section"), F.lit(key).alias("key1"), F.lit(None).cast("string").alias("key2"),
+                        value.cast("double").alias("value"))
+
+    names = list(variants.columns)
+    profile = variants.agg(F.count(F.lit(1)).alias("rows"), *[Q.null_count(variants, c).alias(f"n{i}") for i, c in enumerate(names)])
+    first = profile.select(F.inline(F.array(
+        row("overview", "n_rows", F.col("rows")), row("overview", "n_dropped", n_dropped.select("n_dropped").scalar()),
+        *[row("null_count", c, F.coalesce(F.col(f"n{i}"), F.lit(0))) for i, c in enumerate(names)])))
+    per_case = variants.groupBy("case_id").agg(F.max("gender_none").alias("neutral"))
+    second = per_case.agg(
+        F.count("case_id").alias("cases"), F.count_if(F.coalesce("neutral", F.lit(0)) == 0).alias("gendered"),
+        F.count_if(F.col("neutral") == 1).alias("plain")).select(F.inline(F.array(
+            row("overview", "n_cases", F.col("cases")), row("original_gender", "gender keyword present", F.col("gendered")),
+            row("original_gender", "no gender keyword", F.col("plain")))))
+    cells = variants.groupBy(X.derive_gender().alias("gender"), "ethnicity", "answer_idx").agg(F.count(F.lit(1)).alias("n"))
+    third = _sections(cells, {"gender": ("gender", None), "ethnicity": ("ethnicity", None),
+                              "crosstab": ("gender", "ethnicity"), "answer": ("answer_idx", None)})
+    return first.unionByName(second).unionByName(third.withColumn("value", F.col("value").cast("double")))

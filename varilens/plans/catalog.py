@@ -418,36 +418,21 @@ def q_eth_domain(spark, sf):
     return V.ethnicity_domain_violations(FX.dirty_variants(spark, sf))
 
 
-_NREQ = len(S.REQUIRED_COLUMNS)
-_V1_NULLS = " UNION ALL ".join(
-    f"SELECT {i + 1} AS seq, '{c}' AS column_name, count(*) - count({c}) AS n FROM dirty"
-    for i, c in enumerate(S.REQUIRED_COLUMNS))
-_V1_ONEHOT = " UNION ALL ".join(
-    f"SELECT {_NREQ + 2 + i} AS seq, 'Column ''{c}'' has non-binary values: [' || "
-    f"string_agg(CAST(v AS VARCHAR), ', ' ORDER BY v) || ']' AS message "
-    f"FROM (SELECT DISTINCT {c} AS v FROM dirty WHERE {c} IS NOT NULL AND {c} NOT IN (0, 1)) HAVING count(*) > 0"
-    for i, c in enumerate(S.GENDER_ONEHOT))
-_Q = "''''"  # a single quote inside a DuckDB string literal
+_V1_NULLS = " UNION ALL ".join(f"SELECT 1 AS seq, '{c}: no value' AS what FROM dirty WHERE {c} IS NULL" for c in S.REQUIRED_COLUMNS)
+_V1_ONEHOT = " UNION ALL ".join(f"SELECT 3, '{c}=' || CAST({c} AS VARCHAR) || ': neither 0 nor 1' FROM dirty WHERE {c} NOT IN (0, 1)"
+                                for c in S.GENDER_ONEHOT)
 
 
 @register("validate_schema", W(_DIRTY, f"""
-nulls AS ({_V1_NULLS})""", f"""
-SELECT CAST(seq AS INTEGER) AS seq, message FROM (
-  SELECT seq, 'Column ' || {_Q} || column_name || {_Q} || ' has ' || CAST(n AS VARCHAR) || ' null values.' AS message
-  FROM nulls WHERE n > 0
-  UNION ALL
-  SELECT {_NREQ + 1}, 'Invalid answer_idx values: [' || string_agg({_Q} || v || {_Q}, ', ' ORDER BY v) || ']'
-  FROM (SELECT DISTINCT answer_idx AS v FROM dirty WHERE {_BAD_ANS}) HAVING count(*) > 0
-  UNION ALL {_V1_ONEHOT}
-  UNION ALL
-  SELECT {_NREQ + 5}, CAST(n AS VARCHAR) || ' rows have invalid one-hot gender encoding (sum != 1).'
-  FROM (SELECT count_if(coalesce(gender_male + gender_female + gender_none <> 1, true)) AS n FROM dirty) WHERE n > 0
-  UNION ALL
-  SELECT {_NREQ + 6}, 'Invalid ethnicity values: [' || string_agg({_Q} || v || {_Q}, ', ' ORDER BY v) || ']'
-  FROM (SELECT DISTINCT ethnicity AS v FROM dirty WHERE {_BAD_ETH}) HAVING count(*) > 0
-)"""))
+broken AS (
+  {_V1_NULLS} UNION ALL {_V1_ONEHOT}
+  UNION ALL SELECT 2, 'answer_idx: unknown label "' || answer_idx || '"' FROM dirty WHERE {_BAD_ANS}
+  UNION ALL SELECT 4, 'gender: not exactly one flag is set' FROM dirty
+  WHERE coalesce(gender_male + gender_female + gender_none <> 1, true)
+  UNION ALL SELECT 5, 'ethnicity: unknown label "' || ethnicity || '"' FROM dirty WHERE {_BAD_ETH})""", """
+SELECT seq, what || ' in ' || CAST(count(*) AS VARCHAR) || ' rows' AS message FROM broken GROUP BY seq, what"""))
 def q_validate(spark, sf):
-    """V1: the validation messages, one row per violated check."""
+    """V1: the validation messages, one row per violated check and item."""
     return V.validation_messages(FX.dirty_variants(spark, sf))
 
 
@@ -484,6 +469,8 @@ def q_vcv(spark, sf):
 
 
 _NULL_COLS = _ALLV.split(", ")
+_DTYPES = {"case_key": "bigint", "gender_male": "int", "gender_female": "int", "gender_none": "int",
+           "variant_idx": "int"}
 
 
 @register("null_profile", W(VARIANTS, "SELECT column_name, n_null FROM (" + " UNION ALL ".join(
@@ -498,9 +485,10 @@ def q_answer_dist(spark, sf):
 
 
 @register("shape_profile", W(VARIANTS, f"""
-SELECT CAST(count(*) AS BIGINT) AS n_rows, {len(_ALLV.split(', '))} AS n_columns FROM variants"""))
+SELECT CAST(count(*) AS BIGINT) AS n_rows, {len(_NULL_COLS)} AS n_columns,
+       '{",".join(f"{c}:{_DTYPES.get(c, 'string')}" for c in _NULL_COLS)}' AS dtypes FROM variants"""))
 def q_shape(spark, sf):
-    return V.shape_profile(FX.variants(spark, sf))
+    return V.shape_profile(FX.variants(spark, sf).select(*_NULL_COLS))
 
 
 @register("auto_null_option_d", W(VARIANTS, "SELECT CAST(count(option_d) = 0 AS INTEGER) AS allow_null_option_d FROM variants"))
@@ -617,7 +605,7 @@ FROM first f JOIN variants v USING (case_id)"""))
 def q_before_after(spark, sf):
     c = FX.cases(spark, sf)
     kept = TV.filter_ethnicity_mentions(c)
-    return R.before_after_examples(kept, TV.expand_to_variants(kept, fallback_prepend=True), 10)
+    return R.before_after_examples(kept, lambda c: TV.expand_to_variants(c, fallback_prepend=True), 10)
 
 
 # ------------------------------------------------- B: pairwise overlap ----
@@ -973,10 +961,6 @@ def q_results_json(spark, sf):
     return spark.read.schema(df.schema).json(f"{path}/accuracy_by_group")
 
 
-_DTYPES = {"case_key": "bigint", "gender_male": "int", "gender_female": "int", "gender_none": "int",
-           "variant_idx": "int"}
-
-
 @register("schema_table", W(VARIANTS, "SELECT column_name, dtype, n_null FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, '{_DTYPES.get(c, 'string')}' AS dtype, "
     f"CAST(count(*) - count({c}) AS BIGINT) AS n_null FROM variants" for c in _NULL_COLS) + ")"))
