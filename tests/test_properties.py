@@ -49,9 +49,26 @@ def test_evaluate_facade_and_writers(spark, scratch):
     assert res.bleu.count() == p.select("case_id").distinct().count()
     writers.write_results(res.tables(), f"{scratch}/res")
     assert os.path.isdir(f"{scratch}/res/skewsize")
-    doc = {r.metric: json.loads(r.value) for r in writers.results_document(
-        {"accuracy": res.accuracy, "disparity": res.performance_disparity}).collect()}
-    assert doc["accuracy"][0]["llm"] == "m1_answer"
+    doc = writers.results_document({"accuracy": res.accuracy, "bleu": res.bleu}).collect()
+    assert [json.loads(r.value)["llm"] for r in doc if r.metric == "accuracy"] == ["m1_answer"]
+    assert sum(r.metric == "bleu" for r in doc) == res.bleu.count()
+    res.close()
+
+
+def test_evaluate_several_models_names_and_groups(spark):
+    from varilens.plans.evaluate import evaluate
+    p = FX.predictions(spark, SF_SMALL)
+    cols = [c for c in p.columns if c.startswith("llm_")]
+    with evaluate(p, llm_col=cols) as res:
+        assert {r.llm for r in res.summary().collect()} == {c[4:] for c in cols}
+    with evaluate(p, llm_col=cols[0], llm_name="mine", hue="gender_male") as res:
+        assert [r.llm for r in res.accuracy.collect()] == ["mine"] and res.skewsize.first().llm == "mine"
+    with pytest.raises(ValueError):
+        evaluate(p, llm_col=cols, llm_name="mine")
+    pairs = FX.sentence_pairs(spark, SF_SMALL)
+    rows = FX.scored_cases(spark, SF_SMALL).withColumns({"answer_idx": F.lit("A"), "llm_x": F.lit("A")})
+    with evaluate(rows, llm_col="llm_x", case_embedding_col="embedding", gender_pairs=pairs) as res:
+        assert res.gender_bias["by_gender"].count() == 3 and res.gender_bias["median"].first().mb is not None
 
 
 def test_identical_long_pair_bleu_is_one(spark):

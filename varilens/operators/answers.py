@@ -98,14 +98,15 @@ def performance_disparity(cube: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ SkewSize ----
 
-def contingency_by_label(cube: DataFrame, label_col: str = "answer_idx") -> DataFrame:
+def contingency_by_label(cube: DataFrame, label_col: str = "answer_idx", hue: str | None = None) -> DataFrame:
     """A4: cells (llm, label, version, perf, o) of the version x performance crosstab per label.
 
-    Versions with a NULL ethnicity and NULL labels are not part of any crosstab.
+    The version is ethnicity and gender, or the cube's column ``hue``.  NULL
+    versions and NULL labels are not part of any crosstab.
     """
-    v = cube.where(F.col(label_col).isNotNull() & F.col("ethnicity").isNotNull()).select(
-        "llm", F.col(label_col).alias("label"),
-        X.derive_version("ethnicity", F.col("gender")).alias("version"), "n", "n_correct")
+    version = F.col(hue).cast("string") if hue else X.derive_version("ethnicity", F.col("gender"))
+    v = cube.where(F.col(label_col).isNotNull()).select(
+        "llm", F.col(label_col).alias("label"), version.alias("version"), "n", "n_correct").where("version is not null")
     agg = v.groupBy("llm", "label", "version").agg(F.sum("n").alias("n"), F.sum("n_correct").alias("c1"))
     return (agg.select("llm", "label", "version",
                        F.inline(F.array(F.struct(F.lit(0).alias("perf"), (F.col("n") - F.col("c1")).alias("o")),
@@ -161,9 +162,10 @@ def skewsize(vs: DataFrame) -> DataFrame:
     return out
 
 
-def skewsize_from_cube(cube: DataFrame, min_expected_value: float = 5, label_col: str = "answer_idx") -> DataFrame:
+def skewsize_from_cube(cube: DataFrame, min_expected_value: float = 5, label_col: str = "answer_idx",
+                       hue: str | None = None) -> DataFrame:
     """A6 for every model of the cube; one without a usable label has a NULL skew and 0 cases."""
-    found = skewsize(cramers_v_by_label(contingency_by_label(cube, label_col), min_expected_value))
+    found = skewsize(cramers_v_by_label(contingency_by_label(cube, label_col, hue), min_expected_value))
     return (cube.select("llm").where(F.col("llm").isNotNull()).distinct().join(found, "llm", "left")
             .select("llm", "skewsize", F.coalesce("n_cases", F.lit(0).cast("long")).alias("n_cases")))
 

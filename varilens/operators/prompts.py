@@ -110,8 +110,3 @@ def compare_prompts(df: DataFrame, *, answer_cols: dict, explanation_cols: dict,
     return (skew.join(bleu, "prompt_id", "full")
             .select("prompt_id", F.col("skewsize").alias("cramers_v_skew"), "mean_pairwise_bleu", "n_cases")
             .orderBy(F.asc_nulls_last("cramers_v_skew"), "prompt_id"))
-
-
-def parse_answers(df: DataFrame, output_col: str, out_col: str = "parsed_answer") -> DataFrame:
-    """P4 on a DataFrame."""
-    return df.withColumn(out_col, X.parse_answer(output_col))

@@ -942,6 +942,22 @@ def q_load_csv(spark, sf):
     return SR.load(spark, path, schema=_CSV_SCHEMA)
 
 
+@register("raw_json", W(CASES, f"SELECT {', '.join(_CSV_COLS)} FROM cases"))
+def q_raw_json(spark, sf):
+    """Cases written as JSON lines and read back with their schema."""
+    path = scratch_path(spark, "cases") + ".json"
+    SW.write_raw_json(FX.cases(spark, sf).select(*_CSV_COLS), path)
+    return spark.read.schema(_CSV_SCHEMA).json(path)
+
+
+@register("load_snapshot", "SELECT conv_id, turn, role, text FROM conversations")
+def q_load_snapshot(spark, sf):
+    """The conversations staged as a dataset snapshot and loaded by dataset, config and split."""
+    root = scratch_path(spark, "snapshots")
+    SW.write_variants(FX.table(spark, sf, "conversations"), f"{root}/org__talks/default/train")
+    return SR.load(spark, "org/talks", "default", "train", snapshot_root=root).select("conv_id", "turn", "role", "text")
+
+
 @register("write_variants", W(VARIANTS, f"SELECT {_VCOLS} FROM variants"))
 def q_write_variants(spark, sf):
     """The variant table written partitioned by ethnicity and read back as parquet."""
@@ -1034,17 +1050,9 @@ SELECT a.llm, round(a.accuracy, 9) AS accuracy, round(d.max_gap, 9) AS max_gap,
        round(s.skewsize, 9) AS skewsize, s.n_cases
 FROM a JOIN d USING (llm) LEFT JOIN skew s USING (llm)"""))
 def q_evaluate(spark, sf):
-    """The scalar part of an evaluation bundle, one row per model."""
+    """The scalar part of an evaluation bundle, one row per model, from one cube."""
     from .evaluate import evaluate
-    p = FX.predictions(spark, sf)
-    rows = None
-    for col in LLM_COLS:
-        res = evaluate(p, llm_col=col)
-        one = (res.accuracy.select("llm", "accuracy")
-               .join(res.performance_disparity.select("llm", "max_gap", "std"), "llm")
-               .join(res.skewsize, "llm", "left"))
-        rows = one if rows is None else rows.unionByName(one)
-    return r9(rows)
+    return r9(evaluate(FX.predictions(spark, sf), llm_col=LLM_COLS).summary())
 
 
 _EMBED_SQL = FX.RESPONSES_SQL + f""",

@@ -3,6 +3,8 @@ through the driver; output folders are parameters (shared storage on a cluster).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,20 +42,11 @@ def write_results(results: dict, path: str, mode: str = "overwrite") -> None:
 
 
 def results_document(results: dict) -> DataFrame:
-    """S8 (single document): small metric tables folded into one JSON row.
+    """S8 (one document): a row ``(metric, value)`` per result row, the value as JSON (NaN -> null).
 
-    Only for bounded tables (per-group / per-model summaries); per-case
-    series stay separate files via ``write_results``.
+    Bounded tables and per-case series go side by side, each written by the
+    tasks that computed it.
     """
-    parts = [df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
-             .select(F.lit(name).alias("metric"), "value") for name, df in results.items()
-             if isinstance(df, DataFrame)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def write_report(report: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The long report table ``(section, key1, key2, value)`` as parquet."""
-    report.write.mode(mode).parquet(path)
+    parts = [_nan_to_null(df).select(F.lit(name).alias("metric"), F.to_json(F.struct(*df.columns)).alias("value"))
+             for name, df in results.items() if isinstance(df, DataFrame)]
+    return reduce(DataFrame.unionAll, parts)

@@ -3,18 +3,15 @@
 The reference has no streaming features.  What carries over unchanged is
 everything that is row-local: mapping, the ethnicity filter and the
 variant expansion are narrow, so a stream of new cases can be expanded
-continuously; per-group answer counts are a plain streaming aggregate.
-Multi-level metrics (disparity, SkewSize, medians, pair metrics) stay
+continuously.  Multi-level metrics (disparity, SkewSize, medians, pair metrics) stay
 batch jobs over the written variant table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import text as X
 from ..operators import variants as V
 from ..session import ensure_checkpoint_dir
 
@@ -30,10 +27,4 @@ def stream_variants(spark: SparkSession, source_dir: str, sink_dir: str, *, sche
     return w.start()
 
 
-def streaming_group_counts(variants: DataFrame, llm_col: str) -> DataFrame:
-    """Running (ethnicity, gender) -> n, n_correct for a streaming variant table (update/complete mode)."""
-    return (variants.groupBy("ethnicity", X.derive_gender().alias("gender"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(X.performance(llm_col)).alias("n_correct")))
-
-
-__all__ = ["stream_variants", "streaming_group_counts"]
+__all__ = ["stream_variants"]
