@@ -124,3 +124,11 @@ def test_first_letter_guard_keeps_matches_on_documents(spark):
         guarded = X.whole_word_regex(words)
         diff = docs.where(F.col("text").rlike(plain) != F.col("text").rlike(guarded)).count()
         assert diff == 0, words[:3]
+
+
+def test_unknown_gender_is_refused(spark):
+    df = spark.createDataFrame([("A 30-year-old patient.",)], "t string")
+    got = [df.select(X.inject_gender("t", F.lit("Asian"), g)).first()[0] for g in ("male", "female", None)]
+    assert [("Asian man" in x, "Asian woman" in x) for x in got] == [(True, False), (False, True), (False, False)]
+    with pytest.raises(ValueError):
+        X.inject_gender("t", F.lit("Asian"), "other")

@@ -98,6 +98,14 @@ def inject_demographics(text, ethnicity, descriptor, fallback_prepend: bool = Fa
     return F.when(has_age_phrase(t), injected).otherwise(header)
 
 
+def inject_gender(text, ethnicity, gender: str | None, fallback_prepend: bool = False) -> Column:
+    """T3 for one gender: 'male', 'female' or None (neutral); any other is a ``ValueError``."""
+    if gender is not None and gender not in S.GENDER_DESCRIPTORS:
+        raise ValueError(f"no descriptor for gender {gender!r}; known: {', '.join(S.GENDER_DESCRIPTORS)}")
+    descriptor = F.lit(None if gender is None else S.GENDER_DESCRIPTORS[gender]).cast("string")
+    return inject_demographics(text, ethnicity, descriptor, fallback_prepend)
+
+
 def derive_gender(male="gender_male", female="gender_female", none="gender_none") -> Column:
     """M5: one-hot columns -> 'male' / 'female' / 'none' / 'unknown' (first match wins)."""
     return (F.when(col_(male) == 1, "male")

@@ -119,29 +119,35 @@ def gender_bias_score(df: DataFrame, direction, *, embedding_col: str = "embeddi
     return df.withColumn(out_col, score)
 
 
-def _scored(df: DataFrame, score_col: str) -> DataFrame:
+def scored_rows(df: DataFrame, score_col: str) -> DataFrame:
+    """Rows with a score that is a number, with their derived ``gender``."""
     cols = [F.col(c) if c in df.columns else F.lit(0) for c in S.GENDER_ONEHOT]
     return df.where(F.col(score_col).isNotNull() & ~F.isnan(score_col)).withColumn("gender", X.derive_gender(*cols))
 
 
 def bias_by_gender(df: DataFrame, score_col: str = "gender_bias_score") -> DataFrame:
     """Mean and sample std per derived gender."""
-    return _scored(df, score_col).groupBy("gender").agg(F.avg(score_col).alias("mean"),
+    return scored_rows(df, score_col).groupBy("gender").agg(F.avg(score_col).alias("mean"),
                                                           F.stddev_samp(score_col).alias("std"))
 
 
 def bias_by_ethnicity(df: DataFrame, score_col: str = "gender_bias_score") -> DataFrame:
     """Mean and sample std per ethnicity (NULL ethnicity dropped)."""
-    return (_scored(df, score_col).where(F.col("ethnicity").isNotNull()).groupBy("ethnicity")
+    return (scored_rows(df, score_col).where(F.col("ethnicity").isNotNull()).groupBy("ethnicity")
             .agg(F.avg(score_col).alias("mean"), F.stddev_samp(score_col).alias("std")))
 
 
 def bias_crosstab(df: DataFrame, score_col: str = "gender_bias_score") -> DataFrame:
     """E8 (long form): mean score per (gender, ethnicity)."""
-    return (_scored(df, score_col).where(F.col("ethnicity").isNotNull()).groupBy("gender", "ethnicity")
+    return (scored_rows(df, score_col).where(F.col("ethnicity").isNotNull()).groupBy("gender", "ethnicity")
             .agg(F.avg(score_col).alias("mean")))
 
 
+def original_bias(df: DataFrame, score_col: str = "gender_bias_score") -> DataFrame:
+    """Mean and sample std per gender of unexpanded rows, tagged with ethnicity 'original'."""
+    return bias_by_gender(df, score_col).select("gender", F.lit("original").alias("ethnicity"), "mean", "std")
+
+
 def median_bias(df: DataFrame, score_col: str = "gender_bias_score", *, accuracy: int = 200_000) -> DataFrame:
     """Exact median of the score (mean of the two middle values when n is even), as one lazy plan.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
+from . import embedding as E
 from . import quality as Q
 
 
@@ -122,3 +123,39 @@ def report_table(variants: DataFrame, n_dropped: DataFrame) -> DataFrame:
     third = _sections(cells, {"gender": ("gender", None), "ethnicity": ("ethnicity", None),
                               "crosstab": ("gender", "ethnicity"), "answer": ("answer_idx", None)})
     return first.unionByName(second).unionByName(third.withColumn("value", F.col("value").cast("double")))
+
+
+def schema_table(variants: DataFrame) -> DataFrame:
+    """R2: column, Spark type and null count of the variant table (one aggregate pass)."""
+    types = F.create_map(*[F.lit(x) for pair in variants.dtypes for x in pair])
+    return Q.null_profile(variants).select("column_name", types[F.col("column_name")].alias("dtype"),
+                                           F.col("n_null").cast("long").alias("n_null"))
+
+
+def bias_sections(scored: DataFrame, score_col: str = "gender_bias_score") -> DataFrame:
+    """E6-E9 as one long table ``section, key1, key2, mean, std``.
+
+    One scan for the three groupings (every row names its groups), the
+    median's own plan beside it.
+    """
+    rows = E.scored_rows(scored, score_col)
+    none = F.lit(None).cast("string")
+
+    def group(section, key1, key2=None):
+        return F.struct(F.lit(section).alias("section"), F.col(key1).alias("key1"),
+                        (F.col(key2) if key2 else none).alias("key2"), F.col(score_col).alias("score"))
+
+    known = F.col("ethnicity").isNotNull()
+    groups = F.array_compact(F.array(group("by_gender", "gender"), F.when(known, group("by_ethnicity", "ethnicity")),
+                                     F.when(known, group("crosstab", "gender", "ethnicity"))))
+    means = rows.select(F.inline(groups)).groupBy("section", "key1", "key2").agg(
+        F.avg("score").alias("mean"), F.when(F.col("section") != "crosstab", F.stddev_samp("score")).alias("std"))
+    median = E.median_bias(scored, score_col).select(F.lit("median").alias("section"), none.alias("key1"), none.alias("key2"),
+                                                     F.col("mb").alias("mean"), F.lit(None).cast("double").alias("std"))
+    return means.unionByName(median)
+
+
+def expansion_distributions(variants: DataFrame) -> DataFrame:
+    """Rows per gender, ethnicity and answer after the expansion, ``section, key1, key2, value``, from one scan."""
+    cells = variants.groupBy(X.derive_gender().alias("gender"), "ethnicity", "answer_idx").agg(F.count(F.lit(1)).alias("n"))
+    return _sections(cells, {"gender": ("gender", None), "ethnicity": ("ethnicity", None), "answer": ("answer_idx", None)})

@@ -597,6 +597,15 @@ def q_expansion(spark, sf):
     return R.expansion_summary(kept, TV.expand_to_variants(kept, fallback_prepend=True))
 
 
+@register("expansion_distributions", W(VARIANTS, f"""
+SELECT 'gender' AS section, {GENDER_SQL} AS key1, CAST(NULL AS VARCHAR) AS key2, CAST(count(*) AS BIGINT) AS value FROM variants GROUP BY 2
+UNION ALL SELECT 'ethnicity', ethnicity, NULL, CAST(count(*) AS BIGINT) FROM variants WHERE ethnicity IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'answer', answer_idx, NULL, CAST(count(*) AS BIGINT) FROM variants WHERE answer_idx IS NOT NULL GROUP BY 2"""))
+def q_expansion_distributions(spark, sf):
+    """The distributions beside the expansion summary."""
+    return R.expansion_distributions(FX.variants(spark, sf, fallback_prepend=True))
+
+
 @register("before_after_examples", W(VARIANTS, f"""
 first AS (SELECT case_id, substr(case_text, 1, 400) AS original_snippet FROM kept ORDER BY case_id LIMIT 10)""", f"""
 SELECT f.case_id, f.original_snippet, v.variant_idx, {GENDER_SQL} AS gender, v.ethnicity,
@@ -776,8 +785,7 @@ SELECT gender, 'original' AS ethnicity, round(avg(gender_bias_score), 9) AS mean
 FROM labeled WHERE gender_bias_score IS NOT NULL GROUP BY gender"""))
 def q_original_bias(spark, sf):
     """The bias summary of unexpanded rows tagged with ethnicity 'original'."""
-    rows = _scored_rows(spark, sf).withColumn("ethnicity", F.lit("original"))
-    return r9(E.bias_crosstab(rows).join(E.bias_by_gender(rows).select("gender", "std"), "gender"))
+    return r9(E.original_bias(_scored_rows(spark, sf)))
 
 
 @register("gender_direction")
@@ -825,6 +833,21 @@ def q_grid(spark, sf):
     return P.prompt_grid(kept).select("case_id", "prompt_id", "prompt")
 
 
+# The specific question and the few-shot block bound to columns, over every variant; digests instead of whole prompts.
+_GRID_SQL = {"SPECIFIC": "'Think of ' || specialty", "few-shot examples": "'Example: ' || question"}
+
+
+@register("prompt_grid_variants", W(VARIANTS, " UNION ALL ".join(
+    f"SELECT case_id, variant_idx, '{pid}' AS prompt_id, md5("
+    + " || ".join(_sql_lit(v) if k == "lit" else f"coalesce({_GRID_SQL.get(v, _BIND_SQL[v])}, '')" for k, v in P.split_template(t))
+    + ") AS prompt_md5 FROM variants" for pid, t in P.TEMPLATES.items())))
+def q_grid_variants(spark, sf):
+    """Every variant x every prompt condition with SPECIFIC and few-shot columns bound."""
+    bound = {"SPECIFIC": F.concat(F.lit("Think of "), "specialty"), "few-shot examples": F.concat(F.lit("Example: "), "question")}
+    grid = P.prompt_grid(FX.variants(spark, sf, fallback_prepend=True), bindings=bound)
+    return grid.select("case_id", "variant_idx", "prompt_id", F.md5("prompt").alias("prompt_md5"))
+
+
 @register("parse_answer", r"""
 SELECT conv_id, turn, nullif(regexp_extract(text, '(^|[^\pL\pN_])([A-D])([^\pL\pN_]|$)', 2), '') AS parsed_answer
 FROM conversations""")
@@ -982,11 +1005,7 @@ def q_results_json(spark, sf):
     f"CAST(count(*) - count({c}) AS BIGINT) AS n_null FROM variants" for c in _NULL_COLS) + ")"))
 def q_schema_table(spark, sf):
     """R2: column, Spark type and null count of the variant table (one aggregate pass)."""
-    v = FX.variants(spark, sf).select(*_NULL_COLS)
-    types = spark.createDataFrame([(c, t) for c, t in v.dtypes], "column_name string, dtype string")
-    prof = V.null_profile(v).withColumn("n_null", F.col("n_null").cast("long"))
-    # Both sides have one row per column of the schema (bounded by the schema width).
-    return prof.join(F.broadcast(types), "column_name").select("column_name", "dtype", "n_null")
+    return R.schema_table(FX.variants(spark, sf).select(*_NULL_COLS))
 
 
 @register("report_answer_distribution", W(VARIANTS, "SELECT answer_idx, CAST(count(*) AS BIGINT) AS n FROM variants WHERE answer_idx IS NOT NULL GROUP BY 1"))
@@ -1008,17 +1027,7 @@ UNION ALL
 SELECT 'median', NULL, NULL, round(median(gender_bias_score), 9), NULL FROM scores"""))
 def q_bias_sections(spark, sf):
     """E6-E9 as one long table."""
-    s = _scored_rows(spark, sf)
-    none = F.lit(None).cast("string")
-    g = E.bias_by_gender(s).select(F.lit("by_gender").alias("section"), F.col("gender").alias("key1"),
-                                   none.alias("key2"), "mean", "std")
-    e = E.bias_by_ethnicity(s).select(F.lit("by_ethnicity").alias("section"), F.col("ethnicity").alias("key1"),
-                                      none.alias("key2"), "mean", "std")
-    x = E.bias_crosstab(s).select(F.lit("crosstab").alias("section"), F.col("gender").alias("key1"),
-                                  F.col("ethnicity").alias("key2"), "mean", F.lit(None).cast("double").alias("std"))
-    m = E.median_bias(s).select(F.lit("median").alias("section"), none.alias("key1"), none.alias("key2"),
-                                F.col("mb").alias("mean"), F.lit(None).cast("double").alias("std"))
-    return r9(g.unionByName(e).unionByName(x).unionByName(m))
+    return r9(R.bias_sections(_scored_rows(spark, sf)))
 
 
 @register("report_table", W(VARIANTS, f"""

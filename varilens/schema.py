@@ -49,10 +49,6 @@ FEMALE_WORDS = ["woman", "female", "she", "her", "girl", "lady"]
 # article, space, digits, "-year-old", optional " patient"; any case.
 AGE_PHRASE = r"(A|An) (\d+)-year-old( patient)?"
 
-# Fallback header when a text has no age phrase (and prepending is on).
-PREPEND_GENDERED = "Patient: {ethnicity} {descriptor}.\n"
-PREPEND_NEUTRAL = "Patient: {ethnicity}.\n"
-
 # Option letters for integer answer codes 0..3 and for yes/no/maybe decisions.
 COP_LETTERS = "ABCD"
 DECISION_LETTERS = {"yes": "A", "no": "B", "maybe": "C"}
