@@ -184,7 +184,12 @@ def _rouge_f(lcs, len_ref, len_cand):
     return F.when((lcs == 0) | (len_ref == 0) | (len_cand == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-def _rouge_units(df: DataFrame, case_col: str, idx_col: str, text_col: str) -> DataFrame:
+def _rouge_text(text, stem: bool) -> F.Column:
+    tokens = rouge_tokens(text)
+    return stem_tokens(tokens) if stem else tokens
+
+
+def _rouge_units(df: DataFrame, case_col: str, idx_col: str, text_col: str, stem: bool = True) -> DataFrame:
     """Distinct texts per case: (case_id, tid, m, tokens).
 
     Identical responses are scored once and weighted: ``m`` copies, id
@@ -198,7 +203,7 @@ def _rouge_units(df: DataFrame, case_col: str, idx_col: str, text_col: str) -> D
              .groupBy(F.col(case_col).alias("case_id"), F.col(text_col).alias("text"))
              .agg(F.min(idx_col).alias("tid"), F.count(F.lit(1)).alias("m")))
     return (units.select("case_id", "tid", "m",
-                         F.when(F.col("text").isNotNull(), stem_tokens(rouge_tokens("text"))).alias("tokens"))
+                         F.when(F.col("text").isNotNull(), _rouge_text("text", stem)).alias("tokens"))
             .repartition("case_id", "tid"))
 
 
@@ -229,14 +234,14 @@ def rouge_pair_scores(df: DataFrame, *, response_col: str, case_col: str = "case
 
 
 def rouge_l_across_variants(df: DataFrame, *, response_col: str, case_col: str = "case_id",
-                            idx_col: str = "variant_idx") -> DataFrame:
+                            idx_col: str = "variant_idx", stem: bool = True) -> DataFrame:
     """Mean pairwise ROUGE-L F per case (NULL when fewer than two non-null responses).
 
     ROUGE-L F is symmetric, so the sum over response pairs is
     sum over distinct text pairs of m_a * m_b * F + sum over texts of C(m, 2) * F(t, t),
     with F(t, t) = 1 for a text with at least one token.
     """
-    units = _rouge_units(df, case_col, idx_col, response_col)
+    units = _rouge_units(df, case_col, idx_col, response_col, stem)
     present = F.col("tokens").isNotNull()
     per_case = units.groupBy("case_id").agg(
         F.coalesce(F.sum(F.when(present, F.col("m"))), F.lit(0)).alias("k"),
@@ -247,10 +252,10 @@ def rouge_l_across_variants(df: DataFrame, *, response_col: str, case_col: str =
     return _mean_over_pairs(sums.select("case_id", "k"), sums.select("case_id", "_s"), "rouge_l")
 
 
-def pair_rouge_l(df: DataFrame, *, reference_col: str, candidate_col: str) -> DataFrame:
+def pair_rouge_l(df: DataFrame, *, reference_col: str, candidate_col: str, stem: bool = True) -> DataFrame:
     """B3 for explicit (reference, candidate) rows: adds ``rouge_l``."""
-    a = stem_tokens(rouge_tokens(F.coalesce(F.col(reference_col), F.lit(""))))
-    b = stem_tokens(rouge_tokens(F.coalesce(F.col(candidate_col), F.lit(""))))
+    a = _rouge_text(F.coalesce(F.col(reference_col), F.lit("")), stem)
+    b = _rouge_text(F.coalesce(F.col(candidate_col), F.lit("")), stem)
     d = df.withColumns({"_ta": a, "_tb": b})
     return d.withColumn("rouge_l", _rouge_f(lcs_udf("_ta", "_tb"), F.size("_ta"), F.size("_tb"))).drop("_ta", "_tb")
 

@@ -701,6 +701,43 @@ def q_pair_rouge(spark, sf):
               .select("conv_id", "turn", "rouge_l"))
 
 
+# ROUGE-L without stemming has an oracle: the LCS as a reduction over rows of matches (each row a running maximum).
+
+def _rouge_tokens_sql(text: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+def _rouge_sql(a: str, b: str) -> str:
+    """ROUGE-L F of two token lists."""
+    lcs = (f"list_last(list_reduce(list_concat([list_transform({b}, lambda y: 0)], "
+           f"list_transform({a}, lambda x: list_transform({b}, lambda y: CAST(x = y AS INTEGER)))), "
+           f"lambda acc, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), "
+           f"lambda i: CASE WHEN m[i] = 1 THEN CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END + 1 ELSE acc[i] END)))))")
+    return (f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 2.0 * {lcs} / (len({a}) + len({b})) END")
+
+
+@register("pair_rouge_l_plain", f"""
+WITH c AS (SELECT conv_id, turn, {_rouge_tokens_sql("coalesce(text, '')")} AS t FROM conversations)
+SELECT a.conv_id, a.turn, round({_rouge_sql('a.t', 'b.t')}, 9) AS rouge_l
+FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def q_pair_rouge_plain(spark, sf):
+    """B3 without stemming on consecutive turns."""
+    c = FX.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    return r9(B.pair_rouge_l(c.join(nxt, ["conv_id", "turn"]), reference_col="text", candidate_col="next_text", stem=False)
+              .select("conv_id", "turn", "rouge_l"))
+
+
+@register("rouge_l_across_variants_plain", W(FX.RESPONSES_SQL, f"""
+t AS (SELECT case_id, variant_idx, {_rouge_tokens_sql("response")} AS t FROM responses WHERE response IS NOT NULL)""", f"""
+p AS (SELECT a.case_id, avg({_rouge_sql('a.t', 'b.t')}) AS m FROM t a JOIN t b ON a.case_id = b.case_id AND a.variant_idx < b.variant_idx
+      GROUP BY 1)""", """
+SELECT k.case_id, round(p.m, 9) AS rouge_l FROM (SELECT DISTINCT case_id FROM responses) k LEFT JOIN p USING (case_id)"""))
+def q_rouge_plain(spark, sf):
+    """B4 without stemming: tokenising, pairing, weights and the F formula against all pairs."""
+    return r9(B.rouge_l_across_variants(FX.responses(spark, sf), response_col="response", stem=False))
+
+
 # ----------------------------------------------------- E: embeddings ----
 
 @register("cosine_similarity", """
