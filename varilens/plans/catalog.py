@@ -973,6 +973,73 @@ def q_assemble(spark, sf):
     return H.assemble_raw_cases(_pages(spark, sf), FX.link_index(spark, sf))
 
 
+# The same operators on pages that carry dates, figures and section marks.
+
+def _marked(spark, sf):
+    return H.extract_pages(FX.marked_pages(spark, sf))
+
+
+_CASE_SQL = "CASE WHEN long1 THEN [t] ELSE [] END"
+_DISCUSSION_SQL = "CASE WHEN long2 THEN [t2] ELSE [] END"
+
+
+@register("filter_year_cutoff_dated", W(FX.MARKED_SQL, f"""
+SELECT k AS page_id, 0 AS pos, '/a/' || ks AS link,
+       {FX.MONTHS!r}[k % 12 + 1] || ' ' || CAST(k % 28 + 1 AS VARCHAR) || ', ' || CAST(k % 12 + 2008 AS VARCHAR) AS date_text,
+       printf('%02d_%d', k % 12 + 1, k % 12 + 2008) AS publication_year
+FROM parts WHERE k % 12 + 2008 >= 2013"""))
+def q_year_dated(spark, sf):
+    return H.filter_year_cutoff(H.extract_listing(_marked(spark, sf)))
+
+
+@register("extract_sections_marked", W(FX.MARKED_SQL, f"""
+SELECT k AS page_id, 'Dx ' || ks AS diagnosis, CASE WHEN k % 2 = 0 THEN 'Option ' ELSE 'Dx ' END || ks AS chosen_option,
+       md5(array_to_string(list_concat({_CASE_SQL}, {_DISCUSSION_SQL}), '|')) AS paragraphs,
+       md5(array_to_string({_CASE_SQL}, '|')) AS case_paras, md5(array_to_string({_DISCUSSION_SQL}, '|')) AS discussion_paras
+FROM parts"""))
+def q_sections_marked(spark, sf):
+    """H4 on marked pages; paragraph lists as digests."""
+    digest = lambda c: F.md5(F.array_join(c, "|")).alias(c)
+    return _marked(spark, sf).select("page_id", "diagnosis", "chosen_option", digest("paragraphs"), digest("case_paras"),
+                                     digest("discussion_paras"))
+
+
+@register("has_image_marked", W(FX.MARKED_SQL, "SELECT k AS page_id, CASE WHEN k % 4 = 0 THEN 'Yes' ELSE 'No' END AS has_image FROM parts"))
+def q_image_marked(spark, sf):
+    return _marked(spark, sf).select("page_id", "has_image")
+
+
+@register("extract_answer_key_marked", W(FX.MARKED_SQL, """
+SELECT k AS page_id, url, CASE WHEN k % 3 <> 0 THEN 'A' ELSE 'B' END AS answer_idx,
+       CASE WHEN k % 3 <> 0 THEN 'first choice' ELSE 'second' END AS answer
+FROM parts"""))
+def q_answer_key_marked(spark, sf):
+    return H.extract_answer_key(_marked(spark, sf))
+
+
+@register("extract_mcq_marked", W(FX.MARKED_SQL, """
+SELECT k AS page_id, 'Title ' || ks AS mcq_title, md5(array_to_string(list_concat(['Case', t, 'Diagnosis', 'Dx ' || ks],
+       CASE WHEN k % 2 = 0 THEN ['What to Do Next', 'Option ' || ks] ELSE [] END,
+       ['Discussion', t2, CASE WHEN k % 3 <> 0 THEN 'A. first choice' ELSE 'No key' END, 'B. second']), '|')) AS mcq_answers
+FROM parts"""))
+def q_mcq_marked(spark, sf):
+    """H7 on marked pages; the answers as a digest."""
+    return _marked(spark, sf).select("page_id", "mcq_title", F.md5(F.array_join("mcq_answers", "|")).alias("mcq_answers"))
+
+
+@register("assemble_raw_cases_marked", W(FX.MARKED_SQL, """
+SELECT p.url AS link, CAST(NULL AS VARCHAR) AS publication_year, substr('ABCD', CAST(l.page_id % 4 AS INT) + 1, 1) AS answer_idx,
+       'answer ' || CAST(l.page_id AS VARCHAR) AS answer, md5(CASE WHEN long1 THEN t ELSE '' END || ' Title ' || ks) AS question,
+       'Case' AS opa, md5(t) AS opb, 'Diagnosis' AS opc, 'Dx ' || ks AS opd, 'Dx ' || ks AS diagnosis,
+       md5(CASE WHEN long2 THEN t2 ELSE '' END) AS explanation, 'Title ' || ks AS field,
+       CASE WHEN k % 4 = 0 THEN 'Yes' ELSE 'No' END AS has_image
+FROM parts p JOIN pages l ON l.url = p.url"""))
+def q_assemble_marked(spark, sf):
+    """H8 on marked pages; long texts as digests."""
+    cases = H.assemble_raw_cases(_marked(spark, sf), FX.link_index(spark, sf))
+    return cases.withColumns({c: F.md5(c) for c in ("question", "opb", "explanation")})
+
+
 # ------------------------------------------- sources, report sections, facade ----
 
 from ..sources import readers as SR  # noqa: E402

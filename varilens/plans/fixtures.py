@@ -253,6 +253,45 @@ prompt_outputs AS (
 )"""
 
 
+# ------------------------------------------------- pages with marks and dates ----
+
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+DATE_CLASS, FIGURE_CLASS = "article--date meta-item no-wrap", "figure-table-image"
+
+
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article pages that carry each page's whole text between section marks, with a dated link and a figure."""
+    p = table(spark, sf_dir, "pages")
+    k = F.col("page_id")
+    text = F.concat(F.lit("Text "), F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[&<>]", " "))
+    ks = k.cast("string")
+    date = F.concat(F.element_at(F.array(*[F.lit(m) for m in MONTHS]), (k % 12 + 1).cast("int")), F.lit(" "),
+                    (k % 28 + 1).cast("string"), F.lit(", "), (k % 12 + 2008).cast("string"))
+
+    def para(*parts):
+        return F.concat(F.lit("<p>"), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("</p>"))
+
+    html = F.concat(
+        F.lit("<article><h1>Title "), ks, F.lit("</h1><li><a href='/a/"), ks, F.lit(f"'>x</a><div class='{DATE_CLASS}'>"), date,
+        F.lit("</div></li>"), F.when(k % 4 == 0, F.lit(f"<div class='{FIGURE_CLASS}'><img src='f'></div>"))
+        .when(k % 4 == 1, F.lit(f"<div class='{FIGURE_CLASS}'>none</div>")).otherwise(F.lit("")),
+        para("Case"), para(text), para("Diagnosis"), para("Dx ", ks),
+        F.when(k % 2 == 0, F.concat(para("What to Do Next"), para("Option ", ks))).otherwise(F.lit("")),
+        para("Discussion"), para("Because ", text), F.when(k % 3 != 0, para("A. first choice")).otherwise(para("No key")),
+        para("B. second"), F.lit("</article>"))
+    return p.select("page_id", "url", html.alias("html"))
+
+
+MARKED_SQL = """
+marked AS (
+  SELECT page_id AS k, url, 'Text ' || regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[&<>]', ' ', 'g') AS t
+  FROM pages),
+parts AS (
+  SELECT k, url, t, 'Because ' || t AS t2, CAST(k AS VARCHAR) AS ks,
+         length(t) - length(replace(t, ' ', '')) + 1 >= 8 AS long1, length(t) - length(replace(t, ' ', '')) + 2 >= 8 AS long2
+  FROM marked)"""
+
+
 # -------------------------------------------------------------- link index ----
 
 def link_index(spark: SparkSession, sf_dir: str) -> DataFrame:
