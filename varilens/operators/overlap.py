@@ -1,18 +1,16 @@
 """Pairwise BLEU and ROUGE-L consistency of responses across variants.
 
 Both metrics are means over the C(k, 2) ordered pairs (earlier variant =
-reference) of a case's k non-null responses.  Neither is decomposable, but
-both are 0 for a pair that shares no token, so pairs are only generated
-through a join on shared tokens/grams:
+reference) of a case's k non-null responses.  Neither is decomposable:
 
 * BLEU: n-grams are counted once per response, then joined on
   ``(gram, case_id)``; the join key spreads a large case over many keys
   and AQE's skew handling splits hot grams.  Clipped matches are summed
   per pair; pairs without a shared unigram never exist as rows and enter
   the mean only through the denominator C(k, 2).
-* ROUGE-L: tokens are stemmed once per response (Arrow UDF), candidate
-  pairs come from a join on ``(case_id, token)``, and the LCS of each
-  candidate pair is computed in an Arrow UDF over pair batches.
+* ROUGE-L: each distinct text of a case is stemmed once (Arrow UDF), the
+  distinct texts of a case meet in a join that carries their tokens, and the
+  LCS of each pair is computed in an Arrow UDF over pair batches.
 """
 
 from __future__ import annotations
@@ -194,37 +192,35 @@ def _rouge_units(df: DataFrame, case_col: str, idx_col: str, text_col: str, stem
 
     Identical responses are scored once and weighted: ``m`` copies, id
     ``tid`` = their smallest index.  The copy count is a partial aggregate,
-    so a case made of one text repeated millions of times is one row.  The
-    stemmed table is repartitioned by (case_id, tid) right after the UDF; the
-    per-case sums and the token lookups read that one shuffle, the token
-    explode branch (different column set after pruning) stems again.
+    so a case made of one text repeated millions of times is one row.  ``n``
+    counts the tokens before stemming (stemming drops none), so the per-case
+    sums never run the stemmer.
     """
     units = (df.where(F.col(case_col).isNotNull())
              .groupBy(F.col(case_col).alias("case_id"), F.col(text_col).alias("text"))
              .agg(F.min(idx_col).alias("tid"), F.count(F.lit(1)).alias("m")))
-    return (units.select("case_id", "tid", "m",
-                         F.when(F.col("text").isNotNull(), _rouge_text("text", stem)).alias("tokens"))
-            .repartition("case_id", "tid"))
+    present = F.col("text").isNotNull()
+    return units.select("case_id", "tid", "m", F.when(present, F.size(rouge_tokens("text"))).alias("n"),
+                        F.when(present, _rouge_text("text", stem)).alias("tokens"))
 
 
 def _rouge_pairs(units: DataFrame) -> DataFrame:
-    """Per pair of distinct texts sharing a stemmed token: (case_id, i, j, weight, rouge_l)."""
-    u = units.where(F.col("tokens").isNotNull())
-    toks = u.select("case_id", "tid", F.explode(F.array_distinct("tokens")).alias("tok"))
-    cand = (toks.alias("a").hint("merge").join(toks.alias("b"), ["tok", "case_id"])
-            .where(F.col("a.tid") < F.col("b.tid"))
-            .select("case_id", F.col("a.tid").alias("i"), F.col("b.tid").alias("j")).distinct())
-    t = u.select("case_id", "tid", "m", "tokens")
-    pairs = (cand.join(t.withColumnsRenamed({"tid": "i", "m": "mi", "tokens": "ta"}), ["case_id", "i"])
-             .join(t.withColumnsRenamed({"tid": "j", "m": "mj", "tokens": "tb"}), ["case_id", "j"]))
-    lcs = lcs_udf("ta", "tb")
-    return pairs.select("case_id", "i", "j", (F.col("mi") * F.col("mj")).alias("weight"),
-                        _rouge_f(lcs, F.size("ta"), F.size("tb")).alias("rouge_l"))
+    """Per pair of distinct texts with a common subsequence: (case_id, i, j, weight, rouge_l).
+
+    Distinct texts of a case meet by a plain join that carries the tokens:
+    both sides read one exchange, which AQE may split for a large case.
+    """
+    u = units.where(F.col("n") > 0).select("case_id", "tid", "m", "tokens")
+    pairs = u.alias("a").hint("merge").join(u.alias("b"), "case_id").where(F.col("a.tid") < F.col("b.tid"))
+    scored = pairs.select("case_id", F.col("a.tid").alias("i"), F.col("b.tid").alias("j"),
+                          (F.col("a.m") * F.col("b.m")).alias("weight"), F.size("a.tokens").alias("_ni"),
+                          F.size("b.tokens").alias("_nj"), lcs_udf("a.tokens", "b.tokens").alias("_lcs"))
+    return scored.where(F.col("_lcs") > 0).select("case_id", "i", "j", "weight", _rouge_f(F.col("_lcs"), F.col("_ni"), F.col("_nj")).alias("rouge_l"))
 
 
 def rouge_pair_scores(df: DataFrame, *, response_col: str, case_col: str = "case_id",
                       idx_col: str = "variant_idx") -> DataFrame:
-    """Per pair of distinct texts sharing a stemmed token: ROUGE-L F-measure.
+    """Per pair of distinct texts with a common subsequence of stems: ROUGE-L F-measure.
 
     ``ref_idx`` / ``cand_idx`` are the smallest indexes of the two texts and
     ``weight`` the number of response pairs with exactly these two texts.
@@ -242,10 +238,9 @@ def rouge_l_across_variants(df: DataFrame, *, response_col: str, case_col: str =
     with F(t, t) = 1 for a text with at least one token.
     """
     units = _rouge_units(df, case_col, idx_col, response_col, stem)
-    present = F.col("tokens").isNotNull()
     per_case = units.groupBy("case_id").agg(
-        F.coalesce(F.sum(F.when(present, F.col("m"))), F.lit(0)).alias("k"),
-        F.sum(F.when(present & (F.size("tokens") > 0), F.col("m") * (F.col("m") - 1) / 2)).alias("_self"))
+        F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("m"))), F.lit(0)).alias("k"),
+        F.sum(F.when(F.col("n") > 0, F.col("m") * (F.col("m") - 1) / 2)).alias("_self"))
     cross = _rouge_pairs(units).groupBy("case_id").agg(F.sum(F.col("weight") * F.col("rouge_l")).alias("_cross"))
     sums = (per_case.join(cross, "case_id", "left")
             .select("case_id", "k", (F.coalesce("_self", F.lit(0.0)) + F.coalesce("_cross", F.lit(0.0))).alias("_s")))
