@@ -55,7 +55,7 @@ def near_copies(rnd, n=60):
     return [*rows, rows[-1], (rows[-1][0], "same id other text here now"), (9, "a b c d e")]
 
 
-def test_classes_equal_all_pairs(spark, monkeypatch):
+def test_classes_equal_all_pairs(spark):
     rows = near_copies(random.Random(7))
     docs = spark.createDataFrame([(*r, "k", 0) for r in rows], "doc_id long, text string, key string, size int")
     exp = sort(classes(rows))

@@ -31,15 +31,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     for _ in range(ROUNDS):
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = staged(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        large = staged(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "links")
         least = _with_least(large)
-        small = staged(least.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = staged(least.select(F.col("v").alias("u"), F.col("m").alias("v"))
                        .unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
-        # Done when no node has two parents and no parent has a parent: all links point at roots.
-        deeper = small.select("v").distinct().join(small.select(F.col("u").alias("v")), "v", "left_semi")
-        two = small.groupBy("u").count().where("count > 1").select("u")
-        links = small
-        if deeper.unionAll(two).isEmpty():
+        # Done when every node has one parent and no parent has a parent: all links point at roots.
+        ends = links.select("u", F.lit(1).alias("parents"), F.lit(0).alias("children")).unionAll(
+            links.select("v", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("u").agg(F.sum("parents").alias("p"), F.max("children").alias("c")).where("p > 1 or p = 1 and c = 1")
+        if open_.isEmpty():
             roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")

@@ -11,12 +11,15 @@ Processes are followed only while they can still beat a component.
 
 Bands of the signature put texts into buckets; similarity is then computed
 exactly from the texts.  Equal texts are one node from the start.  In a
-bucket every member is compared with the least one (a star, not all pairs).
-Members that the verified stars leave in different components are compared
-further; 1 - similarity is a metric, so a pair whose distances to the
-bucket's least member differ by more than the threshold distance can't match
-and is never formed, and members of a bucket's largest component meet only
-members of the others.  No link between components is lost by this.
+bucket every member is compared with one hub, drawn by a hash that differs
+from bucket to bucket (a star, not all pairs), so a text is compared with as
+many hubs as it has shared buckets.  Members that the verified stars leave in
+different components may still be linked: blocks of a bucket meet, members of
+its largest component only members of the others, and arrays of sketches rule
+out what can't match.  1 - similarity is a metric, so the distances of a pair
+to the hub may differ by the threshold distance at most; and the smaller
+counts of two shingle histograms bound the overlap from above.  Both are
+exact, so no link between components is lost, and few pairs leave the blocks.
 
 Defined results: NULL texts are empty; texts without a word are one class;
 texts of fewer than five words are one shingle of all their words; the class
@@ -46,6 +49,8 @@ SLICE_BYTES = 2 << 20
 CHUNK = 1 << 19              # processes followed at once
 BLOOM_BLOCKS = 1 << 16
 SALTS = 16
+BINS, FULL = 256, 65535      # counts of a shingle histogram, the mark of a full one
+BLOCK = 512                  # members on each side of a block
 _WEIGHTS = np.random.default_rng(99).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -133,8 +138,14 @@ def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
     return np.where(total > 0, both / np.maximum(total - both, 1), 1.0)
 
 
+def histograms(row: np.ndarray, value: np.ndarray, count: np.ndarray, n_rows: int) -> np.ndarray:
+    """Shingle counts by hash bin; a bin too full for 16 bits is marked by the largest number."""
+    at = row * BINS + (value >> np.uint64(64 - 8)).astype(np.int64)
+    return np.minimum(np.bincount(at, count, n_rows * BINS), FULL).astype(np.uint16).reshape(n_rows, BINS)
+
+
 def _signed(docs: DataFrame) -> DataFrame:
-    """``id, key, size, bands`` of ``id, key, text`` rows; map-only."""
+    """``id, key, size, bands, bins`` of ``id, key, text`` rows; map-only."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +156,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 bands = band_hashes(signatures(row, value, count, n))
                 size = np.bincount(row, count, n).astype(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), lists],
-                                                 names=["id", "key", "size", "bands"])
-    return docs.mapInArrow(run, f"id {kind}, key binary, size long, bands array<long>")
+                bins = pa.array([x.tobytes() for x in histograms(row, value, count, n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), lists, bins],
+                                                 names=["id", "key", "size", "bands", "bins"])
+    return docs.mapInArrow(run, f"id {kind}, key binary, size long, bands array<long>, bins binary")
 
 
 def _texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -171,35 +183,104 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def _further_pairs(members: DataFrame, stars: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs inside buckets that the stars left in different components and the metric does not rule out."""
+def possible(a: dict, b: dict, band: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of two blocks of one bucket that may be linked, each in the first band that both share."""
+    near = (a["component"][:, None] != b["component"][None, :])
+    near &= np.abs(a["distance"][:, None] - b["distance"][None, :]) <= 1 - similarity + 1e-9
+    small, large = (f(a["size"][:, None], b["size"][None, :]) for f in (np.minimum, np.maximum))
+    near &= small >= similarity * large - 1e-9
+    i, j = np.nonzero(near)
+    found = []
+    for k in range(0, len(i), 1 << 15):
+        x, y = i[k:k + (1 << 15)], j[k:k + (1 << 15)]
+        first = (a["prints"][x] == b["prints"][y]).argmax(axis=1) == band
+        x, y = x[first], y[first]
+        full = (a["bins"][x] == FULL).any(axis=1) | (b["bins"][y] == FULL).any(axis=1)
+        most = np.minimum(a["bins"][x], b["bins"][y]).sum(axis=1, dtype=np.int64)
+        fits = full | (most >= similarity * (a["size"][x] + b["size"][y] - most) - 1e-9)
+        found.append((x[fits], y[fits]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (i, j)
+
+
+def _blocks(similarity: float):
+    """Over rows sorted by block: pairs of each block; a block that spans batches is carried on."""
+    def pairs(rows: pa.Table) -> Iterator[tuple[list, list]]:
+        columns = {c: rows.column(c).combine_chunks() for c in rows.column_names}
+        block = columns["block"].to_numpy()
+        part = columns["part"].to_numpy()
+        band = columns["band"].to_numpy()
+        _, component = np.unique(np.array(columns["component"].to_pylist(), dtype=object), return_inverse=True)
+        fields = {"component": component, "distance": columns["distance"].to_numpy(), "size": columns["size"].to_numpy(),
+                  "prints": columns["prints"].flatten().to_numpy().reshape(-1, BANDS),
+                  "bins": np.frombuffer(b"".join(columns["bins"].to_pylist()), np.uint16).reshape(-1, BINS)}
+        keys = np.array(columns["key"].to_pylist(), dtype=object)
+        heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        for start, end in zip(heads, np.append(heads[1:], len(block)), strict=True):
+            sides = [start + np.flatnonzero(part[start:end] == k) for k in (0, 1)]
+            alone = columns["alone"][int(start)].as_py()
+            right = sides[0] if alone else sides[1]
+            a, b = ({c: v[at] for c, v in fields.items()} for at in (sides[0], right))
+            i, j = possible(a, b, int(band[start]), similarity)
+            if alone:
+                i, j = i[i < j], j[i < j]
+            yield keys[sides[0][i]].tolist(), keys[right[j]].tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            for a, b in pairs(rows) if rows.num_rows else ():
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        carry = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if carry is None else [*carry.to_batches(), batch])
+            block = rows.column("block").to_numpy()
+            open_at = int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
+            yield from out(rows.slice(0, open_at))
+            carry = rows.slice(open_at)
+        if carry is not None:
+            yield from out(carry)
+    return run
+
+
+def _further_pairs(members: DataFrame, sketches: DataFrame, stars: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs inside buckets that the stars left in different components and the sketches do not rule out."""
     distance = stars.select(F.col("a").alias("key"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("distance"))
-    rows = (members.join(distance, ["key", "hub"], "left")
+    rows = (members.where("key <> hub").join(distance, ["key", "hub"], "left")
             .join(labels.select(F.col("node").alias("key"), "component"), "key", "left")
-            .select("bucket", "key", "hub", "size", F.coalesce("distance", F.lit(0.0)).alias("distance"),
-                    F.coalesce("component", "key").alias("component")))
+            .select("bucket", "band", "key", "distance", F.coalesce("component", "key").alias("component")))
     rows = staged(rows, "members")
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = (parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most"))
-             .where("parts > 1").select("bucket", F.col("most.component").alias("largest"),
-                                        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    rows = staged(rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-                  .join(mixed, ["bucket", "salt"]).drop("salt"), "mixed")
-    reach = 1 - similarity
-    bin_of = F.floor(F.col("distance") / reach)
-    left = rows.where("component <> largest").select(
-        "bucket", bin_of.alias("bin"), F.col("key").alias("a"), F.col("size").alias("size_a"),
-        F.col("distance").alias("distance_a"), F.col("component").alias("component_a"))
-    right = rows.select(
-        "bucket", F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("bin"), F.col("key").alias("b"),
-        F.col("size").alias("size_b"), F.col("distance").alias("distance_b"), F.col("component").alias("component_b"),
-        "hub", (F.col("component") == F.col("largest")).alias("large"))
-    near = ((F.col("component_a") != F.col("component_b")) & (F.col("large") | (F.col("a") < F.col("b")))
-            & (F.abs(F.col("distance_a") - F.col("distance_b")) <= reach + 1e-9)
-            & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9)
-            & (F.col("a") != F.col("hub")) & (F.col("b") != F.col("hub")))
-    joined = left.join(right, (left["bucket"] == right["bucket"]) & (left["bin"] == right["bin"]) & near)
-    return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mixed = (parts.groupBy("bucket")
+             .agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
+             .where("parts > 1").select(
+                 "bucket", F.col("most.component").alias("largest"),
+                 F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("n_left"), F.ceil(F.col("most.n") / BLOCK).alias("n_right"),
+                 F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    rows = (rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(mixed, ["bucket", "salt"])
+            .withColumn("right", F.col("component") == F.col("largest"))
+            .withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "key"), F.when(F.col("right"), F.col("n_right")).otherwise(F.col("n_left")))))
+
+    def block(i, j, alone: bool, part) -> F.Column:
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(alone).alias("alone"), part.cast("int").alias("part"))
+
+    chunk, zero = F.col("chunk"), F.lit(0).cast("long")
+    lefts, rights = F.sequence(zero, F.col("n_left") - 1), F.sequence(zero, F.col("n_right") - 1)
+    # Members outside the largest component meet each other (alone: one chunk with itself) and all chunks of the largest.
+    own = F.transform(lefts, lambda k: F.struct(F.least(k, chunk).alias("i"), F.greatest(k, chunk).alias("j"),
+                                                (k == chunk).alias("alone"), (k < chunk).cast("int").alias("part")))
+    other = F.transform(rights, lambda k: block(chunk, k + F.col("n_left"), False, F.lit(0)))
+    back = F.transform(lefts, lambda k: block(k, chunk + F.col("n_left"), False, F.lit(1)))
+    placed = (rows.withColumn("at", F.explode(F.when(F.col("right"), back).otherwise(F.concat(own, other))))
+              .select(F.xxhash64("bucket", "at.i", "at.j").alias("block"), "bucket", "at.i", "at.j", "at.alone", "at.part",
+                      "band", "key", "distance", "component")
+              .join(sketches, "key"))
+    return (placed.repartition("block").sortWithinPartitions("block", "bucket", "i", "j")
+            .select("block", "alone", "part", "band", "key", "distance", "component", "size", "prints", "bins")
+            .mapInArrow(_blocks(similarity), "a binary, b binary")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -210,12 +291,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
     signed = staged(_signed(rows), "signed")
     nodes = staged(signed.groupBy("key").agg(F.min("id").alias("least"), F.first("size").alias("size"),
-                                             F.first("bands").alias("bands")), "nodes")
-    buckets = nodes.select("key", "size", F.explode("bands").alias("bucket"))
-    hubs = (buckets.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1")
-            .select("bucket", "hub", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+                                             F.first("bands").alias("bands"), F.first("bins").alias("bins")), "nodes")
+    buckets = nodes.select("key", F.posexplode("bands").alias("band", "bucket"))
+    hubs = (buckets.groupBy("bucket")
+            .agg(F.min(F.struct(F.xxhash64("bucket", "key").alias("draw"), "key")).alias("hub"), F.count("*").alias("n"))
+            .where("n > 1").select("bucket", F.col("hub.key").alias("hub"),
+                                   F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     members = staged(buckets.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-                     .join(hubs, ["bucket", "salt"]).select("bucket", "key", "size", "hub"), "members")
+                     .join(hubs, ["bucket", "salt"]).select("bucket", "band", "key", "hub"), "members")
 
     pairs = staged(members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     keys = members.select("key").distinct()
@@ -223,11 +306,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = staged(_verified(pairs, texts), "stars")
     alike = F.col("similarity") >= similarity - 1e-12
     links = stars.where(alike).select("a", "b")
-    further = staged(_further_pairs(members, stars, components(links), similarity), "pairs")
+    prints = F.transform("bands", lambda x: F.xxhash64(x).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    sketches = nodes.select("key", "size", prints.alias("prints"), "bins")
+    labels = components(links)
+    further = staged(_further_pairs(members, sketches, stars, labels, similarity), "pairs")
     if not further.isEmpty():
         more = staged(_verified(further, texts), "further")
-        links = links.unionAll(more.where(alike).select("a", "b"))
-    labels = components(links)
+        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = components(known.unionAll(more.where(alike).select("a", "b")))
 
     named = (nodes.select("key", "least").join(labels.withColumnRenamed("node", "key"), "key", "left")
              .select("key", "least", F.coalesce("component", "key").alias("component")))
