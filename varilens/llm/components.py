@@ -25,10 +25,11 @@ def _with_least(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of an edge; the component is its least node.
 
+    ``edges`` is read twice and should be a written table; repeated edges are harmless.
     Each round replaces edges by edges to the least neighbour; it ends when
     every node points at the least node of its component.
     """
-    links = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     for _ in range(ROUNDS):
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = staged(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "links")

@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = staged(buckets.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
                      .join(hubs, ["bucket", "salt"]).select("bucket", "band", "key", "hub"), "members")
 
-    pairs = staged(members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    pairs = members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     keys = members.select("key").distinct()
     texts = _texts(rows, keys)
     stars = staged(_verified(pairs, texts), "stars")
@@ -315,11 +315,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = components(known.unionAll(more.where(alike).select("a", "b")))
 
-    named = (nodes.select("key", "least").join(labels.withColumnRenamed("node", "key"), "key", "left")
-             .select("key", "least", F.coalesce("component", "key").alias("component")))
-    named = staged(named, "named")
-    least = staged(named.groupBy("component").agg(F.min("least").alias("class_id")), "classes")
-    classes = staged(named.join(least, "component").select("key", "class_id"), "classes")
+    # Only nodes with a link can share a class; the others are their own.
+    linked = staged(nodes.select("key", "least").join(labels.withColumnRenamed("node", "key"), "key"), "linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("class_id"))
+    joint = linked.join(least, "component").select("key", "class_id")
+    classes = staged(nodes.select("key", "least").join(joint, "key", "left")
+                     .select("key", F.coalesce("class_id", "least").alias("class_id")), "classes")
     return signed.select("id", "key").join(classes, "key").select("id", "key", "class_id")
 
 
