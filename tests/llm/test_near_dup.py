@@ -66,6 +66,18 @@ def test_classes_equal_all_pairs(spark):
     assert Counter(r.doc_id for r in kept) == Counter({c for _, c in exp})
 
 
+def test_unlike_documents_with_null_or_shared_ids_stay_apart(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdefgh"]
+    rows = [(None, t) for t in texts[:3]] + [(7, t) for t in texts[3:6]] + [(None, texts[6]), (7, texts[6]), (8, texts[7]), (None, texts[0] + " z"), (7, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = N.near_duplicates(docs).collect()
+    assert len(found) == len(rows) and len({r.class_key for r in found}) == len(texts)
+    assert len({(r.class_key, r.class_id) for r in found}) == len(texts)
+    kept = [(r.doc_id, r.text[0]) for r in N.deduplicated(docs).collect()]
+    assert sort((i, ord(c)) for i, c in kept) == sort(
+        [(None, ord(c)) for c in "abc"] + [(7, ord(c)) for c in "defg"] + [(8, ord("h"))])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert N.near_duplicates(docs).count() == 0 and N.deduplicated(docs).count() == 0

@@ -23,8 +23,10 @@ exact, so no link between components is lost, and few pairs leave the blocks.
 
 Defined results: NULL texts are empty; texts without a word are one class;
 texts of fewer than five words are one shingle of all their words; the class
-id is the least document id of the class (NULL if all are NULL); repeated
-rows get a row each; other columns are ignored.
+key is the least text key of the class, unique whatever the ids are; the class
+id is the least document id of the class (NULL if all are NULL), which
+unrelated classes share if ids are NULL or repeated; repeated rows get a row
+each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -285,7 +287,7 @@ def _further_pairs(members: DataFrame, sketches: DataFrame, stars: DataFrame, la
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     similarity: float = SIMILARITY) -> DataFrame:
-    """``id, key, class_id`` per row: key is the MD5 of the text, class_id the least id of its class."""
+    """``id, key, class_key, class_id`` per row: key is the MD5 of the text, the others are the least of its class."""
     prepared(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     rows = rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
@@ -318,19 +320,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Only nodes with a link can share a class; the others are their own.
     linked = staged(nodes.select("key", "least").join(labels.withColumnRenamed("node", "key"), "key"), "linked")
     least = linked.groupBy("component").agg(F.min("least").alias("class_id"))
-    joint = linked.join(least, "component").select("key", "class_id")
+    joint = linked.join(least, "component").select("key", "component", "class_id")
     classes = staged(nodes.select("key", "least").join(joint, "key", "left")
-                     .select("key", F.coalesce("class_id", "least").alias("class_id")), "classes")
-    return signed.select("id", "key").join(classes, "key").select("id", "key", "class_id")
+                     .select("key", F.coalesce("component", "key").alias("class_key"),
+                             F.coalesce("class_id", "least").alias("class_id")), "classes")
+    return signed.select("id", "key").join(classes, "key").select("id", "key", "class_key", "class_id")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class: the one with the least id (of equal ids that with the least key)."""
     found = staged(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "found")
-    kept = (found.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "id", "key")
+    kept = (found.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("class_key", "id", "key")
             .agg(F.count("*").alias("n")))
-    # Of one class, ids can only tie if an id has several texts.
-    kept = kept.groupBy("class_id", "id").agg(F.min(F.struct("key", "n")).alias("kept")).select("id", "kept.key", "kept.n")
+    # The rows left of a class all have its least id, under which it may have several texts.
+    kept = kept.groupBy("class_key").agg(F.min(F.struct("key", "id", "n")).alias("kept")).select("kept.id", "kept.key", "kept.n")
     kept = staged(kept, "kept")
     key = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
     tagged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), key.alias("key"))

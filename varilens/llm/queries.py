@@ -141,7 +141,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: connected groups of a set similarity; tests hold the classes against all pairs."""
     return (near_duplicates(table(spark, sf_dir, "documents"))
-            .select(F.col("id").alias("doc_id"), F.col("class_id")))
+            .select(F.col("id").alias("doc_id"), "class_id", F.lower(F.hex("class_key")).alias("class_key")))
 
 
 # --------------------------------------------------- 9: long repeats ----
