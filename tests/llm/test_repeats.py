@@ -73,6 +73,19 @@ def test_removal_equals_all_windows(spark, options):
     assert sorted(found, key=lambda r: (r[0] is None, r[0] or 0, *r[1:])) == expected(rows)
 
 
+def test_texts_of_one_id_and_checksum_are_not_one_document(spark):
+    import zlib
+    p = "".join(chr(97 + (k * k + k // 3) % 26) for k in range(150))
+    q = "".join(chr(97 + (k ** 3 + k // 5) % 26) for k in range(150))
+    a, b = p + "lumxwoyjyc", q + "mqxrbfdijg"
+    assert zlib.crc32(a.encode()) == zlib.crc32(b.encode())
+    rows = [(1, p), (5, a), (5, b), (None, "x"), (5, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r.id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest())
+             for r in R.without_repeats(docs).collect()]
+    assert sorted(found, key=lambda r: (r[0] is None, r[0] or 0, *r[1:])) == expected(rows)
+
+
 def test_long_text_in_pieces(monkeypatch):
     """Contexts cut at the bounds of pieces hold the same windows."""
     import pyarrow as pa

@@ -23,9 +23,9 @@ share in different surroundings) would fill one task; its windows are spread
 by their own hashes instead, which is as exact.
 
 Defined results: NULL and empty texts have no bytes; documents with one id
-are ordered by a checksum of their text, and repeated rows (same id, same
-text) are one document whose result each row gets; a NULL id comes first;
-other columns are ignored.
+are ordered by a checksum of their text and told apart by 64 bits of
+checksum and hash; repeated rows (same id, same text) are one document whose
+result each row gets; a NULL id comes first; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -473,6 +473,12 @@ def _document(rows: DataFrame) -> Column:
     return F.xxhash64("id", "tie")
 
 
+def _tie(text: Column) -> Column:
+    """64 bits that tell the texts of one id apart: the CRC-32, which orders them, above 32 bits of another hash."""
+    high = F.shiftleft(F.crc32(text) - F.lit(1 << 31), 32)
+    return high.bitwiseOR(F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1)))
+
+
 def repeat_marks(rows: DataFrame, *, hot: int = HOT) -> DataFrame:
     """``id, tie, start, size``: spans to remove of ``id, tie, text`` rows (sorted out, may overlap)."""
     spark = rows.sparkSession
@@ -502,7 +508,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prepared(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
-                       F.crc32(text).alias("tie"), text.alias("text"))
+                       _tie(text).alias("tie"), text.alias("text"))
     marks = (repeat_marks(rows, hot=hot).groupBy("id", "tie")
              .agg(F.collect_list(F.struct("start", "size")).alias("spans")))
     marks = staged(marks.withColumn("document", _document(marks)), "marks")
