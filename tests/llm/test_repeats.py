@@ -73,6 +73,20 @@ def test_removal_equals_all_windows(spark, options):
     assert sorted(found, key=lambda r: (r[0] is None, r[0] or 0, *r[1:])) == expected(rows)
 
 
+def test_hot_bound_does_not_grow_with_the_corpus(spark, monkeypatch):
+    rnd = random.Random(11)
+    line = "".join(rnd.choices("abcdefgh", k=90))
+    rows = [(k, "".join(rnd.choices("abcdefgh", k=1500)) + line + "".join(rnd.choices("abcdefgh", k=1500))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "0L as tie", "text").repartition(12)
+    emit, made = R._emit, []
+    monkeypatch.setattr(R, "_emit", lambda *a: made.append(emit(*a)) or made[-1])
+    assert R.repeat_marks(docs, hot=20).count() == 0
+    flow = docs.mapInArrow(made[0], R.FLOW).where(f"kind = {R.CONTEXT}")
+    assert flow.groupBy("pk").count().agg({"count": "max"}).first()[0] <= 20
+    flow = docs.mapInArrow(emit(np.zeros(0, np.int64), np.zeros(0, np.uint64)), R.FLOW)
+    assert flow.groupBy("pk").count().agg({"count": "max"}).first()[0] > 20  # the line, unless it is spread
+
+
 def test_texts_of_one_id_and_checksum_are_not_one_document(spark):
     import zlib
     p = "".join(chr(97 + (k * k + k // 3) % 26) for k in range(150))

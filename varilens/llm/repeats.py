@@ -20,7 +20,10 @@ document with a smaller id, or in the same document further left.
 
 A minimizer with more than ``hot`` contexts (a line that very many documents
 share in different surroundings) would fill one task; its windows are spread
-by their own hashes instead, which is as exact.
+by their own hashes instead, which is as exact.  ``hot`` does not grow with
+the corpus: the counting pass is repeated with a finer local threshold where
+what it may have missed would matter, and the hot minimizers are a Bloom filter
+of fixed size (spreading a minimizer that it takes for hot is exact too).
 
 Defined results: NULL and empty texts have no bytes; documents with one id
 are ordered by a checksum of their text and told apart by 64 bits of
@@ -51,6 +54,7 @@ BLOCK_BYTES = 1 << 20        # text of one index
 HOT = 20_000                 # contexts of one minimizer that one task takes
 HOT_LOCAL = 16               # occurrences within a flush from which a minimizer is reported as frequent
 BLOOM_BLOCKS = 1 << 17
+HOT_WORDS, HOT_PROBES = 1 << 20, 4   # 64-bit words of the filter of hot minimizers, bits of each
 CONTEXT, MARK, WINDOW = 0, 1, 2   # kinds of row
 FLOW = "kind int, pk long, ctx long, id long, tie long, start long, size int, lead int"
 FLOW_SCHEMA = pa.schema([("kind", pa.int32()), ("pk", pa.int64()), ("ctx", pa.int64()), ("id", pa.int64()),
@@ -151,10 +155,27 @@ def _marks(ids, tie, start, size) -> pa.RecordBatch:
     return _flow(MARK, mix(ids.astype(np.uint64)).view(np.int64), zero, ids, tie, start, size, zero)
 
 
+def _probes(pk: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(word, mask) of each bit of the minimizers in the filter of hot ones."""
+    found = []
+    for k in range(HOT_PROBES):
+        h = mix(pk.view(np.uint64) + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
+        found.append(((h >> np.uint64(6)).astype(np.int64) & (HOT_WORDS - 1), np.uint64(1) << (h & np.uint64(63))))
+    return found
+
+
+def _hot_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for word, mask in _probes(batch.column(0).to_numpy()):
+            yield pa.RecordBatch.from_pydict({"word": pa.array(word), "mask": pa.array(mask.view(np.int64))})
+
+
 def _windows(rows: list[np.ndarray], hashes: RangeHash, hot: np.ndarray) -> list[np.ndarray]:
     """Contexts of hot minimizers are replaced by their windows, each under its own hash."""
     pk, _, ids, tie, start, size, _, _ = rows
-    is_hot = np.isin(pk, hot)
+    is_hot = np.ones(len(pk), bool)
+    for word, mask in _probes(pk):
+        is_hot &= hot[word] & mask != 0
     n = size[is_hot] - LENGTH + 1
     index = np.repeat(np.flatnonzero(is_hot), n)
     first = start[index] + np.arange(len(index)) - np.repeat(np.cumsum(n) - n, n)
@@ -164,12 +185,12 @@ def _windows(rows: list[np.ndarray], hashes: RangeHash, hot: np.ndarray) -> list
     return [np.concatenate((x[~is_hot], y)) for x, y in zip(rows, extra, strict=True)]
 
 
-def _emit(hot: list[int]):
-    """Map pass: contexts and marks of each task."""
-    hot_keys = np.array(hot, dtype=np.int64)
-
+def _emit(words: np.ndarray, masks: np.ndarray):
+    """Map pass: contexts and marks of each task; the filter of hot minimizers comes as its words that have a bit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+        hot = np.zeros(HOT_WORDS if len(words) else 0, np.uint64)
+        hot[words] = masks
 
         def settled():
             first, marks = _settled([np.concatenate(c) for c in zip(*held, strict=True)])
@@ -187,8 +208,8 @@ def _emit(hot: list[int]):
                     continue
                 row = np.searchsorted(ends, a, side="right") - 1
                 rows = [gram.view(np.int64), ctx.view(np.int64), ids[row], ties[row], a, size, lead, np.full(len(a), CONTEXT)]
-                if len(hot_keys):
-                    rows = _windows(rows, hashes, hot_keys)
+                if len(hot):
+                    rows = _windows(rows, hashes, hot)
                 # From here on places count from the start of the text.
                 rows[4] = rows[4] - ends[np.searchsorted(ends, rows[4], side="right") - 1] + offset
                 held.append(rows)
@@ -201,35 +222,52 @@ def _emit(hot: list[int]):
     return run
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minimizers that occur often within a flush of a task, with their counts; and the number of all (minimizer NULL)."""
-    held, n, total = [], 0, 0
+def _frequent(local: int):
+    """Minimizers that occur ``local`` times within a flush of a task, with their counts; and the number of flushes (minimizer NULL)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, flushes = [], 0, 0
+
+        def counted():
+            gram, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
+            # Copies of a context don't make a minimizer hot: they settle in their task.
+            order = np.argsort(ctx)
+            gram = gram[order[np.append(True, ctx[order[1:]] != ctx[order[:-1]])]]
+            gram.sort()
+            heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            count = np.diff(np.append(heads, len(gram)))
+            often = count >= local
+            return pa.RecordBatch.from_pydict({"pk": pa.array(gram[heads[often]].view(np.int64)), "n": pa.array(count[often])})
+
+        for batch in batches:
+            for data, ends, _, _, _ in _pieces(batch):
+                gram, ctx, *_ = contexts(data, ends)
+                if not len(gram):
+                    continue
+                held.append((gram, ctx))
+                n += len(gram)
+                if n >= FLUSH:
+                    yield counted()
+                    held, n, flushes = [], 0, flushes + 1
+        if held:
+            yield counted()
+            flushes += 1
+        yield pa.RecordBatch.from_pydict({"pk": pa.array([None], pa.int64()), "n": pa.array([flushes], pa.int64())})
+    return run
 
-    def counted():
-        gram, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
-        # Copies of a context don't make a minimizer hot: they settle in their task.
-        order = np.argsort(ctx)
-        gram = gram[order[np.append(True, ctx[order[1:]] != ctx[order[:-1]])]]
-        gram.sort()
-        heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        count = np.diff(np.append(heads, len(gram)))
-        often = count >= HOT_LOCAL
-        return pa.RecordBatch.from_pydict({"pk": pa.array(gram[heads[often]].view(np.int64)), "n": pa.array(count[often])})
 
-    for batch in batches:
-        for data, ends, _, _, _ in _pieces(batch):
-            gram, ctx, *_ = contexts(data, ends)
-            if not len(gram):
-                continue
-            held.append((gram, ctx))
-            n += len(gram)
-            total += len(gram)
-            if n >= FLUSH:
-                yield counted()
-                held, n = [], 0
-    if held:
-        yield counted()
-    yield pa.RecordBatch.from_pydict({"pk": pa.array([None], pa.int64()), "n": pa.array([total], pa.int64())})
+def _hot_filter(rows: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, mask) of a filter of all minimizers of over ``hot`` contexts; at most ``HOT_WORDS`` of them."""
+    local = HOT_LOCAL
+    while True:
+        counts = staged(rows.mapInArrow(_frequent(local), "pk long, n long").groupBy("pk").agg(F.sum("n").alias("n")), "frequent")
+        flushes = counts.where("pk is null").agg(F.sum("n")).first()[0] or 0
+        bound = hot - (local - 1) * flushes  # a flush leaves out local - 1 contexts of a minimizer at most
+        if local == 1 or bound >= hot // 4:
+            break
+        local = max(1, hot // (2 * flushes))
+    found = counts.where(f"pk is not null and n >= {bound}").select("pk").mapInArrow(_hot_bits, "word long, mask long")
+    found = found.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    return found.column("word").to_numpy(), found.column("mask").to_numpy().view(np.uint64)
 
 
 # ------------------------------------------- 2: contexts meet by minimizer ----
@@ -481,15 +519,7 @@ def _tie(text: Column) -> Column:
 
 def repeat_marks(rows: DataFrame, *, hot: int = HOT) -> DataFrame:
     """``id, tie, start, size``: spans to remove of ``id, tie, text`` rows (sorted out, may overlap)."""
-    spark = rows.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = staged(rows.mapInArrow(_frequent, "pk long, n long").groupBy("pk").agg(F.sum("n").alias("n")), "frequent")
-    total = counts.where("pk is null").agg(F.sum("n")).first()[0] or 0
-    # At most 8 minimizers per partition can hold an eighth of a partition's share each: the list is as short as that.
-    bound = max(hot, total // (8 * n_parts))
-    hot_keys = [r[0] for r in counts.where(f"pk is not null and n >= {bound}").select("pk").collect()]
-
-    flow = rows.mapInArrow(_emit(hot_keys), FLOW).repartition("pk").sortWithinPartitions("pk", "ctx", "id", "tie", "start")
+    flow = rows.mapInArrow(_emit(*_hot_filter(rows, hot)), FLOW).repartition("pk").sortWithinPartitions("pk", "ctx", "id", "tie", "start")
     met = staged(flow.mapInArrow(_meet, FLOW), "met")
 
     asked = (met.where(F.col("kind") == CONTEXT).groupBy("id", "tie")
