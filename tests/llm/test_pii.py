@@ -43,6 +43,13 @@ def test_added_spans():
     assert P.mask(text) == "call [PHONE] [CARD] mail [EMAIL] IBAN [ACCOUNT], ftp://[LOGIN] [KEY]"
 
 
+def test_logins_of_any_length():
+    for user, word in (("me", "t!" * 150), ("u" * 300, "pw!"), ("u" * 5000, "t:" * 50_000)):
+        assert P.mask(f"see https://{user}:{word}@h.org now") == "see https://[LOGIN]@h.org now"
+    for text in ("://" + "a" * 200_000, "://a:" * 60_000, "://a:" + "b:" * 100_000 + " @"):
+        assert not P.spans_of(text)[1]["login"]
+
+
 def test_long_texts_take_linear_time():
     for text in ("1" * 300_000, "a" * 200_000 + "@" + "a" * 200_000, "+1" * 100_000, "1." * 100_000, "+1" + "(" * 200_000, "@" * 200_000):
         P.spans_of(text)

@@ -50,7 +50,7 @@ AFTER_CUE = re.compile(r"(?:[\x20]?(?:number|nr|no|num|n°|#))?\.?[\x20:#=]{0,3}
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3}(?![A-Z0-9]))?")
 ACCOUNT = re.compile(r"[0-9](?:[\x20-]?[0-9]){7,19}(?![0-9])")
 KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
-LOGIN = re.compile(r"[^\s/?#@:]{1,256}:[^\s/?#@]{1,256}(?=@)")
+LOGIN = re.compile(r"[^\s/?#@:]++:[^\s/?#@]++(?=@)")  # of any length; stops before the next scheme's slash
 
 
 def _machine() -> ahocorasick.Automaton:
