@@ -10,9 +10,12 @@ from . import quality
 from .bpe import encode_digests
 from .common import prepared, table, text_or_empty
 from .decontaminate import benchmark_matches
+from .exact_dedup import marked
 from .near_dup import near_duplicates
 from .neighbours import nearest
+from .periodic import periodic_runs
 from .pii import find_spans
+from .ranked_search import ranked
 from .repeats import without_repeats
 from .sharding import write_shards
 from .url_filter import judge_urls
@@ -151,3 +154,73 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL on whole tables; tests hold the result against all windows of a small table."""
     return (without_repeats(table(spark, sf_dir, "documents"))
             .select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+
+
+# ---------------------------------------------------- 11: exact dedup ----
+
+@register("op11_exact_dedup", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
+           FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW best AS (PARTITION BY t ORDER BY length(x) DESC, doc_id NULLS LAST)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (marked(table(spark, sf_dir, "documents"))
+            .select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")))
+
+
+# -------------------------------------------------- 12: ranked search ----
+
+_SQL_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+              r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+
+@register("op12_ranked_search", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_TERMS} AS t FROM documents),
+dn AS (SELECT r, doc_id, t, len(t) AS n FROM d WHERE len(t) > 0),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM dn),
+q AS (SELECT qr, item_id, unnest(t) AS term
+      FROM (SELECT row_number() OVER () AS qr, item_id, list_distinct({_SQL_TERMS}) AS t FROM benchmark)),
+words AS (SELECT DISTINCT term FROM q),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM dn) SEMI JOIN words USING (term) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+      FROM tf, s GROUP BY term),
+impact AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // total)))) AS score
+           FROM tf JOIN w USING (term) JOIN dn USING (r), s),
+found AS (SELECT qr, item_id, r, doc_id, sum(score)::BIGINT AS score FROM q JOIN impact USING (term)
+          GROUP BY qr, item_id, r, doc_id HAVING sum(score) > 0)
+SELECT item_id, row_number() OVER best::INTEGER AS rank, doc_id, score FROM found
+WINDOW best AS (PARTITION BY qr ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER best <= 10""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# -------------------------------------------------- 13: periodic runs ----
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Fixed by the query's contract: every tenth text (by the id's checksum) repeats its words from ``a`` with period ``p``."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n = F.size("words")
+    g = F.floor(F.col("h") / 10)
+    a, p = F.col("a").cast("int"), F.col("p").cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    repeated = F.array_join(F.concat(F.slice("words", F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    planted = (docs.select("doc_id", "text", h.alias("h"))
+               .withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+               .withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8))))
+    return planted.select("doc_id", F.when(F.col("p").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@register("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: all periods of all stretches; tests hold the runs against every start and period."""
+    runs = F.col("runs")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    found = periodic_runs(_with_periods(table(spark, sf_dir, "documents"))).withColumn("best", best)
+    return found.select(
+        F.col("id").alias("doc_id"), F.size(runs).cast("long").alias("n_runs"), F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"), F.col("best.p").alias("period"),
+        F.expr("1000 * -best.l div best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(runs, line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
