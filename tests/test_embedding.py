@@ -38,6 +38,60 @@ def test_pca_direction_matches_numpy(spark):
     assert np.allclose(g, ref, atol=1e-8)
 
 
+def _pairs(spark, rows):
+    return spark.createDataFrame(rows, "female array<double>, male array<double>")
+
+
+@pytest.mark.parametrize("seed, n, d", [(1, 300, 5), (2, 40, 16), (3, 2, 3), (4, 6, 12), (5, 3000, 2)])
+def test_power_iteration_matches_svd(spark, seed, n, d):
+    rnd = np.random.default_rng(seed)
+    x = rnd.normal(size=(n, d)) * (1 + np.arange(d)) + 50  # a mean far from zero
+    got = E.gender_direction(_pairs(spark, [(v.tolist(), [0.0] * d) for v in x]).repartition(3)).first()
+    ref = np.linalg.svd(x - x.mean(0), full_matrices=False)[2][0]
+    ref = ref if ref[np.argmax(np.abs(ref))] > 0 else -ref
+    assert np.allclose(got.direction, ref, atol=1e-8)
+    assert got.gap <= 1e-14 and 0 < got.steps < 20_000
+    up = E.gender_direction(_pairs(spark, [(v.tolist(), [0.0] * d) for v in x]), orient="female_positive").first().direction
+    assert np.allclose(up, ref * (1 if ref @ x.mean(0) >= 0 else -1), atol=1e-8)
+
+
+def test_direction_of_odd_pairs(spark):
+    assert E.gender_direction(_pairs(spark, [])).first().direction is None
+    assert E.gender_direction_pca(_pairs(spark, [])) is None
+    for rows in ([([1.0, 2.0], [0.0, 0.0])], [([1.0, 0.1], [0.3, 0.7])] * 3):
+        assert E.gender_direction(_pairs(spark, rows)).first().direction is None
+    good = [([1.0, 0.0], [0.0, 0.0]), ([0.0, 0.5], [1.0, 0.5]), ([2.0, 1.0], [2.0, 1.0])]
+    bad = [(None, [1.0, 2.0]), ([1.0, None], [0.0, 0.0]), ([1.0], [0.0, 0.0]), ([float("nan"), 1.0], [0.0, 0.0]),
+           ([float("inf"), 1.0], [0.0, 0.0])]
+    want = E.gender_direction(_pairs(spark, good)).first().direction
+    assert np.allclose(want, [1.0, 0.0], atol=1e-12)
+    assert E.gender_direction(_pairs(spark, good + bad)).first().direction == pytest.approx(want)
+    with pytest.raises(ValueError):
+        E.gender_direction(_pairs(spark, good), method="median")
+
+
+def test_evaluate_goes_from_pairs_to_scores_without_a_job(spark):
+    from varilens.plans import fixtures as FX
+    from varilens.plans.evaluate import evaluate
+    pairs, rows = FX.sentence_pairs(spark, SF_SMALL), FX.scored_cases(spark, SF_SMALL)
+    df = rows.selectExpr("*", "'A' as answer_idx", "'A' as llm_m_answer")
+    tracker, before = spark.sparkContext.statusTracker(), None
+    spark.sparkContext.setJobGroup("lazy", "evaluate")
+    try:
+        before = len(tracker.getJobIdsForGroup("lazy"))
+        with evaluate(df, llm_col="llm_m_answer", case_embedding_col="embedding", gender_pairs=pairs) as res:
+            assert len(tracker.getJobIdsForGroup("lazy")) == before
+            got = {r.gender: r.mean for r in res.gender_bias["by_gender"].collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    g = np.array(E.gender_direction_pca(pairs))
+    by = {}
+    for r in rows.collect():
+        name = "male" if r.gender_male else "female" if r.gender_female else "none"
+        by.setdefault(name, []).append(np.array(r.embedding, float) @ g / np.linalg.norm(g))
+    assert got == {k: pytest.approx(np.mean(v), abs=1e-9) for k, v in by.items()}
+
+
 @pytest.mark.parametrize("values", [
     np.random.default_rng(1).normal(size=2001).tolist() + [float("nan")], np.random.default_rng(2).normal(size=300).tolist(),
     [1.0, 2.0, 10.0, 4.0], [2.5] * 7, [3.0], [1.0, 1.0, 2.0, 2.0], [float("inf"), 1.0, 2.0, 3.0, 4.0, 5.0, 6.0],

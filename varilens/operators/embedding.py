@@ -84,30 +84,104 @@ def gender_direction_mean(pairs: DataFrame, *, female_col: str = "female", male_
             .select(F.transform("_s", lambda s: s.x).alias("direction")))
 
 
-def gender_direction_pca(pairs: DataFrame, *, female_col: str = "female", male_col: str = "male",
-                         orient: str = "max_abs_positive") -> list[float]:
-    """First principal component of the (female - male) differences (PCA centres them).
+def difference_moments(pairs: DataFrame, *, female_col: str = "female", male_col: str = "male") -> DataFrame:
+    """One row ``n, total array<double>, moments array<array<double>>`` over the (female - male) differences.
+
+    A constant 1 behind each difference makes count, sums and second moments
+    one aggregate: component ``i`` times the whole vector, summed by ``i``
+    with map-side partial sums, so a task sends at most d + 1 rows.  Pairs
+    with a NULL, a NULL or non-finite component or unequal lengths take no
+    part.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    d = _diffs(pairs, female_col, male_col).where(
+        F.col("d").isNotNull() & ~F.exists("d", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    rows = d.select(F.concat("d", F.array(F.lit(1.0))).alias("v")).select(F.posexplode("v").alias("i", "x"), "v")
+    sums = rows.groupBy("i").agg(vector_to_array(Summarizer.sum(
+        array_to_vector(F.transform("v", lambda y: y * F.col("x"))))).alias("row"))
+    whole = sums.agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("m")).select(F.col("m.row").alias("m"))
+    last = F.element_at("m", -1)
+    inner = F.transform(F.slice("m", 1, F.size("m") - 1), lambda r: F.slice(r, 1, F.size(r) - 1))
+    return whole.where(F.size("m") > 0).select(
+        F.element_at(last, -1).cast("long").alias("n"), F.slice(last, 1, F.size(last) - 1).alias("total"), inner.alias("moments"))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _inner(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    The covariance is a distributed d x d aggregate; only the d-vector
-    comes back.  Sign: largest-magnitude loading positive, or with
-    ``orient='female_positive'`` so that mean(f - m) . g >= 0.
+
+def _scaled_to_unit(v: Column) -> Column:
+    return _bind(F.sqrt(_inner(v, v)), lambda n: F.transform(v, lambda x: F.try_divide(x, n)))
+
+
+def power_iteration(matrix: Column, *, tolerance: float = 1e-14, max_steps: int = 20_000) -> Column:
+    """Leading eigenvector of a positive semi-definite ``array<array<double>>``: struct ``v, gap, steps``.
+
+    ``v <- M v / |M v|`` until no component moves by more than ``tolerance``
+    (``gap``); after that the fold carries its state along without work.  The
+    start ``sin(1), sin(2), ...`` is fixed and has a part along every axis.
+    A zero matrix has no direction: ``v`` is NULL.
     """
-    import numpy as np
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    d = _diffs(pairs, female_col, male_col).select(array_to_vector("d").alias("features"))
-    model = PCA(k=1, inputCol="features", outputCol="pc").fit(d)
-    g = np.asarray(model.pc.toArray()[:, 0], dtype=float)
-    if orient == "female_positive":
-        mean = np.asarray(gender_direction_mean(pairs, female_col=female_col, male_col=male_col)
-                          .first()["direction"], dtype=float)
-        if float(mean @ g) < 0:
-            g = -g
-    else:
-        if g[np.argmax(np.abs(g))] < 0:
-            g = -g
-    return [float(x) for x in g]
+    start = _scaled_to_unit(F.transform(F.sequence(F.lit(1), F.size(matrix)), lambda i: F.sin(i.cast("double"))))
+    first = F.struct(start.alias("v"), F.lit(float("inf")).alias("gap"), F.lit(0).alias("steps"))
+
+    def step(state: Column) -> Column:
+        image = F.transform(matrix, lambda row: _inner(row, state["v"]))
+        moved = lambda w: F.array_max(F.zip_with(w, state["v"], lambda x, y: F.abs(x - y)))
+        return _bind(_bind(image, _scaled_to_unit),
+                     lambda w: F.struct(w.alias("v"), moved(w).alias("gap"), (state["steps"] + 1).alias("steps")))
+
+    trace = F.aggregate(F.transform(matrix, lambda row, i: F.get(row, i)), F.lit(0.0), lambda s, x: s + x)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(max_steps)), first,
+                        lambda s, _: F.when(s["gap"] > tolerance, step(s)).otherwise(s))
+    return F.when(trace > 0, found)
+
+
+def gender_direction(pairs: DataFrame, *, female_col: str = "female", male_col: str = "male", method: str = "pca",
+                     orient: str = "max_abs_positive", tolerance: float = 1e-14, max_steps: int = 20_000) -> DataFrame:
+    """E4 as a lazy one-row table ``direction, gap, steps``.
+
+    ``method="pca"``: first principal component of the (female - male)
+    differences, by power iteration on their centred second moments;
+    ``"mean"``: their mean.  Nothing runs before the table is used, so it may
+    be a scalar subquery of a scoring plan.  Sign of the component: the
+    largest-magnitude loading positive, or with ``orient="female_positive"``
+    so that mean(f - m) . g >= 0.  Fewer than two pairs, or equal differences:
+    NULL.
+    """
+    if method == "mean":
+        mean = gender_direction_mean(pairs, female_col=female_col, male_col=male_col)
+        return mean.select("direction", F.lit(0.0).alias("gap"), F.lit(0).alias("steps"))
+    if method != "pca":
+        raise ValueError(f"method is 'pca' or 'mean', not {method!r}")
+    m = difference_moments(pairs, female_col=female_col, male_col=male_col)
+    centred = F.transform("moments", lambda row, i: F.zip_with(
+        row, "total", lambda x, t: x - F.get(F.col("total"), i) * t / F.col("n")))
+    # A matrix of rounding noise is no variance: diagonal entries below 1e-14 of the raw moments are zero.
+    spread = F.exists("diagonal", lambda x: x["c"] > 1e-14 * x["raw"])
+    diagonal = F.transform("centred", lambda row, i: F.struct(F.get(row, i).alias("c"), F.get(F.get(F.col("moments"), i), i).alias("raw")))
+    found = F.when((F.col("n") > 1) & spread, power_iteration(F.col("centred"), tolerance=tolerance, max_steps=max_steps))
+    # The aggregate over the one row keeps filters on the result from being pushed into (and repeating) the iteration.
+    steps = (m.withColumn("centred", centred).withColumn("diagonal", diagonal)
+             .agg(F.first("total").alias("total"), F.first(found).alias("s")))
+    lead = (_inner(F.col("total"), F.col("s.v")) if orient == "female_positive" else
+            F.aggregate("s.v", F.lit(0.0), lambda best, x: F.when(F.abs(x) > F.abs(best), x).otherwise(best)))
+    return (steps.withColumn("flip", F.when(lead < 0, -1.0).otherwise(1.0))
+            .select(F.transform("s.v", lambda x: x * F.col("flip")).alias("direction"), "s.gap", "s.steps"))
+
+
+def gender_direction_pca(pairs: DataFrame, *, female_col: str = "female", male_col: str = "male",
+                         orient: str = "max_abs_positive") -> list[float] | None:
+    """The first principal component as a list (d floats on the driver); see ``gender_direction``."""
+    row = gender_direction(pairs, female_col=female_col, male_col=male_col, orient=orient).first()
+    return None if row is None or row["direction"] is None else [float(x) for x in row["direction"]]
 
 
 def gender_bias_score(df: DataFrame, direction, *, embedding_col: str = "embedding",

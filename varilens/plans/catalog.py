@@ -763,11 +763,12 @@ def q_cossim(spark, sf):
     return r9(E.cossim_across_variants(FX.embedded_responses(spark, sf)))
 
 
-_DIRECTION_SQL = FX.SCORED_CASES_SQL + """,
-pairs AS (SELECT CAST(f.embedding AS DOUBLE[]) AS fe, CAST(m.embedding AS DOUBLE[]) AS me
+_PAIRS_SQL = FX.SCORED_CASES_SQL + """,
+pairs AS (SELECT f.vec_id AS pid, CAST(f.embedding AS DOUBLE[]) AS fe, CAST(m.embedding AS DOUBLE[]) AS me
           FROM embeddings f JOIN embeddings m ON m.vec_id = f.vec_id + 1 WHERE f.vec_id % 2 = 0),
-dd AS (SELECT unnest(generate_series(1, len(fe))) AS dim, unnest(fe) AS fv, unnest(me) AS mv FROM pairs),
-g AS (SELECT dim, avg(fv - mv) AS gv FROM dd GROUP BY dim),
+dd AS (SELECT pid, unnest(generate_series(1, len(fe))) AS dim, unnest(fe) AS fv, unnest(me) AS mv FROM pairs)"""
+
+_SCORES_SQL = """,
 gn AS (SELECT sqrt(sum(gv * gv)) AS norm FROM g),
 ed AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS dim, unnest(embedding) AS ev FROM scored_cases),
 scores AS (
@@ -778,6 +779,29 @@ scores AS (
 labeled AS (SELECT *, CASE WHEN gender_male = 1 THEN 'male' WHEN gender_female = 1 THEN 'female'
                          WHEN gender_none = 1 THEN 'none' ELSE 'unknown' END AS gender FROM scores)"""
 
+_DIRECTION_SQL = _PAIRS_SQL + """,
+g AS (SELECT dim, avg(fv - mv) AS gv FROM dd GROUP BY dim)""" + _SCORES_SQL
+
+# The first principal component by a recursive CTE: covariance rows, then products until the vector stands still.
+_PCA_SQL = _PAIRS_SQL + """,
+centred AS (SELECT pid, dim, fv - mv - avg(fv - mv) OVER (PARTITION BY dim) AS z FROM dd),
+products AS (SELECT a.dim AS i, b.dim AS j, sum(a.z * b.z) AS c FROM centred a JOIN centred b USING (pid) GROUP BY a.dim, b.dim),
+matrix AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM products GROUP BY i)),
+iterated AS (
+  SELECT 0 AS k, list_transform(range(1, len(m) + 1), lambda i: 1.0::DOUBLE / i) AS v, 1.0::DOUBLE AS gap FROM matrix
+  UNION ALL
+  SELECT k + 1, w, list_distance(v, w) FROM (
+    SELECT k, v, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) AS w FROM (
+      SELECT k, v, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM iterated, matrix WHERE gap > 1e-14 AND k < 20000))
+),
+component AS (SELECT v FROM iterated ORDER BY k DESC LIMIT 1),
+loadings AS (SELECT unnest(generate_series(1, len(v))) AS dim, unnest(v) AS x FROM component),
+g AS (SELECT dim, x * (SELECT CASE WHEN arg_max(x, abs(x)) < 0 THEN -1 ELSE 1 END FROM loadings) AS gv FROM loadings)""" + _SCORES_SQL
+
+
+def WR(*parts: str) -> str:
+    return W(*parts).replace("WITH", "WITH RECURSIVE", 1)
+
 
 def _scored_rows(spark, sf):
     # d floats (bounded by the embedding dimension), used as a literal array.
@@ -825,11 +849,37 @@ def q_original_bias(spark, sf):
     return r9(E.original_bias(_scored_rows(spark, sf)))
 
 
-@register("gender_direction")
+# E4 with E5-E9 on it: pairs -> principal component -> scores in one plan.
+
+def _pca_rows(spark, sf):
+    direction = E.gender_direction(FX.sentence_pairs(spark, sf)).select("direction").scalar()
+    return E.gender_bias_score(FX.scored_cases(spark, sf).withColumn("_g", direction), F.col("_g"))
+
+
+@register("gender_direction", WR(_PCA_SQL, "SELECT CAST(dim - 1 AS INTEGER) AS dim, round(gv, 9) AS loading FROM g"))
 def q_direction(spark, sf):
-    """PCA direction of the sentence-pair differences (rows-only; numpy-checked in tests)."""
-    g = E.gender_direction_pca(FX.sentence_pairs(spark, sf))
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(g)], "dim int, loading double")
+    """First principal component of the sentence-pair differences, by power iteration."""
+    return r9(E.gender_direction(FX.sentence_pairs(spark, sf)).select(F.posexplode("direction").alias("dim", "loading")))
+
+
+@register("gender_bias_score_pca", WR(_PCA_SQL, "SELECT vec_id, round(gender_bias_score, 9) AS gender_bias_score FROM scores"))
+def q_bias_score_pca(spark, sf):
+    return r9(_pca_rows(spark, sf).select("vec_id", "gender_bias_score"))
+
+
+@register("gender_bias_by_ethnicity_pca", WR(_PCA_SQL, """
+SELECT ethnicity, round(avg(gender_bias_score), 9) AS mean, round(stddev_samp(gender_bias_score), 9) AS std
+FROM labeled WHERE gender_bias_score IS NOT NULL AND ethnicity IS NOT NULL GROUP BY ethnicity"""))
+def q_bias_eth_pca(spark, sf):
+    return r9(E.bias_by_ethnicity(_pca_rows(spark, sf)))
+
+
+@register("original_bias_pca", WR(_PCA_SQL, """
+SELECT gender, 'original' AS ethnicity, round(avg(gender_bias_score), 9) AS mean,
+       round(stddev_samp(gender_bias_score), 9) AS std
+FROM labeled WHERE gender_bias_score IS NOT NULL GROUP BY gender"""))
+def q_original_bias_pca(spark, sf):
+    return r9(E.original_bias(_pca_rows(spark, sf)))
 
 
 # ---------------------------------------------------------- P: prompts ----
@@ -1168,6 +1218,27 @@ def q_evaluate(spark, sf):
     return r9(evaluate(FX.predictions(spark, sf), llm_col=LLM_COLS).summary())
 
 
+# One table of the bundle's gender-bias metrics, from sentence pairs to scores.
+@register("evaluate_gender_bias", WR(_PCA_SQL, """
+SELECT 'by_gender' AS metric, gender AS key1, CAST(NULL AS VARCHAR) AS key2, round(avg(gender_bias_score), 9) AS mean,
+       round(stddev_samp(gender_bias_score), 9) AS std FROM labeled WHERE gender_bias_score IS NOT NULL GROUP BY gender
+UNION ALL
+SELECT 'crosstab', gender, ethnicity, round(avg(gender_bias_score), 9), NULL
+FROM labeled WHERE gender_bias_score IS NOT NULL AND ethnicity IS NOT NULL GROUP BY gender, ethnicity
+UNION ALL
+SELECT 'median', NULL, NULL, round(median(gender_bias_score), 9), NULL FROM scores"""))
+def q_evaluate_bias(spark, sf):
+    """A7 with E4: the facade learns the direction from pairs and scores the rows, all in one plan a table."""
+    from .evaluate import evaluate
+    rows = FX.scored_cases(spark, sf).select("*", F.lit("A").alias("answer_idx"), F.lit("A").alias("llm_m_answer"))
+    res = evaluate(rows, llm_col="llm_m_answer", case_embedding_col="embedding", gender_pairs=FX.sentence_pairs(spark, sf))
+    none = F.lit(None).cast("string")
+    b = res.gender_bias
+    return r9(b["by_gender"].select(F.lit("by_gender").alias("metric"), F.col("gender").alias("key1"), none.alias("key2"), "mean", "std")
+              .unionAll(b["crosstab"].select(F.lit("crosstab"), "gender", "ethnicity", "mean", F.lit(None).cast("double")))
+              .unionAll(b["median"].select(F.lit("median"), none, none, "mb", F.lit(None).cast("double"))))
+
+
 _EMBED_SQL = FX.RESPONSES_SQL + f""",
 tok AS (SELECT response, md5(t) AS h FROM (
           SELECT response, unnest({Q.tokens_sql('response')}) AS t FROM (SELECT DISTINCT response FROM responses WHERE response IS NOT NULL))),

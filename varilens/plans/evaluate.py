@@ -59,12 +59,14 @@ class EvaluationResults:
 def evaluate(df: DataFrame, *, llm_col: str | list[str], llm_name: str | None = None, label_col: str = "answer_idx",
              hue: str | None = None, explanation_col: str | None = None, explanation_embedding_col: str | None = None,
              case_embedding_col: str | None = None, direction=None, gender_pairs: DataFrame | None = None,
-             min_expected_value: float = 5) -> EvaluationResults:
+             direction_method: str = "pca", min_expected_value: float = 5) -> EvaluationResults:
     """Metrics of the answers in ``llm_col`` (a column or several).
 
     ``llm_name`` renames the only model; ``label_col`` holds the labels that
     SkewSize runs over and ``hue`` the groups it compares (default: ethnicity
-    and gender).
+    and gender).  ``gender_pairs`` are (female, male) embeddings; the direction
+    learned from them (``direction_method``: their first principal component,
+    or ``"mean"``) is part of the scoring plan.
     """
     cols = [llm_col] if isinstance(llm_col, str) else list(llm_col)
     if llm_name is not None:
@@ -88,7 +90,7 @@ def evaluate(df: DataFrame, *, llm_col: str | list[str], llm_name: str | None =
         if explanation_embedding_col and explanation_embedding_col in df.columns:
             res.cossim = E.cossim_across_variants(df, embedding_col=explanation_embedding_col)
     if direction is None and gender_pairs is not None:
-        df = df.withColumn("_direction", E.gender_direction_mean(gender_pairs).scalar())
+        df = df.withColumn("_direction", E.gender_direction(gender_pairs, method=direction_method).select("direction").scalar())
         direction = F.col("_direction")
     if case_embedding_col and direction is not None and case_embedding_col in df.columns:
         scored = E.gender_bias_score(df, direction, embedding_col=case_embedding_col)
