@@ -184,3 +184,60 @@ def test_stems_of_everyday_words():
              "additional": "addit", "dying": "die", "caresses": "caress", "ponies": "poni", "hopping": "hop", "hoping": "hope",
              "relational": "relat", "feed": "feed", "agreed": "agre", "controlling": "control", "probate": "probat", "rate": "rate"}
     assert {w: stem(w) for w in known} == known
+
+
+def _mean_bleu(rows):
+    by = {}
+    for c, i, t in rows:
+        if t is not None:
+            by.setdefault(c, []).append((i, t))
+    out = {}
+    for c, own in by.items():
+        own.sort()
+        scores = [py_bleu(a[1], b[1]) for a, b in combinations(own, 2)]
+        out[c] = sum(scores) / len(scores) if scores else None
+    return out
+
+
+def test_bleu_of_copies_matches_brute_force(spark):
+    import random
+    rnd = random.Random(4)
+    texts = ["a b c d e", "a b c d", "a b c d e f", "e d c b a", "a", "", "x y", "a b x y c d", "z"]
+    rows = []
+    for case in range(25):
+        own = rnd.sample(texts, rnd.randint(1, 6))
+        idx = rnd.sample(range(20_000), rnd.randint(1, 40))
+        rows += [(f"c{case}", i, None if rnd.random() < .05 else rnd.choice(own)) for i in idx]
+    rows.append(("nulls", 1, None))
+    want = _mean_bleu(rows)
+    got = {r.case_id: r.bleu for r in B.bleu_across_variants(_resp(spark, rows), response_col="response").collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert {k: v for k, v in got.items() if v is not None} == {k: pytest.approx(v, abs=1e-12) for k, v in want.items() if v is not None}
+
+
+def test_order_counts_over_blocks(spark):
+    import random
+    rnd = random.Random(9)
+    rows = [("c", i, rnd.choice(["a b", "a b c", "d"])) for i in rnd.sample(range(3000), 400)]
+    first = {}
+    for _, i, t in sorted(rows):
+        first.setdefault(t, i)
+    want = {(first[a], first[b]): sum(i < j for _, i, x in rows if x == a for _, j, y in rows if y == b)
+            for a in first for b in first if len(a.split()) != len(b.split())}
+    for block in (1, 64, 10_000):
+        got = B.copy_orders(_resp(spark, rows), response_col="response", block=block).collect()
+        assert {(r.a, r.b): r.before for r in got} == want
+
+
+def test_many_copies_make_few_rows(spark):
+    """10,000 copies of two texts in turn: 10^8 response pairs, a few gram rows."""
+    from pyspark.sql import functions as F
+    n = 20_000
+    df = spark.range(n, numPartitions=8).select(F.lit("c").alias("case_id"), F.col("id").cast("int").alias("variant_idx"),
+                                                F.when(F.col("id") % 2 == 0, "the answer is a").otherwise("the answer is b or c").alias("response"))
+    got = B.bleu_across_variants(df, response_col="response").first().bleu
+    a, b = "the answer is a", "the answer is b or c"
+    h = n // 2
+    first = h * (h + 1) / 2  # an even index comes before an odd one
+    total = h * (h - 1) / 2 * (py_bleu(a, a) + py_bleu(b, b)) + first * py_bleu(a, b) + (h * h - first) * py_bleu(b, a)
+    assert got == pytest.approx(total / (n * (n - 1) / 2), abs=1e-12)

@@ -1,8 +1,8 @@
 """Porter stemmer (M.F. Porter, 1980) with the common NLTK-mode refinements.
 
-Pure-Python per-token helper, called from an Arrow-batched UDF with a
-per-worker cache; it is not a library behind a wrapper but the one piece
-of per-token logic ROUGE-L needs.
+The plain form of the rules, for one word on the driver or in a user's own
+code; plans use the column expressions of ``stemming``, which share the rule
+tables here and are tested against this function.
 """
 
 from __future__ import annotations

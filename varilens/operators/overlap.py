@@ -3,25 +3,27 @@
 Both metrics are means over the C(k, 2) ordered pairs (earlier variant =
 reference) of a case's k non-null responses.  Neither is decomposable:
 
-* BLEU: n-grams are counted once per response, then joined on
+* BLEU: n-grams are counted once per distinct text of a case, then joined on
   ``(gram, case_id)``; the join key spreads a large case over many keys
   and AQE's skew handling splits hot grams.  Clipped matches are summed
   per pair; pairs without a shared unigram never exist as rows and enter
-  the mean only through the denominator C(k, 2).
-* ROUGE-L: each distinct text of a case is stemmed once (Arrow UDF), the
-  distinct texts of a case meet in a join that carries their tokens, and the
-  LCS of each pair is computed in an Arrow UDF over pair batches.
+  the mean only through the denominator C(k, 2).  BLEU is asymmetric, so the
+  copies of a text carry their order against other texts as a count.
+* ROUGE-L: each distinct text of a case is stemmed once (column expressions),
+  the distinct texts of a case meet in a join that carries their tokens, and
+  the LCS of each pair is computed in an Arrow UDF over pair batches.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import text as X
+from ..functions.stemming import stem
 
 
 # ------------------------------------------------------------------ BLEU ----
@@ -124,17 +126,119 @@ def _mean_over_pairs(k: DataFrame, pair_sums: DataFrame, out: str) -> DataFrame:
                     .otherwise(F.coalesce(F.col("_s"), F.lit(0.0)) / n_pairs).alias(out)))
 
 
+def _text_grams(df: DataFrame, case_col: str, idx_col: str, text_col: str) -> DataFrame:
+    """(case_id, tid, m, len, n, gram) -> c per distinct text of a case: ``m`` copies, the first at ``tid``.
+
+    With one presence row (n = 0) a text, as in ``_gram_table``.
+    """
+    tok = F.col("tokens")
+    presence = F.struct(F.lit(0).alias("n"), F.array(F.when(tok.isNotNull(), F.lit(""))).alias("grams"))
+    empty = F.array().cast("array<string>")
+    per_n = F.array(presence, *[
+        F.struct(F.lit(n).alias("n"), F.when(tok.isNull(), empty).otherwise(_ngrams(tok, n)).alias("grams"))
+        for n in range(1, S.BLEU_MAX_N + 1)])
+    texts = (df.where(F.col(case_col).isNotNull()).groupBy(F.col(case_col).alias("case_id"), F.col(text_col).alias("text"))
+             .agg(F.min(F.col(idx_col).cast("long")).alias("tid"), F.count(F.lit(1)).alias("m"))
+             .select("case_id", "tid", "m", X.whitespace_tokens("text").alias("tokens")))
+    return (texts.select("case_id", "tid", "m", F.size("tokens").alias("len"), F.inline(per_n))
+            .select("case_id", "tid", "m", "len", "n", F.explode("grams").alias("gram"))
+            .groupBy("case_id", "tid", "m", "len", "n", "gram").agg(F.count(F.lit(1)).alias("c")))
+
+
+ORDER_BLOCK = 4096      # indexes of a case that are put in order together
+
+
+def copy_orders(df: DataFrame, *, response_col: str, case_col: str = "case_id", idx_col: str = "variant_idx",
+                block: int = ORDER_BLOCK) -> DataFrame:
+    """``case_id, a, b, before``: for a text ``a`` with several copies and any text ``b`` of another length,
+    the number of pairs of a copy of ``a`` and a later copy of ``b``.
+
+    Texts are named by their first index.  The copies of ``a`` are marks on
+    the case's line of indexes; a response's number of marks to its left is
+    the marks of earlier blocks of indexes plus those before it in its own
+    block, both running sums.  So a case of k responses costs k rows for each
+    copied text, never the square of the copies, and no task orders more than
+    a block of indexes or one row per block and text.
+    """
+    rows = (df.where(F.col(case_col).isNotNull() & F.col(response_col).isNotNull())
+            .select(F.col(case_col).alias("case_id"), F.col(idx_col).cast("long").alias("idx"),
+                    F.unhex(F.md5(response_col)).alias("key"), F.size(X.whitespace_tokens(response_col)).alias("len")))
+    copied = (rows.groupBy("case_id", "key", "len").agg(F.min("idx").alias("a"), F.count(F.lit(1)).alias("m"))
+              .where("m > 1").select("case_id", F.col("key").alias("a_key"), F.col("len").alias("a_len"), "a"))
+    met = rows.join(copied, "case_id").where((F.col("key") == F.col("a_key")) | (F.col("len") != F.col("a_len")))
+    line = met.select("case_id", "a", "idx", F.floor(F.col("idx") / block).alias("block"),
+                      F.when(F.col("key") != F.col("a_key"), F.col("key")).alias("b"))
+    mark = F.col("b").isNull()
+    left = Window.partitionBy("case_id", "a", "block").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
+    blocks = (line.withColumn("within", F.coalesce(F.sum(F.when(mark, 1)).over(left), F.lit(0)))
+              .groupBy("case_id", "a", "block", "b")
+              .agg(F.sum("within").alias("within"), F.count(F.lit(1)).alias("n"), F.min("idx").alias("first")))
+    earlier = Window.partitionBy("case_id", "a").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
+    return (blocks.withColumn("marks", F.coalesce(F.sum(F.when(mark, F.col("n"))).over(earlier), F.lit(0)))
+            .where(~mark).groupBy("case_id", "a", "b")
+            .agg(F.sum(F.col("within") + F.col("marks") * F.col("n")).alias("before"), F.min("first").alias("b_tid"))
+            .select("case_id", "a", F.col("b_tid").alias("b"), "before"))
+
+
+def _self_bleu(length: Column) -> Column:
+    """BLEU of a text and its copy."""
+    same = {n: F.greatest(length - n + 1, F.lit(0)) for n in range(1, S.BLEU_MAX_N + 1)}
+    return _bleu_expr(length, length, same)
+
+
+def _text_pair_sums(grams: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per case: summed BLEU over the response pairs of different texts that share a gram.
+
+    A pair of texts is scored once in each direction and weighted with the
+    response pairs that have this direction.  Texts of one length score the
+    same both ways; single copies are in the order of their indexes; for the
+    rest ``orders`` tells.  Its rows go through the pair aggregate as rows
+    without a gram, so they need no join.
+    """
+    g = grams.where(F.col("n") > 0)
+    side = lambda i, m, length, c: g.select("case_id", "gram", F.col("n").alias(f"n{i}"), F.col("tid").alias(i),
+                                            F.col("m").alias(m), F.col("len").alias(length), F.col("c").alias(c))
+    shared = (side("i", "mi", "li", "ci").hint("merge").join(side("j", "mj", "lj", "cj"), ["gram", "case_id"])
+              .where(F.col("i") < F.col("j"))
+              .select("case_id", "i", "j", F.col("ni").alias("n"), F.least("ci", "cj").alias("c"), "mi", "mj", "li", "lj",
+                      F.lit(None).cast("long").alias("forth"), F.lit(None).cast("long").alias("back")))
+    none = F.lit(None).cast("long")
+    up = F.col("a") < F.col("b")
+    told = orders.select("case_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.lit(0).alias("n"),
+                         none.alias("c"), none.alias("mi"), none.alias("mj"), none.cast("int").alias("li"),
+                         none.cast("int").alias("lj"), F.when(up, F.col("before")).alias("forth"),
+                         F.when(~up, F.col("before")).alias("back"))
+    pairs = shared.unionByName(told).groupBy("case_id", "i", "j").agg(
+        *[F.sum(F.when(F.col("n") == n, F.col("c"))).alias(f"m{n}") for n in range(1, S.BLEU_MAX_N + 1)],
+        *[F.max(c).alias(c) for c in ("mi", "mj", "li", "lj", "forth", "back")])
+    m = {n: F.col(f"m{n}") for n in range(1, S.BLEU_MAX_N + 1)}
+    every = F.col("mi") * F.col("mj")
+    forth = F.coalesce("forth", every - F.col("back"), every)
+    score = (_bleu_expr(F.col("li"), F.col("lj"), m) * forth
+             + F.when(forth == every, 0.0).otherwise(_bleu_expr(F.col("lj"), F.col("li"), m) * (every - forth)))
+    return pairs.where("m1 > 0").groupBy("case_id").agg(F.sum(score).alias("_cross"))
+
+
 def bleu_across_variants(df: DataFrame, *, response_col: str, case_col: str = "case_id",
                          idx_col: str = "variant_idx") -> DataFrame:
     """B2: mean pairwise BLEU per case (NULL when fewer than two non-null responses).
 
+    Equal responses of a case are one text with a count of copies, so a case
+    made of m copies has no m * m rows: pairs of copies add their score
+    C(m, 2) times, and ``copy_orders`` counts which copy comes first in pairs
+    of different texts.  Indexes are whole numbers, distinct within a case.
     Rows with a NULL case id are left out, as a pandas ``groupby`` does.
     """
-    grams = _gram_table(df, case_col, idx_col, response_col)
+    grams = _text_grams(df, case_col, idx_col, response_col)
+    own = F.col("m") * (F.col("m") - 1) / 2 * _self_bleu(F.col("len"))
     k = (grams.where(F.col("n") == 0).groupBy("case_id")
-         .agg(F.coalesce(F.sum(F.when(F.col("gram").isNotNull(), F.col("c"))), F.lit(0)).alias("k")))
-    sums = _bleu_pairs(grams).groupBy("case_id").agg(F.sum("bleu").alias("_s"))
-    return _mean_over_pairs(k, sums, "bleu")
+         .agg(F.coalesce(F.sum(F.when(F.col("gram").isNotNull(), F.col("m"))), F.lit(0)).alias("k"),
+              F.sum(F.when(F.col("gram").isNotNull() & (F.col("m") > 1), own)).alias("_self")))
+    cross = _text_pair_sums(grams, copy_orders(df, response_col=response_col, case_col=case_col, idx_col=idx_col))
+    sums = k.join(cross, "case_id", "left").select(
+        "case_id", "k", (F.coalesce("_self", F.lit(0.0)) + F.coalesce("_cross", F.lit(0.0))).alias("_s"))
+    n_pairs = F.col("k") * (F.col("k") - 1) / 2
+    return sums.select("case_id", F.when(F.col("k") >= 2, F.col("_s") / n_pairs).alias("bleu"))
 
 
 def _clipped(ref, cand, n: int):
@@ -163,11 +267,9 @@ def rouge_tokens(text) -> F.Column:
     return F.filter(F.split(t, " "), lambda x: x != F.lit(""))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(tokens: pd.Series) -> pd.Series:
-    """Porter-stem tokens longer than 3 characters (per-worker cache inside ``stem``)."""
-    from ..functions.porter import stem
-    return tokens.map(lambda ts: None if ts is None else [stem(t) if len(t) > 3 else t for t in ts])
+def stem_tokens(tokens) -> F.Column:
+    """Porter stems of the tokens longer than 3 characters, the others as they are."""
+    return F.transform(tokens, lambda t: F.when(F.length(t) > 3, stem(t)).otherwise(t))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -182,9 +284,9 @@ def _rouge_f(lcs, len_ref, len_cand):
     return F.when((lcs == 0) | (len_ref == 0) | (len_cand == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
-def _rouge_text(text, stem: bool) -> F.Column:
+def _rouge_text(text, stemmed: bool) -> F.Column:
     tokens = rouge_tokens(text)
-    return stem_tokens(tokens) if stem else tokens
+    return stem_tokens(tokens) if stemmed else tokens
 
 
 def _rouge_units(df: DataFrame, case_col: str, idx_col: str, text_col: str, stem: bool = True) -> DataFrame:

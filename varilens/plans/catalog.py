@@ -686,12 +686,44 @@ def q_consistency(spark, sf):
     return r9(consistency_summary(B.bleu_across_variants(FX.responses(spark, sf), response_col="response"), "bleu"))
 
 
-@register("rouge_l_across_variants")
+# The oracle's LCS is a reduction over rows of matches (each row a running maximum); stems come from a table of distinct words.
+
+def _rouge_tokens_sql(text: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+def _rouge_sql(a: str, b: str) -> str:
+    """ROUGE-L F of two token lists."""
+    lcs = (f"list_last(list_reduce(list_concat([list_transform({b}, lambda y: 0)], "
+           f"list_transform({a}, lambda x: list_transform({b}, lambda y: CAST(x = y AS INTEGER)))), "
+           f"lambda acc, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), "
+           f"lambda i: CASE WHEN m[i] = 1 THEN CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END + 1 ELSE acc[i] END)))))")
+    return (f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 2.0 * {lcs} / (len({a}) + len({b})) END")
+
+
+def _stemmed_ctes(texts: str, keys: str, text: str) -> str:
+    """CTEs ``tokens(keys, t)``: the stemmed token lists of the rows of ``texts`` (rows without a token have an empty list)."""
+    return f"""
+raw AS (SELECT row_number() OVER () AS r, {keys}, {_rouge_tokens_sql(text)} AS t FROM {texts}),
+cut AS (SELECT r, unnest(generate_series(1, len(t))) AS pos, unnest(t) AS token FROM raw),
+words AS (SELECT DISTINCT token FROM cut),
+{Q.stem_ctes('words')},
+tokens AS (SELECT {keys}, coalesce(s.t, []) AS t
+           FROM raw LEFT JOIN (SELECT r, list(stem ORDER BY pos) AS t FROM cut JOIN stems USING (token) GROUP BY r) s USING (r))"""
+
+
+@register("rouge_l_across_variants", W(FX.RESPONSES_SQL, "given AS (SELECT * FROM responses WHERE response IS NOT NULL)",
+                                       _stemmed_ctes("given", "case_id, variant_idx", "response"), f"""
+p AS (SELECT a.case_id, avg({_rouge_sql('a.t', 'b.t')}) AS m
+      FROM tokens a JOIN tokens b ON a.case_id = b.case_id AND a.variant_idx < b.variant_idx GROUP BY 1)""", """
+SELECT k.case_id, round(p.m, 9) AS rouge_l FROM (SELECT DISTINCT case_id FROM responses) k LEFT JOIN p USING (case_id)"""))
 def q_rouge(spark, sf):
     return r9(B.rouge_l_across_variants(FX.responses(spark, sf), response_col="response"))
 
 
-@register("pair_rouge_l")
+@register("pair_rouge_l", W(_stemmed_ctes("conversations", "conv_id, turn", "coalesce(text, '')"), f"""
+SELECT a.conv_id, a.turn, round({_rouge_sql('a.t', 'b.t')}, 9) AS rouge_l
+FROM tokens a JOIN tokens b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""))
 def q_pair_rouge(spark, sf):
     """B3 on consecutive turns of each conversation (reference = earlier turn)."""
     c = FX.table(spark, sf, "conversations").select("conv_id", "turn", "text")
@@ -701,19 +733,13 @@ def q_pair_rouge(spark, sf):
               .select("conv_id", "turn", "rouge_l"))
 
 
-# ROUGE-L without stemming has an oracle: the LCS as a reduction over rows of matches (each row a running maximum).
-
-def _rouge_tokens_sql(text: str) -> str:
-    return f"list_filter(string_split(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
-
-
-def _rouge_sql(a: str, b: str) -> str:
-    """ROUGE-L F of two token lists."""
-    lcs = (f"list_last(list_reduce(list_concat([list_transform({b}, lambda y: 0)], "
-           f"list_transform({a}, lambda x: list_transform({b}, lambda y: CAST(x = y AS INTEGER)))), "
-           f"lambda acc, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), "
-           f"lambda i: CASE WHEN m[i] = 1 THEN CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END + 1 ELSE acc[i] END)))))")
-    return (f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 2.0 * {lcs} / (len({a}) + len({b})) END")
+@register("stem_words", W(f"""
+raw AS (SELECT unnest({_rouge_tokens_sql("text")}) AS token FROM documents),
+words AS (SELECT DISTINCT token FROM raw)""", Q.stem_ctes("words"), "SELECT token, stem FROM stems"))
+def q_stems(spark, sf):
+    """The stem of every distinct word of all documents."""
+    words = FX.table(spark, sf, "documents").select(F.explode(B.rouge_tokens("text")).alias("token")).distinct()
+    return words.select("token", F.element_at(B.stem_tokens(F.array("token")), 1).alias("stem"))
 
 
 @register("pair_rouge_l_plain", f"""
