@@ -712,6 +712,26 @@ tokens AS (SELECT {keys}, coalesce(s.t, []) AS t
            FROM raw LEFT JOIN (SELECT r, list(stem ORDER BY pos) AS t FROM cut JOIN stems USING (token) GROUP BY r) s USING (r))"""
 
 
+# Twelve whole documents a case, and cases of many copies of short answers.
+
+@register("bleu_load", W(bleu_ctes(FX.LOAD_RESPONSES_SQL), "SELECT case_id, round(bleu, 9) AS bleu FROM case_bleu"))
+def q_bleu_load(spark, sf):
+    """B2 on whole documents as responses, 66 pairs a case."""
+    return r9(B.bleu_across_variants(FX.load_responses(spark, sf), response_col="response"))
+
+
+@register("bleu_copies", W(bleu_ctes(FX.COPIED_RESPONSES_SQL), "SELECT case_id, round(bleu, 9) AS bleu FROM case_bleu"))
+def q_bleu_copies(spark, sf):
+    """B2 where most responses of a case are copies of a few texts."""
+    return r9(B.bleu_across_variants(FX.copied_responses(spark, sf), response_col="response"))
+
+
+@register("rouge_l_load")
+def q_rouge_load(spark, sf):
+    """B4 on whole documents as responses; the SQL reduction is cubic in their length, so the tests hold it against all pairs."""
+    return r9(B.rouge_l_across_variants(FX.load_responses(spark, sf), response_col="response"))
+
+
 @register("rouge_l_across_variants", W(FX.RESPONSES_SQL, "given AS (SELECT * FROM responses WHERE response IS NOT NULL)",
                                        _stemmed_ctes("given", "case_id, variant_idx", "response"), f"""
 p AS (SELECT a.case_id, avg({_rouge_sql('a.t', 'b.t')}) AS m
@@ -969,11 +989,12 @@ def q_parse(spark, sf):
     return c.select("conv_id", "turn", X.parse_answer("text").alias("parsed_answer"))
 
 
-_P5_LONG = FX.prompt_outputs_sql() + """,
+def _compare_sql(prompts) -> str:
+    long = FX.prompt_outputs_sql(prompts) + """,
 long AS (
   """ + " UNION ALL ".join(
-    f"SELECT '{p}' AS llm, answer_idx, ethnicity, gender_male, gender_female, gender_none, answer_{p} AS answer "
-    f"FROM prompt_outputs" for p in FX.PROMPT_IDS) + f"""
+        f"SELECT '{p}' AS llm, answer_idx, ethnicity, gender_male, gender_female, gender_none, answer_{p} AS answer "
+        f"FROM prompt_outputs" for p in prompts) + f"""
 ),
 cube AS (
   SELECT llm, answer_idx, ethnicity, {GENDER_SQL} AS gender, COUNT(*) AS n,
@@ -981,20 +1002,30 @@ cube AS (
   FROM long GROUP BY ALL
 )""" + CELLS_TAIL + VS_TAIL + SKEW_TAIL + ",\n" + bleu_ctes("""responses AS (
   """ + " UNION ALL ".join(
-    f"SELECT '{p}|' || case_id AS case_id, variant_idx, explanation_{p} AS response FROM prompt_outputs"
-    for p in FX.PROMPT_IDS) + """
+        f"SELECT '{p}|' || case_id AS case_id, variant_idx, explanation_{p} AS response FROM prompt_outputs"
+        for p in prompts) + """
 )""")
-
-
-@register("compare_prompts", W(_P5_LONG, """
+    return W(long, """
 pb AS (SELECT split_part(case_id, '|', 1) AS prompt_id, avg(bleu) AS mean_pairwise_bleu FROM case_bleu GROUP BY 1)""", """
 SELECT coalesce(s.llm, pb.prompt_id) AS prompt_id, round(s.skewsize, 9) AS cramers_v_skew,
        round(pb.mean_pairwise_bleu, 9) AS mean_pairwise_bleu, s.n_cases
-FROM skew s FULL JOIN pb ON s.llm = pb.prompt_id"""))
+FROM skew s FULL JOIN pb ON s.llm = pb.prompt_id""")
+
+
+def _compared(spark, sf, prompts):
+    return r9(P.compare_prompts(FX.prompt_outputs(spark, sf, prompts), answer_cols={p: f"answer_{p}" for p in prompts},
+                                explanation_cols={p: f"explanation_{p}" for p in prompts}))
+
+
+@register("compare_prompts", _compare_sql(FX.PROMPT_IDS))
 def q_compare(spark, sf):
-    df = FX.prompt_outputs(spark, sf)
-    return r9(P.compare_prompts(df, answer_cols={p: f"answer_{p}" for p in FX.PROMPT_IDS},
-                                explanation_cols={p: f"explanation_{p}" for p in FX.PROMPT_IDS}))
+    return _compared(spark, sf, FX.PROMPT_IDS)
+
+
+@register("compare_prompts_all", _compare_sql(list(P.TEMPLATES)))
+def q_compare_all(spark, sf):
+    """P5 over all eight prompt conditions."""
+    return _compared(spark, sf, list(P.TEMPLATES))
 
 
 # ------------------------------------------------------ H: page extraction ----

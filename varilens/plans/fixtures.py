@@ -171,6 +171,43 @@ responses AS (
 )"""
 
 
+#: Responses of a case in the load table: the variants of one case with a gendered text.
+LOAD_RESPONSES = 12
+
+
+def load_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load table for the pairwise metrics: twelve whole documents are the responses of one case."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.format_string("load_%06d", F.floor(F.col("doc_id") / LOAD_RESPONSES)).alias("case_id"),
+                    (F.col("doc_id") % LOAD_RESPONSES).cast("int").alias("variant_idx"), F.col("text").alias("response"))
+
+
+LOAD_RESPONSES_SQL = f"""
+responses AS (
+  SELECT printf('load_%06d', doc_id // {LOAD_RESPONSES}) AS case_id, CAST(doc_id % {LOAD_RESPONSES} AS INTEGER) AS variant_idx,
+         text AS response
+  FROM documents
+)"""
+
+
+def copied_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses with many copies: all documents of a source and language answer with one of their first words."""
+    d = table(spark, sf_dir, "documents")
+    first = F.array_join(F.slice(F.split("text", " "), F.lit(1), (1 + F.col("doc_id") % 5).cast("int")), " ")
+    return d.select(F.concat_ws("/", "source", "lang").alias("case_id"), F.col("doc_id").cast("int").alias("variant_idx"),
+                    F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("the answer is "), F.substring(F.lit("ABCD"), (F.col("doc_id") % 4 + 1).cast("int"), 1)))
+                    .when(F.col("doc_id") % 3 == 1, F.lit("no answer is given here at all")).otherwise(first).alias("response"))
+
+
+COPIED_RESPONSES_SQL = """
+responses AS (
+  SELECT source || '/' || lang AS case_id, CAST(doc_id AS INTEGER) AS variant_idx,
+         CASE doc_id % 3 WHEN 0 THEN 'the answer is ' || substr('ABCD', doc_id % 4 + 1, 1) WHEN 1 THEN 'no answer is given here at all'
+              ELSE array_to_string(list_slice(string_split(text, ' '), 1, 1 + doc_id % 5), ' ') END AS response
+  FROM documents
+)"""
+
+
 def embedded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Response embeddings grouped into cases by ``label``."""
     e = table(spark, sf_dir, "embeddings")
@@ -222,14 +259,14 @@ scored_cases AS (
 PROMPT_IDS = ["p0", "p1", "p2"]
 
 
-def prompt_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prompt_outputs(spark: SparkSession, sf_dir: str, prompts=None) -> DataFrame:
     """Variants with one answer and one explanation per prompt condition."""
     v = variants(spark, sf_dir, fallback_prepend=True)
     m, a, b, c, n = MODELS[0]
     cols = {}
     g = (F.when(F.col("gender_male") == 1, "male").when(F.col("gender_female") == 1, "female")
          .when(F.col("gender_none") == 1, "none").otherwise("unknown"))
-    for k, p in enumerate(PROMPT_IDS):
+    for k, p in enumerate(prompts or PROMPT_IDS):
         ans = _answer(F.col("case_key"), F.col("variant_idx") + 3 * k, a, b, c, n)
         cols[f"answer_{p}"] = ans
         cols[f"explanation_{p}"] = F.concat_ws(" ", F.lit("The answer is"), ans, F.lit("for this"),
@@ -237,12 +274,12 @@ def prompt_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumns(cols)
 
 
-def prompt_outputs_sql() -> str:
+def prompt_outputs_sql(prompts=None) -> str:
     m, a, b, c, n = MODELS[0]
     g = ("CASE WHEN gender_male = 1 THEN 'male' WHEN gender_female = 1 THEN 'female' "
          "WHEN gender_none = 1 THEN 'none' ELSE 'unknown' END")
     cols = []
-    for k, p in enumerate(PROMPT_IDS):
+    for k, p in enumerate(prompts or PROMPT_IDS):
         ans = _answer_sql(a, b, c, n).replace("variant_idx", f"(variant_idx + {3 * k})")
         cols.append(f"{ans} AS answer_{p}")
         cols.append(f"concat_ws(' ', 'The answer is', {ans}, 'for this', ethnicity, {g}, 'patient.') AS explanation_{p}")
