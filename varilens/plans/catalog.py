@@ -1176,6 +1176,25 @@ def q_load_csv(spark, sf):
     return SR.load(spark, path, schema=_CSV_SCHEMA)
 
 
+@register("read_link_index", """
+SELECT page_id AS id, url AS link, CAST(NULL AS VARCHAR) AS publication_year, substr('ABCD', CAST(page_id % 4 + 1 AS INTEGER), 1) AS answer_idx,
+       'answer ' || CAST(page_id AS VARCHAR) AS answer
+FROM pages""")
+def q_link_index(spark, sf):
+    """The link index over all pages, written as JSON arrays and read back in byte ranges."""
+    path = scratch_path(spark, "links")
+    SW.write_json_array(FX.link_index(spark, sf), path)
+    return SR.read_link_index(spark, path)
+
+
+@register("load_csv_inferred", W(CASES, f"SELECT {', '.join(_CSV_COLS)} FROM cases"))
+def q_load_csv_inferred(spark, sf):
+    """S2/S3 without a schema: names from the header, types from the values."""
+    path = scratch_path(spark, "cases") + ".csv"
+    SW.write_raw_csv(FX.cases(spark, sf).select(*_CSV_COLS), path)
+    return SR.load(spark, path)
+
+
 @register("raw_json", W(CASES, f"SELECT {', '.join(_CSV_COLS)} FROM cases"))
 def q_raw_json(spark, sf):
     """Cases written as JSON lines and read back with their schema."""

@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from . import ranges
+
 LINK_INDEX_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("link", T.StringType()),
@@ -26,10 +28,11 @@ def load_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Header row, quoted multi-line fields (case texts contain newlines)."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return r.csv(path)
+    """Header row, quoted multi-line fields (case texts contain newlines), one large file in many tasks.
+
+    Without a schema numbers and booleans are recognised by one aggregate over all values.
+    """
+    return ranges.read_csv(spark, path, schema)
 
 
 def load_snapshot(spark: SparkSession, root: str, dataset: str, config: str | None = None,
@@ -56,8 +59,8 @@ def load(spark: SparkSession, source: str, config: str | None = None, split: str
 
 
 def read_link_index(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of {id, link, publication_year, answer_idx, answer}."""
-    return spark.read.schema(LINK_INDEX_SCHEMA).option("multiLine", True).json(path)
+    """JSON array of {id, link, publication_year, answer_idx, answer}, one array a file, read in byte ranges."""
+    return ranges.read_json_array(spark, path, LINK_INDEX_SCHEMA)
 
 
 def spread(df: DataFrame, partitions: int) -> DataFrame:

@@ -28,6 +28,22 @@ def write_raw_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """S5's layout: a JSON array a file (NULL fields written), one object a line."""
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+
+    def run(batches):
+        import pyarrow as pa
+        before = "["
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([(before if i == 0 else ",") + x for i, x in enumerate(lines)], pa.string())], names=["value"])
+            before = "," if lines else before
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+    rows.mapInArrow(run, "value string").write.mode(mode).text(path)
+
+
 def _nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(F.col(f.name)), F.col(f.name)).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
