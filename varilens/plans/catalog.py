@@ -981,6 +981,56 @@ def q_grid_variants(spark, sf):
     return grid.select("case_id", "variant_idx", "prompt_id", F.md5("prompt").alias("prompt_md5"))
 
 
+_SHOTS = 3
+_SHOT_TEXT = f"'Question: ' || question || chr(10) || {_OPTS_SQL} || chr(10) || 'Answer: ' || coalesce(answer_idx, '')"
+
+
+def _few_shot_ctes(rows: str, key: str) -> str:
+    """CTE ``shots(key, ids, texts)``: the chosen examples of every row of ``rows``, by ranking all cases of its specialty."""
+    return f"""
+ranked AS (
+  SELECT {key}, k.case_id AS example, {_SHOT_TEXT.replace('question', 'k.question').replace('option_', 'k.option_').replace('answer_idx', 'k.answer_idx')} AS shot,
+         row_number() OVER (PARTITION BY {key} ORDER BY left(md5(k.case_id), 1) <> left(md5(r.case_id), 1), md5(k.case_id), k.case_id) AS n
+  FROM {rows} r JOIN kept k ON k.specialty = r.specialty AND k.case_id <> r.case_id),
+shots AS (SELECT {key.replace('r.', '')}, string_agg(example, ',' ORDER BY n) AS ids, string_agg(shot, chr(10) || chr(10) ORDER BY n) AS texts
+          FROM ranked WHERE n <= {_SHOTS} GROUP BY ALL)"""
+
+
+@register("few_shot_examples", W(KEPT_ONLY, _few_shot_ctes("kept", "r.case_id"), """
+SELECT kept.case_id, coalesce(ids, '') AS example_ids, md5(coalesce(texts, '')) AS examples_md5 FROM kept LEFT JOIN shots USING (case_id)"""))
+def q_few_shot(spark, sf):
+    """Three worked examples of the same specialty for every case."""
+    kept = TV.filter_ethnicity_mentions(FX.cases(spark, sf))
+    return P.few_shot_examples(kept, kept, _SHOTS).select(
+        "case_id", F.array_join("few_shot_ids", ",").alias("example_ids"), F.md5("few_shot").alias("examples_md5"))
+
+
+def _messages_sql(templates: dict) -> str:
+    bound = {**_BIND_SQL, "SPECIFIC": "'ethnicity'", "few-shot examples": "coalesce(texts, '')"}
+    whole = lambda t: " || ".join(_sql_lit(v) if k == "lit" else f"coalesce({bound[v]}, '')" for k, v in P.split_template(t))
+    return " UNION ALL ".join(f"SELECT variants.case_id, variant_idx, '{i}' AS prompt_id, md5({whole(P.SYSTEM_TEMPLATES[i])}) AS system_md5, "
+                              f"md5({whole(t)}) AS prompt_md5 FROM variants LEFT JOIN shots USING (case_id)" for i, t in templates.items())
+
+
+@register("prompt_messages", W(VARIANTS, _few_shot_ctes("kept", "r.case_id"), _messages_sql(P.TEMPLATES)))
+def q_messages(spark, sf):
+    """System and user text of every variant x prompt condition, with few-shot examples and an attribute bound."""
+    kept = TV.filter_ethnicity_mentions(FX.cases(spark, sf))
+    shots = P.few_shot_examples(FX.variants(spark, sf, fallback_prepend=True), kept, _SHOTS)
+    grid = P.prompt_messages(shots, {"SPECIFIC": F.lit("ethnicity"), "few-shot examples": F.col("few_shot")})
+    return grid.select("case_id", "variant_idx", "prompt_id", F.md5("system").alias("system_md5"), F.md5("prompt").alias("prompt_md5"))
+
+
+@register("relevance_prompts", W(VARIANTS, " UNION ALL ".join(
+    f"SELECT case_id, variant_idx, '{a}' AS attribute, md5("
+    + " || ".join(_sql_lit(v) if k == "lit" else f"coalesce({dict(_BIND_SQL, SPECIFIC=_sql_lit(a))[v]}, '')"
+                  for k, v in P.split_template(P.RELEVANCE_TEMPLATE)) + ") AS prompt_md5 FROM variants" for a in P.ATTRIBUTES)))
+def q_relevance(spark, sf):
+    """The relevance question on each attribute for every variant."""
+    rows = P.relevance_prompts(FX.variants(spark, sf, fallback_prepend=True))
+    return rows.select("case_id", "variant_idx", "attribute", F.md5("prompt").alias("prompt_md5"))
+
+
 @register("parse_answer", r"""
 SELECT conv_id, turn, nullif(regexp_extract(text, '(^|[^\pL\pN_])([A-D])([^\pL\pN_]|$)', 2), '') AS parsed_answer
 FROM conversations""")
