@@ -5,8 +5,10 @@ itself is out of scope.  Vector math stays in Spark's higher-order array
 functions (``zip_with`` / ``aggregate``), always in double precision.
 """
 
-from __future__ import annotations
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,35 @@ def embed_distinct(df: DataFrame, text_col: str, embed) -> DataFrame:
     return keyed.join(emb, ["_hash", text_col], "left").drop("_hash")
 
 
+#: Models that this Python worker has loaded, by the embedder they belong to.
+WORKER_MODELS: dict = {}
+
+
+def model_embedder(load, *, batch_size: int = 64):
+    """E3/J3 with a user's encoder: an ``embed`` for ``embed_distinct`` from ``load() -> encode``.
+
+    ``load`` runs once in a Python worker process (kept from task to task by
+    worker reuse), ``encode`` takes a list of at most ``batch_size`` texts and
+    returns one vector a text.  ``embed_distinct`` hands it every distinct
+    text once.
+    """
+    key = uuid.uuid4().hex
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from varilens.operators import embedding as home  # the worker's module, not the pickled function's names
+        encode = home.WORKER_MODELS.get(key)
+        if encode is None:
+            encode = home.WORKER_MODELS[key] = load()
+        for texts in batches:
+            out: list = []
+            for k in range(0, len(texts), batch_size):
+                out += [[float(x) for x in v] for v in encode(texts.iloc[k:k + batch_size].tolist())]
+            yield pd.Series(out, index=texts.index, dtype=object)
+
+    return embed
+
+
 # --------------------------------------------------------- gender direction ----
 
 def _diffs(pairs: DataFrame, female_col: str, male_col: str) -> DataFrame:

@@ -68,12 +68,8 @@ def ethnicity_domain_violations(df: DataFrame, ethnicities=None) -> DataFrame:
             .groupBy(e.alias("value")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def schema_violations(df: DataFrame, allow_null_option_d: bool = False,
-                      ethnicities=None) -> DataFrame:
-    """V2-V6 as rows ``(check, item, n)`` from one pass; empty when the table is valid.
-
-    Every row lists what it violates; one partial aggregate counts the list.
-    """
+def row_violations(df: DataFrame, allow_null_option_d: bool = False, ethnicities=None):
+    """V2-V6 of one row as a column: ``array<struct<check, item>>``, empty for a valid row."""
     cols = [c for c in S.REQUIRED_COLUMNS if not (allow_null_option_d and c == "option_d")]
     answer, ethnicity = F.col("answer_idx"), F.col("ethnicity")
     total = sum(F.col(c) for c in S.GENDER_ONEHOT)
@@ -89,7 +85,17 @@ def schema_violations(df: DataFrame, allow_null_option_d: bool = False,
         found.append(broken("non_binary_onehot", value.isNotNull() & ~value.isin(0.0, 1.0), F.concat_ws("=", F.lit(c), _num_text(value))))
     found.append(broken("onehot_sum", F.coalesce(total != 1, F.lit(True)), F.lit(None)))
     found.append(broken("invalid_ethnicity", ethnicity.isNotNull() & ~ethnicity.isin(*list(ethnicities or S.ETHNICITIES)), ethnicity))
-    return (df.select(F.inline(F.array_compact(F.array(*found)))).groupBy("check", "item").agg(F.count(F.lit(1)).alias("n")))
+    return F.array_compact(F.array(*found))
+
+
+def schema_violations(df: DataFrame, allow_null_option_d: bool = False,
+                      ethnicities=None) -> DataFrame:
+    """V2-V6 as rows ``(check, item, n)`` from one pass; empty when the table is valid.
+
+    Every row lists what it violates; one partial aggregate counts the list.
+    """
+    listed = df.select(F.inline(row_violations(df, allow_null_option_d, ethnicities)))
+    return listed.groupBy("check", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _num_text(v):
