@@ -1416,3 +1416,64 @@ SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, """ + _UNESCAPE.format(x="links
 FROM (SELECT page_id, links, unnest(generate_series(1, len(links))) AS pos
       FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS links FROM pages)
       WHERE len(links) > 0)"""
+
+
+# H3-H8 on the raw pages.  The oracle reads tags and texts as positions of one regular expression; an element ends where
+# the running depth of its tag falls back (an unclosed one with the article around it).
+def _clean_text_sql(x: str) -> str:
+    return _UNESCAPE.format(x=x)
+
+
+_RAW_PAGES = r"""
+tokens AS (
+  SELECT page_id, url, i, tok FROM (
+    SELECT page_id, url, toks, unnest(generate_series(1, len(toks))) AS i, unnest(toks) AS tok FROM (
+      SELECT page_id, url, regexp_extract_all(regexp_replace(html,
+               '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '<[^>]*>|[^<]+') AS toks
+      FROM pages))),
+depths AS (
+  SELECT *, sum(CASE WHEN regexp_matches(tok, '^<p[ />]') THEN 1 WHEN tok = '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth
+  FROM tokens),
+article AS (SELECT page_id, min(i) FILTER (tok LIKE '<article%') AS a0, min(i) FILTER (tok = '</article>') AS a1 FROM tokens GROUP BY 1),
+opened AS (
+  SELECT o.page_id, o.i, coalesce((SELECT min(c.i) FROM depths c WHERE c.page_id = o.page_id AND c.i > o.i AND c.tok = '</p>' AND c.depth = o.depth - 1),
+                                  a.a1) AS j, o.i > a.a0 AND o.i < a.a1 AS inside
+  FROM depths o JOIN article a USING (page_id) WHERE regexp_matches(o.tok, '^<p[ />]')),
+paras AS (
+  SELECT o.page_id, o.i, any_value(o.inside) AS inside, """ + _clean_text_sql("coalesce(string_agg(t.tok, '' ORDER BY t.i), '')") + r""" AS text
+  FROM opened o LEFT JOIN tokens t ON t.page_id = o.page_id AND t.i > o.i AND t.i < o.j AND t.tok NOT LIKE '<%' GROUP BY o.page_id, o.i),
+titles AS (SELECT page_id, url, """ + _clean_text_sql("regexp_extract(html, '<h1>(.*?)</h1>', 1)") + r""" AS title FROM pages),
+texts AS (SELECT page_id, list(text ORDER BY i) FILTER (inside) AS ps, list(trim(text, E' \t\n\r') ORDER BY i) AS keys FROM paras GROUP BY 1),
+raw AS (SELECT page_id, url, title, coalesce(ps, []) AS ps, coalesce(keys, []) AS keys, list_filter(coalesce(ps, []),
+               lambda x: len(x) - len(replace(x, ' ', '')) + 1 >= 8) AS long FROM titles LEFT JOIN texts USING (page_id))"""
+
+_RAW_IMAGE = """CASE WHEN regexp_matches(html, '<div class="figure-table-image"[^>]*>(<[^>]*>|[^<])*<img') THEN 'Yes' ELSE 'No' END"""
+
+ORACLE["has_image"] = f"SELECT page_id, {_RAW_IMAGE} AS has_image FROM pages"
+
+ORACLE["extract_answer_key"] = W(_RAW_PAGES, """
+SELECT page_id, url, left(k, 1) AS answer_idx, substr(k, 4) AS answer
+FROM (SELECT page_id, url, list_filter(keys, lambda x: regexp_matches(x, '^[A-D]\\.'))[1] AS k FROM raw)""")
+
+ORACLE["assemble_raw_cases"] = W(_RAW_PAGES, f"""
+SELECT r.url AS link, CAST(NULL AS VARCHAR) AS publication_year, substr('ABCD', CAST(l.page_id % 4 + 1 AS INTEGER), 1) AS answer_idx,
+       'answer ' || CAST(l.page_id AS VARCHAR) AS answer, ' ' || title AS question, ps[1] AS opa, ps[2] AS opb, ps[3] AS opc, ps[4] AS opd,
+       '' AS diagnosis, '' AS explanation, title AS field, {_RAW_IMAGE} AS has_image
+FROM pages l JOIN raw r ON r.url = l.url JOIN pages h ON h.page_id = r.page_id""".replace("matches(html", "matches(h.html"))
+
+
+def _listed(df, *cols):
+    return df.select("page_id", *[F.md5(F.array_join(c, "|")).alias(f"{c}_md5") for c in cols])
+
+
+@register("extract_sections_raw", W(_RAW_PAGES, """
+SELECT page_id, md5(array_to_string(long, '|')) AS paragraphs_md5, md5('') AS case_paras_md5, md5('') AS discussion_paras_md5 FROM raw"""))
+def q_sections_raw(spark, sf):
+    """H4 on the raw pages, lists as digests (the pages hold no section marks)."""
+    return _listed(_pages(spark, sf), "paragraphs", "case_paras", "discussion_paras")
+
+
+@register("extract_mcq_raw", W(_RAW_PAGES, "SELECT page_id, title AS mcq_title, md5(array_to_string(ps, '|')) AS mcq_answers_md5 FROM raw"))
+def q_mcq_raw(spark, sf):
+    """H7 on the raw pages, the answers as a digest."""
+    return _pages(spark, sf).select("page_id", "mcq_title", F.md5(F.array_join("mcq_answers", "|")).alias("mcq_answers_md5"))
