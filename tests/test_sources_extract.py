@@ -120,3 +120,19 @@ def test_package_is_shipped_to_python_workers(spark):
     path = spark.sparkContext._varilens_zip
     names = zipfile.ZipFile(path).namelist()
     assert "varilens/operators/overlap.py" in names and "varilens/functions/porter.py" in names
+
+
+def test_a_page_that_stops_the_parser_is_told(spark, monkeypatch):
+    from varilens.functions import html as P
+
+    def broken(self, tag, attrs):
+        raise AssertionError("bad markup")
+    root, error = P.parse("<p>fine</p>")
+    assert error is None and root.find(("p", None)).text() == "fine"
+    monkeypatch.setattr(P._Builder, "handle_startendtag", broken)
+    root, error = P.parse("<p>kept</p><x/><p>lost</p>")
+    assert error == "AssertionError: bad markup" and [n.text() for n in root.find_all(("p", None))] == ["kept"]
+    e = H.extract_pages(spark.createDataFrame([(1, "u", "<p>a</p>"), (2, "v", None)], "page_id long, url string, html string"))
+    assert H.parse_errors(e).count() == 0
+    shown = spark.createDataFrame([("x",), ("x",), (None,)], "parse_error string")
+    assert [tuple(r) for r in H.parse_errors(shown).collect()] == [("x", 2)]

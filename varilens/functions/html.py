@@ -85,12 +85,12 @@ class _Builder(HTMLParser):
         self.cur.children.append(data)
 
 
-def parse(html: str | None) -> Node:
+def parse(html: str | None) -> tuple[Node, str | None]:
+    """The tree, and what stopped the parser early (then the tree holds what stands before that place)."""
     b = _Builder()
-    if html:
-        try:
-            b.feed(html)
-            b.close()
-        except Exception:  # noqa: BLE001 - malformed input keeps what was parsed
-            pass
-    return b.root
+    try:
+        b.feed(html or "")
+        b.close()
+    except Exception as e:  # noqa: BLE001 - the standard-library parser has no one class for bad markup
+        return b.root, f"{type(e).__name__}: {e}"
+    return b.root, None

@@ -1166,6 +1166,13 @@ def q_image_marked(spark, sf):
     return _marked(spark, sf).select("page_id", "has_image")
 
 
+@register("article_type_marked", W(FX.MARKED_SQL, """
+SELECT k AS page_id, 'Title ' || ks AS article_type, CASE WHEN k % 5 < 3 THEN 'Class ' || CAST(k % 5 AS VARCHAR) END AS super_class FROM parts"""))
+def q_article_type_marked(spark, sf):
+    """H6 on marked pages: the article's type and, where the page has one, its super class."""
+    return _marked(spark, sf).select("page_id", "article_type", "super_class")
+
+
 @register("extract_answer_key_marked", W(FX.MARKED_SQL, """
 SELECT k AS page_id, url, CASE WHEN k % 3 <> 0 THEN 'A' ELSE 'B' END AS answer_idx,
        CASE WHEN k % 3 <> 0 THEN 'first choice' ELSE 'second' END AS answer

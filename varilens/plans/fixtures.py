@@ -293,7 +293,7 @@ prompt_outputs AS (
 # ------------------------------------------------- pages with marks and dates ----
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
-DATE_CLASS, FIGURE_CLASS = "article--date meta-item no-wrap", "figure-table-image"
+DATE_CLASS, FIGURE_CLASS, CLASS_CLASS = "article--date meta-item no-wrap", "figure-table-image", "meta-super-class"
 
 
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +309,8 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit("<p>"), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("</p>"))
 
     html = F.concat(
-        F.lit("<article><h1>Title "), ks, F.lit("</h1><li><a href='/a/"), ks, F.lit(f"'>x</a><div class='{DATE_CLASS}'>"), date,
+        F.lit("<article>"), F.when(k % 5 < 3, F.concat(F.lit(f"<div class='{CLASS_CLASS}'>Class "), (k % 5).cast("string"), F.lit("</div>")))
+        .otherwise(F.lit("")), F.lit("<h1>Title "), ks, F.lit("</h1><li><a href='/a/"), ks, F.lit(f"'>x</a><div class='{DATE_CLASS}'>"), date,
         F.lit("</div></li>"), F.when(k % 4 == 0, F.lit(f"<div class='{FIGURE_CLASS}'><img src='f'></div>"))
         .when(k % 4 == 1, F.lit(f"<div class='{FIGURE_CLASS}'>none</div>")).otherwise(F.lit("")),
         para("Case"), para(text), para("Diagnosis"), para("Dx ", ks),
