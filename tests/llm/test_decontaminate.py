@@ -49,7 +49,7 @@ def test_every_match_within_the_budget_and_no_other(rate):
         found = D.Matcher([(7, item)], rate).matches(doc)
         best = distance_inside(item, doc)
         assert bool(found) == (best <= k)
-        for _, d, a, e in found.values():
+        for d, a, e in found.values():
             hits += 1
             assert d == best and distance_inside(item, doc[a:e]) <= d
     assert hits > 30
@@ -73,3 +73,52 @@ def test_rows_nulls_short_items_repeats_and_blocks(spark):
     assert D.benchmark_matches(d.limit(0), b).count() == 0
     assert D.benchmark_matches(d, b.limit(0)).count() == 0
     assert D.decontaminated(d, b.limit(0)).count() == len(docs)
+
+
+def first_end(item, text, k):
+    """Least distance of ``item`` to a part of ``text`` and the leftmost end that has it, by full dynamic programming."""
+    col = list(range(len(item) + 1))
+    best = (len(item), 0)
+    for j, x in enumerate(text, 1):
+        new = [0]
+        for i, c in enumerate(item, 1):
+            new.append(min(col[i] + 1, new[-1] + 1, col[i - 1] + (c != x)))
+        col = new
+        best = min(best, (col[-1], j))
+    return best if best[0] <= k else None
+
+
+REPEATS = ["a" * 120, "the cat " * 14, "ab" * 50 + " cd " * 10, "the cat sat on the mat and the cat sat on the hat while the cat sat"]
+
+
+@pytest.mark.parametrize("item", REPEATS)
+def test_repetitive_texts_match_like_full_programming(item):
+    rnd = random.Random(len(item))
+    item = D.normalised(item)
+    k = int(D.RATE * len(item))
+    texts = ["a" * 300, "the cat " * 40, "the cat sat on the mat " * 12, "ab" * 200, edited(item, 4), edited(item * 3, 20), edited(item, k + 3)]
+    for _ in range(12):
+        text = D.normalised("".join(rnd.choice(texts)[:rnd.randint(20, 250)] for _ in range(rnd.randint(1, 3))))
+        want = first_end(item, text, k)
+        for climb in (1, D.CLIMB, 10**6):  # always climb, as it is, one pass at once
+            old, D.CLIMB = D.CLIMB, climb
+            try:
+                found = list(D.Matcher([(1, item)]).matches(text).values())
+            finally:
+                D.CLIMB = old
+            assert [(d, e) for d, _, e in found] == ([want] if want else [])
+
+
+@pytest.mark.parametrize("item, unit", [("a" * 600, "a"), ("the cat " * 40, "the cat "), ("the cat " * 40, "the cat sat on "),
+                                        ("x y z w " * 60, "x y z w v ")])
+def test_time_is_linear_in_a_repetitive_text(item, unit):
+    import time
+
+    matcher = D.Matcher([(1, D.normalised(item)), (2, D.normalised(item + " end of it"))])
+    took = []
+    for n in (20_000, 1_000_000):
+        text = D.normalised(unit * (n // len(unit)))
+        t = time.process_time()
+        matcher.matches(text)
+        took.append(time.process_time() - t)
+    assert took[1] < 50 * took[0] * 3 + 2 and took[1] < 30

@@ -9,13 +9,20 @@ distance.  Verification climbs a binary tree over the pieces: a node over
 the parent would break its own), so a chance hit is refuted by a few
 characters beside it and no true match is lost.
 
+Hits whose climbs would cost more than one pass of the whole item over all
+stretches of text that they point at (a repetitive document, or an item whose
+pieces are alike) are verified by that one pass instead; it starts when the
+climbs have read as much text as it would.  So a document costs an item at
+most two passes, and a text of any kind is linear in its length.
+
 The items come to the tasks in blocks of bounded size, one map-only pass over
 the documents for each block; documents are never shuffled or collected.
 
 Defined results: texts are lower-cased and every run of non-word characters
 is one blank; NULL, empty or wordless documents and items match nothing;
 items too short for an edit match only whole and at word bounds; items with
-equal texts are reported each; repeated documents each get their rows; empty
+equal texts are reported each; a match is the one of least distance, then
+with the leftmost end; repeated documents each get their rows; empty
 tables give no rows; columns other than id and text are ignored.
 """
 
@@ -36,6 +43,7 @@ GAP = re.compile(r"\W+")
 RATE = 0.08                # edits per character of an item
 BLOCK_BYTES = 4 << 20      # item text broadcast at once
 SLICE_BYTES = 8 << 20
+CLIMB = 32                 # characters that a climb reads at least
 
 
 def normalised(text: str | None) -> str:
@@ -101,11 +109,10 @@ def myers(masks: dict, m: int, text: str, free_start: bool = True) -> list[int]:
     return found
 
 
-def best_place(node: Node, text: str, at: int) -> tuple[int, int, int] | None:
-    """(distance, start, end) of the node's best occurrence with its start near ``at``; None beyond its budget."""
+def best_in(node: Node, text: str, low: int, high: int) -> tuple[int, int, int] | None:
+    """(distance, start, end) of the node's best occurrence inside ``text[low:high]``, the leftmost end; None beyond its budget."""
     k, m = node.budget, node.end - node.start
-    low = max(0, at - k)
-    scores = myers(node.masks()[0], m, text[low:at + m + k])
+    scores = myers(node.masks()[0], m, text[low:high])
     if not scores or (best := min(scores)) > k:
         return None
     end = low + scores.index(best) + 1
@@ -114,46 +121,100 @@ def best_place(node: Node, text: str, at: int) -> tuple[int, int, int] | None:
     return best, end - 1 - back.index(best) if best in back else end, end
 
 
+def best_place(node: Node, text: str, at: int) -> tuple[int, int, int] | None:
+    """The node's best occurrence with its start near ``at``."""
+    return best_in(node, text, max(0, at - node.budget), at + node.end - node.start + node.budget)
+
+
+class Candidates:
+    """Where one item may be in one text: hits to climb from, and the stretches of text that hold all their matches."""
+
+    def __init__(self):
+        self.hits: set[tuple[Node, int]] | None = set()
+        self.stretches: list[list[int]] = []
+        self.length = 0
+
+    def add(self, leaf: Node, at: int, first: int, last: int) -> None:
+        """A piece at ``at`` puts the item's start between ``first`` and ``last``, give or take its budget."""
+        item = leaf.item
+        low, high = max(0, first - item.budget), last + len(item.text) + item.budget
+        if self.stretches and low <= self.stretches[-1][1]:
+            end = self.stretches[-1]
+            self.length += max(0, end[0] - low) + max(0, high - end[1])
+            end[0], end[1] = min(low, end[0]), max(high, end[1])
+        else:
+            self.stretches.append([low, high])
+            self.length += high - low
+        if self.hits is not None:
+            if first == last:
+                self.hits.add((leaf, first))
+            if first < last or len(self.hits) * CLIMB > max(self.length, 64 * CLIMB):
+                self.hits = None  # so dense that one pass over the stretches is cheaper
+
+    def best(self, item: Item, text: str) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the best match: the least distance, then the leftmost end."""
+        found, work, failed = [], 0, set()
+        for leaf, origin in sorted(self.hits or (), key=lambda h: (h[1], h[0].start)):
+            node, hit = leaf.parent, None
+            while node is not None and (node, origin) not in failed:
+                work += node.end - node.start + 2 * node.budget
+                hit = best_place(node, text, max(0, origin + node.start))
+                if hit is None:
+                    failed.add((node, origin))
+                    break
+                node = node.parent
+            if node is None:
+                found.append(hit)
+                failed.add((item.root, origin))  # settled: other pieces at this origin need no climb
+            if work > self.length:
+                break
+        else:
+            if self.hits is not None:
+                return min(found, key=lambda h: (h[0], h[2]), default=None)
+        stretches: list[list[int]] = []
+        for low, high in sorted(self.stretches):
+            if stretches and low <= stretches[-1][1]:
+                stretches[-1][1] = max(high, stretches[-1][1])
+            else:
+                stretches.append([low, high])
+        return min(filter(None, (best_in(item.root, text, low, high) for low, high in stretches)),
+                   key=lambda h: (h[0], h[2]), default=None)
+
+
 class Matcher:
     def __init__(self, items: list[tuple], rate: float = RATE):
-        pieces: dict[str, list[Node]] = {}
+        pieces: dict[str, dict[Item, list[Node]]] = {}
         for ident, text in items:
             if text:
-                for leaf in Item(ident, text, rate).leaves:
-                    pieces.setdefault(text[leaf.start:leaf.end], []).append(leaf)
+                for leaf in (item := Item(ident, text, rate)).leaves:
+                    pieces.setdefault(text[leaf.start:leaf.end], {}).setdefault(item, []).append(leaf)
         self.machine = ahocorasick.Automaton()
-        for piece, leaves in pieces.items():
-            self.machine.add_word(piece, leaves)
+        for piece, held in pieces.items():
+            self.machine.add_word(piece, (len(piece), [(item, leaves[0], leaves[0].start, leaves[-1].start)
+                                                       for item, leaves in held.items()]))
         if pieces:
             self.machine.make_automaton()
         self.empty = not pieces
 
-    def matches(self, text: str) -> dict[int, tuple[Item, int, int, int]]:
-        """Best match of every item found: (item, distance, start, end); the leftmost of equal ones."""
-        found: dict[int, tuple[Item, int, int, int]] = {}
-        checked: dict[tuple[int, int], tuple[int, int] | None] = {}
+    def matches(self, text: str) -> dict[Item, tuple[int, int, int]]:
+        """Best match of every item found: (distance, start, end); of equal distances the leftmost end."""
+        found: dict[Item, tuple[int, int, int]] = {}
+        maybe: dict[Item, Candidates] = {}
         if self.empty or not text:
             return found
-        for last, leaves in self.machine.iter(text):
-            for leaf in leaves:
-                item, pos = leaf.item, last + 1 - (leaf.end - leaf.start)
+        for last, (size, held) in self.machine.iter(text):
+            at = last + 1 - size
+            for item, leaf, first, final in held:
                 if item.budget == 0:
-                    if pos and text[pos - 1] != " " or last + 1 < len(text) and text[last + 1] != " ":
-                        continue
-                    hit = 0, pos, last + 1
-                else:
-                    origin = pos - leaf.start  # where the item would start without edits
-                    if (id(item), origin) in checked:
-                        continue
-                    node, hit = leaf.parent, None
-                    while node is not None and (hit := best_place(node, text, max(0, origin + node.start))):
-                        node = node.parent
-                    if node is not None:
-                        continue
-                    checked[id(item), origin] = None
-                old = found.get(id(item))
-                if old is None or (hit[0], hit[1]) < (old[1], old[2]):
-                    found[id(item)] = item, *hit
+                    if item not in found and (not at or text[at - 1] == " ") and (last + 1 == len(text) or text[last + 1] == " "):
+                        found[item] = 0, at, last + 1
+                    continue
+                if (own := maybe.get(item)) is None:
+                    own = maybe[item] = Candidates()
+                own.add(leaf, at, at - final, at - first)
+        for item, own in maybe.items():
+            if (hit := own.best(item, text)) is not None:
+                found[item] = hit
         return found
 
 
@@ -192,7 +253,7 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, *, doc_id: str = "doc_i
             for batch in batches:
                 for part in slices(batch, 1, SLICE_BYTES):
                     rows = [(row, item.ident, d, a, e) for row, text in enumerate(part.column(1).to_pylist())
-                            for item, d, a, e in matcher.matches(normalised(text)).values()]
+                            for item, (d, a, e) in matcher.matches(normalised(text)).items()]
                     if rows:
                         row, ident, d, a, e = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays(
