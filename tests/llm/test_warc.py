@@ -18,10 +18,17 @@ def salvaged(data, span=W.WINDOW):
         rows = list(W.salvage(io.BytesIO(data), len(data)))
     finally:
         W.WINDOW = W_span
-    at = 0
-    for r in rows:  # records and gaps cover the file
-        assert r["offset"] == at and r["length"] > 0
-        at += r["length"]
+    at, last = 0, None
+    for r in rows:  # records and gaps cover the file; those of one member share its bytes
+        assert r["length"] > 0
+        if (r["offset"], r["length"]) != last or r.get("inner_offset") is None:
+            assert r["offset"] == at
+            at += r["length"]
+            inner = 0
+        if r.get("inner_offset") is not None:
+            assert r["inner_offset"] == inner and r["inner_length"] > 0
+            inner += r["inner_length"]
+        last = r["offset"], r["length"]
     assert at == len(data)
     return [r["record_id"].rpartition(":")[2] for r in rows if r["kind"] == "record"], [r for r in rows if r["kind"] == "gap"]
 
@@ -84,3 +91,63 @@ def test_damaged_file_in_a_folder_and_empty_table(spark, tmp_path):
     assert [(r.kind, r.record_id) for r in rows] == [("record", "urn:page:0"), ("gap", None), ("record", "urn:page:2"), ("record", "urn:page:3")]
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert W.read_archives(W.write_archives(empty)).count() == 0
+
+
+def numbered(n, size=50):
+    return [rec(k, os.urandom(size).hex().encode()) for k in range(n)]
+
+
+@pytest.mark.parametrize("span", [W.WINDOW, 1 << 15])
+def test_many_records_in_one_member(span):
+    """With the small window the member is too large to keep and is unpacked again."""
+    parts = numbered(10, 30_000)
+    ids, gaps = salvaged(W.member(b"".join(parts)), span)
+    assert ids == list("0123456789") and not gaps
+    damaged = parts[3].replace(b"HTTP/1.1 200 OK", b"HTTP/1.1 200 KO").replace(b"\r\n\r\n", b"\r\n\n", 1)
+    ids, gaps = salvaged(W.member(b"".join([*parts[:3], damaged, *parts[4:]])) + W.member(rec(77)), span)
+    assert ids == [*"012456789", "77"] and len(gaps) == 1
+    assert gaps[0]["inner_offset"] == sum(map(len, parts[:3])) and gaps[0]["inner_length"] == len(damaged)
+    ids, gaps = salvaged(W.member(parts[0] + b"junk behind it") + W.member(b"junk before" + parts[1]), span)
+    assert ids == ["0", "1"] and [g["inner_length"] for g in gaps] == [14, 11]
+    ids, gaps = salvaged(W.member(b"no record at all") + W.member(b"") + W.member(parts[2]), span)
+    assert ids == ["2"] and len(gaps) == 1 and "inner_offset" not in gaps[0]
+
+
+def test_digests_in_base32_and_other_algorithms():
+    import base64
+    body = b"<p>text</p>"
+    sha1 = hashlib.sha1(body)
+    plain = W.record_bytes("response", "urn:page:1", "u", "DIGEST", len(body), body)
+    good = [b"sha1:" + base64.b32encode(sha1.digest()), b"SHA1:" + sha1.hexdigest().upper().encode(), sha1.hexdigest().encode(),
+            b"md5:" + hashlib.md5(body).hexdigest().encode(), b"sha-256:" + base64.b32encode(hashlib.sha256(body).digest()).rstrip(b"="),
+            b"blake9:whatever"]
+    for d in good:
+        for pack in (W.member, bytes):
+            data = pack(plain.replace(b"sha1:DIGEST", d))
+            assert salvaged(data) == (["1"], []), d
+    for d, why in ((b"sha1:" + base64.b32encode(hashlib.sha1(b"x").digest()), "payload digest differs"), (b"sha1:zz", "unreadable payload digest")):
+        ids, gaps = salvaged(plain.replace(b"sha1:DIGEST", d))
+        assert ids == [] and gaps[0]["reason"] == why
+    row = next(W.salvage(io.BytesIO(data := plain.replace(b"sha1:DIGEST", good[0])), len(data)))
+    assert row["header_digest"] == sha1.hexdigest()
+
+
+def test_limits_are_parameters_and_losses_are_told(spark):
+    pages = spark.createDataFrame([(1, "u", "short"), (2, "u" * 3000, "x" * 5000)], "page_id long, url string, html string")
+    files = W.write_archives(pages)
+    read = lambda **k: sorted((r.kind, r.reason) for r in W.read_archives(files, **k).collect())
+    assert read(whole=True) == [("record", None)] * 2
+    assert ("gap", "record over the size limit") in read(record_limit=1000)
+    assert ("gap", "headers over the size limit") in read(header_limit=1000)
+    with pytest.raises(Exception, match="records were written"):
+        W.read_archives(files, record_limit=1000, whole=True).count()
+
+
+def test_folders_are_qualified_by_spark(spark, tmp_path):
+    assert W._qualified(spark, str(tmp_path)) == f"file://{tmp_path}" == W._qualified(spark, f"file://{tmp_path}")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.defaultFS", "viewfs://store/")
+    try:
+        with pytest.raises(Exception, match="viewfs|mount"):  # the default file system is asked, not the local disk
+            W._qualified(spark, "/some/folder")
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.defaultFS", "file:///")

@@ -84,7 +84,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN best = page_id THEN 're
        CASE WHEN best <> page_id THEN best END AS refers_to
 FROM q""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_archives(write_archives(table(spark, sf_dir, "pages"))).where("kind = 'record'")
+    rows = read_archives(write_archives(table(spark, sf_dir, "pages")), whole=True).where("kind = 'record'")
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")  # noqa: E731  after "urn:page:"
     revisit = F.col("record_type") == "revisit"
     return rows.select(
