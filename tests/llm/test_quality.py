@@ -62,3 +62,14 @@ def test_learns_from_no_held_out_label_and_at_most_max_rows(spark):
     assert C.fit(docs, labels)[1].flat
     more = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
     assert C.fit(docs, more, max_rows=9)[1].flat  # nine rows are too few to fit
+
+
+def test_word_statistics_cover_all_documents_whatever_their_split(spark):
+    texts = [f"w{k % 37} v{k % 11} u{k % 5} w{k % 13}" for k in range(900)] + [None, "", "x " * 50_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    index = C.index_vectors()
+    want = sum(C.context_sums(*C.tokens(pa.array([t])), index).astype(np.int64) for t in texts if t)
+    for parts in (1, 7):
+        got = C.corpus_contexts(df.repartition(parts))
+        assert got.dtype == np.int64 and (got == want).all()
+    assert not C.corpus_contexts(df.limit(0)).any()

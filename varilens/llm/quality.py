@@ -2,7 +2,7 @@
 
 Tokens (runs of one kind of character, told apart by case) are hashed to
 ``SLOTS`` slots.  Each slot has a sparse random index vector; its context
-vector adds up the index vectors of its neighbours in the training texts
+vector adds up the index vectors of its neighbours in all documents
 (random indexing), and the word vector is the sum of both, scaled.  A
 document is the mean and the spread of its word vectors, with the shares of
 vectors that come again a few tokens later.  A two-layer numpy
@@ -10,9 +10,10 @@ network is fitted to the labelled sample, and a temperature, fitted on a part
 of the sample kept from the weights, turns its output into probabilities.
 
 Only the fit is bounded: at most ``max_rows`` labelled rows, chosen by a hash
-of their id.  Word statistics are summed in tasks, the driver sees matrices
-of fixed size and one feature row per sampled document.  Scoring is map-only
-over every whole text.
+of their id.  Word statistics cover every whole text: tasks sum them, ranges
+of slots are merged by tasks of their own, and the driver sees one matrix of
+fixed size and one feature row per sampled document.  The sums are whole
+numbers, so they hang on no order.  Scoring is map-only over every whole text.
 
 Defined results: NULL and empty texts have the zero vector and get the
 network's score for it; without labels of both classes every score is 0.5;
@@ -34,7 +35,8 @@ from .common import prepared, slices, staged
 
 SLOTS, DIM, NONZERO, NEAR = 1 << 14, 48, 6, 2
 MAX_ROWS = 6000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+RANGE = 64                 # slots of one range of word statistics
 HIDDEN, STEPS, RATE, DECAY = 24, 600, 0.01, 1e-3
 THRESHOLD = 0.3
 LAGS = 4
@@ -81,7 +83,7 @@ def tokens(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def context_sums(slot: np.ndarray, doc: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Sum of the index vectors of each slot's neighbours."""
+    """Sum of the index vectors of each slot's neighbours (whole numbers; exact for up to 2^24 pairs)."""
     found = np.zeros((SLOTS, DIM), np.float32)
     pairs = []
     for k in range(1, NEAR + 1):
@@ -179,6 +181,37 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
+def corpus_contexts(texts: DataFrame) -> np.ndarray:
+    """Context sums over all texts of a one-column table: one fixed-size matrix (6 MB), merged by ranges of slots."""
+    ranges = SLOTS // RANGE
+    schema = "part int, sums binary"
+
+    def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int32()),
+                                           "sums": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = index_vectors(), np.zeros((SLOTS, DIM), np.int64)
+        for batch in batches:
+            for part in slices(batch, 0, SLICE_BYTES):
+                total += context_sums(*tokens(part.column(0)), own).astype(np.int64)
+        parts = total.reshape(ranges, RANGE, DIM)
+        yield rows({k: parts[k] for k in np.flatnonzero(parts.any(axis=(1, 2))).tolist()})
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total.setdefault(k, np.zeros((RANGE, DIM), np.int64)).__iadd__(np.frombuffer(data, np.int64).reshape(RANGE, DIM))
+        yield rows(total)
+
+    found = np.zeros((ranges, RANGE, DIM), np.int64)
+    parts = texts.mapInArrow(sums, schema).repartitionById(ranges, "part").mapInArrow(merged, schema)
+    for k, data in parts.collect():
+        found[k] = np.frombuffer(data, np.int64).reshape(RANGE, DIM)
+    return found.reshape(SLOTS, DIM)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, Network]:
     """(word vectors, network) from at most ``max_rows`` labelled rows outside the held-out fold."""
@@ -190,17 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = staged(texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")),
                     "quality-sample").coalesce(8)
     index = index_vectors()
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = index_vectors(), np.zeros((SLOTS, DIM), np.float32)
-        for batch in batches:
-            for part in slices(batch, 0, SLICE_BYTES):
-                total += context_sums(*tokens(part.column(0)), own)
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
-
-    context = np.zeros((SLOTS, DIM), np.float32)
-    for row in sample.select("text").mapInArrow(sums, "sums binary").collect():  # 8 matrices of fixed size
-        context += np.frombuffer(row[0], np.float32).reshape(SLOTS, DIM)
+    context = corpus_contexts(texts.select("text")).astype(np.float32)
     vectors = word_vectors(context, index)
     held = docs.sparkSession.sparkContext.broadcast(vectors)
 
