@@ -119,3 +119,31 @@ def test_long_text_in_pieces(monkeypatch):
 
 def test_empty_table(spark):
     assert R.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_of_a_row_send_the_contexts_of_one(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    indexed = R._indexed
+
+    def counting(batches):
+        import os
+        import uuid
+
+        def told():
+            for b in batches:
+                with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                    f.write(str(b.num_rows))
+                yield b
+        return indexed(told())
+
+    monkeypatch.setattr(R, "_indexed", counting)
+    text = "".join(RND.choices("abcdefgh", k=400))
+    counts = []
+    for copies in (1, 300):
+        rows = [(1, text)] * copies + [(2, "x" * 30 + text[100:300] + "y" * 30)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        found = R.without_repeats(docs).collect()
+        assert len(found) == len(rows) and {r.n_removed for r in found if r.id == 1} == {0}
+        assert [r.n_removed for r in found if r.id == 2] == [200]
+        counts.append(sum(int(p.read_text()) for p in tmp_path.iterdir()) - sum(counts))
+    assert counts[0] == counts[1] > 0

@@ -526,7 +526,8 @@ def repeat_marks(rows: DataFrame, *, hot: int = HOT) -> DataFrame:
              .agg(F.collect_list(F.struct("pk", "start", "size")).alias("asked")).withColumn("document", _document(met)))
     texts = rows.withColumn("document", _document(rows))
     few = bloom_hits(texts, "document", bloom_blocks(asked, "document", BLOOM_BLOCKS), BLOOM_BLOCKS)
-    bodies = (few.drop("document").join(asked.drop("document"), ["id", "tie"]).select("id", "tie", "text", "asked")
+    few = few.groupBy("id", "tie").agg(F.first("text").alias("text"))  # repeated rows are one document
+    bodies = (few.join(asked.drop("document"), ["id", "tie"]).select("id", "tie", "text", "asked")
               .mapInArrow(_bodies, "pk long, id long, tie long, start long, body binary"))
     edges = bodies.repartition("pk").sortWithinPartitions("pk").mapInArrow(_indexed, FLOW)
     edges = staged(edges.select("id", "tie", "start", "size"), "edges")
