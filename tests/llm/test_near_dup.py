@@ -66,6 +66,74 @@ def test_classes_equal_all_pairs(spark):
     assert Counter(r.doc_id for r in kept) == Counter({c for _, c in exp})
 
 
+def on_a_template(rnd, n, own=0.13, words=300, alike=0):
+    """``n`` texts that share a template and differ in a share ``own`` of their words; ``alike`` of them have a close copy."""
+    template = [f"t{k}" for k in range(words)]
+    rows = []
+    for i in range(n):
+        t = list(template)
+        for k in range(0, words, int(5 / own)):  # every change spoils five shingles
+            t[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(t)))
+        if i < alike:
+            t[rnd.randrange(words)] = f"y{i}"
+            rows.append((n + i, " ".join(t)))
+    return rows
+
+
+def test_wide_buckets_meet_by_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(N, "WIDE", 8)
+    monkeypatch.setattr(N, "LEVELS", (4, 16, 64))
+    rnd = random.Random(12)
+    for rows in (near_copies(rnd), on_a_template(rnd, 60, alike=20), on_a_template(rnd, 50, own=0.05), on_a_template(rnd, 40, own=0.11, alike=40)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sort((r.id, r.class_id) for r in N.near_duplicates(docs).collect()) == sort(classes(rows))
+
+
+def test_prefixes_share_a_token_for_every_linked_pair():
+    rnd = random.Random(5)
+    texts = [t for _, t in near_copies(rnd, 30) if t and t.split() and len(t) < 5000]
+    bags = [bag(t) for t in texts]
+    filters = [np.random.default_rng(1).integers(0, 1 << 63, N.FILTER_WORDS, dtype=np.uint64)]  # any order will do
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k).encode() for k in range(len(texts))]), pa.array(texts)], names=["key", "text"])
+    probe, index = {}, {}
+    for out in N._prefixes(filters, 0.8)(iter([batch])):
+        for token, key, size, indexed in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            assert size == sum(bags[int(key)].values())
+            probe.setdefault(int(key), set()).add(token)
+            if indexed:
+                index.setdefault(int(key), set()).add(token)
+    linked = 0
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            if i != j and sum(b.values()) <= sum(a.values()) and similarity(a, b) >= 0.8:
+                assert probe[i] & index[j]
+                linked += 1
+    assert linked > 100
+
+
+def test_template_texts_grow_no_faster_than_their_number(spark, monkeypatch):
+    """Rows placed in blocks and rare shingles, for texts at a similarity of about 0.67."""
+    monkeypatch.setattr(N, "WIDE", 64)
+    placed = []
+    staged, names = N.staged, {}
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "prefixes":
+            names[name] = names.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(N, "staged", counted)
+    for n in (250, 500, 1000):
+        names.clear()
+        rows = on_a_template(random.Random(1), n, own=0.2, words=200)
+        found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len({r.class_key for r in found}) == n
+        placed.append(names.get("prefixes", 0))
+    assert placed[0] > 0
+    assert all(b <= 2.2 * a for a, b in zip(placed, placed[1:])), placed
+
+
 def test_unlike_documents_with_null_or_shared_ids_stay_apart(spark):
     texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdefgh"]
     rows = [(None, t) for t in texts[:3]] + [(7, t) for t in texts[3:6]] + [(None, texts[6]), (7, texts[6]), (8, texts[7]), (None, texts[0] + " z"), (7, texts[3])]

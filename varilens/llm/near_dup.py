@@ -21,6 +21,14 @@ to the hub may differ by the threshold distance at most; and the smaller
 counts of two shingle histograms bound the overlap from above.  Both are
 exact, so no link between components is lost, and few pairs leave the blocks.
 
+A bucket with many members outside its largest component (texts on a common
+template that are not alike enough) would need blocks in the square of their
+number.  Its members meet by their rare shingles instead: with shingles in
+one order, the rarest first, two texts of the wanted similarity share one of
+the first few of each (prefix filter, exact in any order).  Template shingles
+come last, so texts that share only them never meet, and the work grows with
+the texts.
+
 Defined results: NULL texts are empty; texts without a word are one class;
 texts of fewer than five words are one shingle of all their words; the class
 key is the least text key of the class, unique whatever the ids are; the class
@@ -53,6 +61,9 @@ BLOOM_BLOCKS = 1 << 16
 SALTS = 16
 BINS, FULL = 256, 65535      # counts of a shingle histogram, the mark of a full one
 BLOCK = 512                  # members on each side of a block
+WIDE = BLOCK                 # members outside the largest component from which rare shingles decide
+LEVELS = (32, 1024, 32768)   # texts with a shingle from which it counts as more common
+FILTER_WORDS = 1 << 17       # 64-bit words of the filter of common shingles (1 MB a level)
 _WEIGHTS = np.random.default_rng(99).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -247,7 +258,92 @@ def _blocks(similarity: float):
     return run
 
 
-def _further_pairs(members: DataFrame, sketches: DataFrame, stars: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+def occurrences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of a string column: every occurrence of a shingle is a token of its own, so multisets become sets."""
+    row, value, count = shingles(column)
+    index = np.repeat(np.arange(len(row)), count)
+    nth = np.arange(len(index)) - np.repeat(np.cumsum(count) - count, count)
+    return row[index], mix(value[index] + nth.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+
+
+def _probes(token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, mask) of the bits of tokens in a filter."""
+    for k in (1, 2):
+        h = mix(token + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+        yield (h >> np.uint64(6)).astype(np.int64) & (FILTER_WORDS - 1), np.uint64(1) << (h & np.uint64(63))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, 1, SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(occurrences(part.column(1))[1].view(np.int64))], names=["token"])
+
+
+def _common_filters(texts: DataFrame) -> list[np.ndarray]:
+    """One filter of fixed size per level with the tokens that so many of the texts hold."""
+    counts = staged(texts.mapInArrow(_tokens, "token long").groupBy("token").agg(F.count("*").alias("n"))
+                    .where(F.col("n") >= LEVELS[0]), "common")
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for word, mask in _probes(batch.column(0).to_numpy().view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    found = []
+    for level in LEVELS:
+        words = np.zeros(FILTER_WORDS, np.uint64)
+        rows = (counts.where(F.col("n") >= level).select("token").mapInArrow(bits, "word long, mask long")
+                .groupBy("word").agg(F.bit_or("mask").alias("mask")))
+        for word, mask in rows.toLocalIterator():
+            words[word] = np.uint64(mask & (1 << 64) - 1)
+        found.append(words)
+    return found
+
+
+def _prefixes(filters: list[np.ndarray], similarity: float):
+    """``key, text`` to ``token, key, size, indexed``: the rarest tokens of each text that a partner must share.
+
+    A partner that is no larger shares one of the first ``size - s * size + 1``
+    tokens, and finds it among its own first ``size - 2s/(1+s) * size + 1``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, SLICE_BYTES):
+                row, token = occurrences(part.column(1))
+                size = np.bincount(row, minlength=part.num_rows)
+                level = np.zeros(len(token), np.int64)
+                for words in filters:
+                    level += np.logical_and.reduce([words[word] & mask != 0 for word, mask in _probes(token)])
+                order = np.lexsort((token, level, row))
+                row, token = row[order], token[order]
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                first = [size - np.ceil(share * size - 1e-9).astype(np.int64) + 1 for share in (similarity, 2 * similarity / (1 + similarity))]
+                kept = place < first[0][row]
+                row, place = row[kept], place[kept]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token[kept].view(np.int64)), part.column(0).take(pa.array(row)), pa.array(size[row]),
+                     pa.array(place < first[1][row])], names=["token", "key", "size", "indexed"])
+    return run
+
+
+def _rare_pairs(wide: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of the nodes ``wide`` (``key, component``) in different components that share a band and a rare shingle."""
+    chosen = staged(texts.join(wide.select("key"), "key", "left_semi").select("key", "text"), "wide")
+    prefixes = chosen.mapInArrow(_prefixes(_common_filters(chosen), similarity), "token long, key binary, size long, indexed boolean")
+    rows = staged(prefixes.join(wide, "key"), "prefixes")
+    mixed = rows.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("token")
+    rows = staged(rows.join(mixed, "token", "left_semi"), "prefixes")
+    small = rows.where("indexed").select("token", *(F.col(c).alias(f"{c}_s") for c in ("key", "size", "component")))
+    pairs = (rows.join(small, "token")
+             .where((F.col("component") != F.col("component_s")) & (F.col("size_s") >= similarity * F.col("size") - 1e-9)
+                    & ((F.col("size_s") < F.col("size")) | ((F.col("size_s") == F.col("size")) & (F.col("key_s") < F.col("key")))))
+             .select(F.least("key", "key_s").alias("a"), F.greatest("key", "key_s").alias("b")).distinct())
+    bands = {c: nodes.select(F.col("key").alias(c), F.col("bands").alias(f"bands_{c}")) for c in "ab"}
+    return (pairs.join(bands["a"], "a").join(bands["b"], "b").where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b"))
+
+
+def _further_pairs(members: DataFrame, nodes: DataFrame, stars: DataFrame, labels: DataFrame, texts: DataFrame,
+                   similarity: float) -> DataFrame:
     """Pairs inside buckets that the stars left in different components and the sketches do not rule out."""
     distance = stars.select(F.col("a").alias("key"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("distance"))
     rows = (members.where("key <> hub").join(distance, ["key", "hub"], "left")
@@ -255,9 +351,12 @@ def _further_pairs(members: DataFrame, sketches: DataFrame, stars: DataFrame, la
             .select("bucket", "band", "key", "distance", F.coalesce("component", "key").alias("component")))
     rows = staged(rows, "members")
     parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = (parts.groupBy("bucket")
-             .agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
-             .where("parts > 1").select(
+    several = staged(parts.groupBy("bucket")
+                     .agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
+                     .where("parts > 1"), "several")
+    is_wide = F.col("n") - F.col("most.n") > WIDE
+    wide = rows.join(several.where(is_wide).select("bucket"), "bucket", "left_semi").select("key", "component").distinct()
+    mixed = (several.where(~is_wide).select(
                  "bucket", F.col("most.component").alias("largest"),
                  F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("n_left"), F.ceil(F.col("most.n") / BLOCK).alias("n_right"),
                  F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
@@ -278,11 +377,14 @@ def _further_pairs(members: DataFrame, sketches: DataFrame, stars: DataFrame, la
     placed = (rows.withColumn("at", F.explode(F.when(F.col("right"), back).otherwise(F.concat(own, other))))
               .select(F.xxhash64("bucket", "at.i", "at.j").alias("block"), "bucket", "at.i", "at.j", "at.alone", "at.part",
                       "band", "key", "distance", "component")
-              .join(sketches, "key"))
-    return (placed.repartition("block").sortWithinPartitions("block", "bucket", "i", "j")
+              .join(nodes.select("key", "size", F.col("bands").alias("prints"), "bins"), "key"))
+    found = (placed.repartition("block").sortWithinPartitions("block", "bucket", "i", "j")
             .select("block", "alone", "part", "band", "key", "distance", "component", "size", "prints", "bins")
             .mapInArrow(_blocks(similarity), "a binary, b binary")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if several.where(is_wide).isEmpty():
+        return found
+    return found.unionAll(_rare_pairs(staged(wide, "wide-keys"), texts, nodes, similarity)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -308,10 +410,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = staged(_verified(pairs, texts), "stars")
     alike = F.col("similarity") >= similarity - 1e-12
     links = stars.where(alike).select("a", "b")
-    prints = F.transform("bands", lambda x: F.xxhash64(x).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    sketches = nodes.select("key", "size", prints.alias("prints"), "bins")
     labels = components(links)
-    further = staged(_further_pairs(members, sketches, stars, labels, similarity), "pairs")
+    further = staged(_further_pairs(members, nodes, stars, labels, texts, similarity), "pairs")
     if not further.isEmpty():
         more = staged(_verified(further, texts), "further")
         known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
