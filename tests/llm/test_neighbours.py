@@ -75,3 +75,15 @@ def test_recall_on_the_test_table(spark):
         hits += sum((int(ids[q]), int(i)) in found for i in ids[top])
         total += 5
     assert hits >= 0.9 * total
+
+
+def test_each_length_is_searched_on_its_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(40)] + [(100 + k, rng.normal(size=3).tolist()) for k in range(30)]
+    found = search(spark, rows)
+    assert set(found) == {i for i, _ in rows if i % 7 == 0}
+    assert all(len(v) == 5 and all((i >= 100) == (q >= 100) for _, i in v) for q, v in found.items())
+    for q in (105, 112):
+        a = np.array(dict(rows)[q])
+        best = sorted((-round(float(a @ b / np.sqrt((a @ a) * (np.dot(b, b)))), 12), i) for i, b in rows if i >= 100 and i != q)[:5]
+        assert found[q] == best

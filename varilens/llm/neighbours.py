@@ -18,16 +18,17 @@ query can need), so a hot vector fills neither a block nor a window; this
 drops no answer.
 
 Defined results: vectors that are NULL, empty, zero, hold NULL or non-finite
-components or differ in length from the most frequent length take no part,
-nor do rows with a NULL id; rows that share the query's id are not its
-candidates; a query with fewer candidates gets all of them; other columns are
-ignored.
+components take no part, nor do rows with a NULL id; vectors of different
+lengths have no cosine, so each length is searched on its own; rows that
+share the query's id are not its candidates; a query with fewer candidates
+gets all of them; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -206,11 +207,14 @@ def nearest(rows: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_co
         vec = vec.cast("array<double>")
     base = (rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), is_query.alias("asks"))
             .where(F.col("id").isNotNull() & _usable(F.col("vec"))))
-    lengths = base.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    if lengths is None:
-        return empty
-    dim = lengths["dim"]
-    base = base.where(F.size("vec") == dim)
+    lengths = [r["dim"] for r in base.select(F.size("vec").alias("dim")).distinct().collect()]
+    found = [_nearest(base.where(F.size("vec") == dim), dim, id_col, k, seed, target) for dim in sorted(lengths)]
+    return reduce(DataFrame.unionAll, found) if found else empty
+
+
+def _nearest(base: DataFrame, dim: int, id_col: str, k: int, seed: int, target: float) -> DataFrame:
+    """The search among ``id, vec, asks`` rows of one vector length."""
+    spark = base.sparkSession
     queries = base.where("asks").select("id", "vec")
     reps = staged(_representatives(base.select("id", "vec"), dim, k + 1), "vectors")
     n = reps.count()

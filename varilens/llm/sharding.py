@@ -10,7 +10,8 @@ shard counts differ by one at most and a bucket writes to one or two shards.
 
 The ticket, not a key, is hashed: copies of a text or of a key spread like
 any other rows.  The input should be a table scan or another source whose
-partitions a retried task sees again in the same order.
+partitions a retried task sees again in the same order; a shuffle comes out
+the same again only for the same rows, seed and split of the input.
 
 Defined results: NULL and empty texts are records of size 8; repeated rows
 are kept, each in its own slot; an empty table gives no shard; the input's
