@@ -150,8 +150,8 @@ ORDER_BLOCK = 4096      # indexes of a case that are put in order together
 
 def copy_orders(df: DataFrame, *, response_col: str, case_col: str = "case_id", idx_col: str = "variant_idx",
                 block: int = ORDER_BLOCK) -> DataFrame:
-    """``case_id, a, b, before``: for a text ``a`` with several copies and any text ``b`` of another length,
-    the number of pairs of a copy of ``a`` and a later copy of ``b``.
+    """``case_id, a, b, before, ma, mb, la, lb``: for a text ``a`` with several copies and any text ``b`` of another
+    length, the number of pairs of a copy of ``a`` and a later copy of ``b``, with their copies and lengths.
 
     Texts are named by their first index.  The copies of ``a`` are marks on
     the case's line of indexes; a response's number of marks to its left is
@@ -164,20 +164,20 @@ def copy_orders(df: DataFrame, *, response_col: str, case_col: str = "case_id",
             .select(F.col(case_col).alias("case_id"), F.col(idx_col).cast("long").alias("idx"),
                     F.unhex(F.md5(response_col)).alias("key"), F.size(X.whitespace_tokens(response_col)).alias("len")))
     copied = (rows.groupBy("case_id", "key", "len").agg(F.min("idx").alias("a"), F.count(F.lit(1)).alias("m"))
-              .where("m > 1").select("case_id", F.col("key").alias("a_key"), F.col("len").alias("a_len"), "a"))
-    met = rows.join(copied, "case_id").where((F.col("key") == F.col("a_key")) | (F.col("len") != F.col("a_len")))
-    line = met.select("case_id", "a", "idx", F.floor(F.col("idx") / block).alias("block"),
+              .where("m > 1").select("case_id", F.col("key").alias("a_key"), F.col("len").alias("la"), "a", F.col("m").alias("ma")))
+    met = rows.join(copied, "case_id").where((F.col("key") == F.col("a_key")) | (F.col("len") != F.col("la")))
+    line = met.select("case_id", "a", "ma", "la", "len", "idx", F.floor(F.col("idx") / block).alias("block"),
                       F.when(F.col("key") != F.col("a_key"), F.col("key")).alias("b"))
     mark = F.col("b").isNull()
     left = Window.partitionBy("case_id", "a", "block").orderBy("idx").rangeBetween(Window.unboundedPreceding, -1)
     blocks = (line.withColumn("within", F.coalesce(F.sum(F.when(mark, 1)).over(left), F.lit(0)))
-              .groupBy("case_id", "a", "block", "b")
+              .groupBy("case_id", "a", "ma", "la", "block", "b", F.col("len").alias("lb"))
               .agg(F.sum("within").alias("within"), F.count(F.lit(1)).alias("n"), F.min("idx").alias("first")))
     earlier = Window.partitionBy("case_id", "a").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
     return (blocks.withColumn("marks", F.coalesce(F.sum(F.when(mark, F.col("n"))).over(earlier), F.lit(0)))
-            .where(~mark).groupBy("case_id", "a", "b")
-            .agg(F.sum(F.col("within") + F.col("marks") * F.col("n")).alias("before"), F.min("first").alias("b_tid"))
-            .select("case_id", "a", F.col("b_tid").alias("b"), "before"))
+            .where(~mark).groupBy("case_id", "a", "ma", "la", "b", "lb")
+            .agg(F.sum(F.col("within") + F.col("marks") * F.col("n")).alias("before"), F.min("first").alias("b_tid"), F.sum("n").alias("mb"))
+            .select("case_id", "a", F.col("b_tid").alias("b"), "before", "ma", "mb", "la", "lb"))
 
 
 def _self_bleu(length: Column) -> Column:
@@ -204,13 +204,15 @@ def _text_pair_sums(grams: DataFrame, orders: DataFrame) -> DataFrame:
                       F.lit(None).cast("long").alias("forth"), F.lit(None).cast("long").alias("back")))
     none = F.lit(None).cast("long")
     up = F.col("a") < F.col("b")
+    ends = lambda x: (F.when(up, F.col(f"{x}a")).otherwise(F.col(f"{x}b")).alias(f"{x}i"),
+                      F.when(up, F.col(f"{x}b")).otherwise(F.col(f"{x}a")).alias(f"{x}j"))
     told = orders.select("case_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.lit(0).alias("n"),
-                         none.alias("c"), none.alias("mi"), none.alias("mj"), none.cast("int").alias("li"),
-                         none.cast("int").alias("lj"), F.when(up, F.col("before")).alias("forth"),
+                         none.alias("c"), *ends("m"), *ends("l"), F.when(up, F.col("before")).alias("forth"),
                          F.when(~up, F.col("before")).alias("back"))
-    pairs = shared.unionByName(told).groupBy("case_id", "i", "j").agg(
+    # Copies and lengths are functions of the pair: as keys they cost the aggregate no work per gram.
+    pairs = shared.unionByName(told).groupBy("case_id", "i", "j", "mi", "mj", "li", "lj").agg(
         *[F.sum(F.when(F.col("n") == n, F.col("c"))).alias(f"m{n}") for n in range(1, S.BLEU_MAX_N + 1)],
-        *[F.max(c).alias(c) for c in ("mi", "mj", "li", "lj", "forth", "back")])
+        F.max("forth").alias("forth"), F.max("back").alias("back"))
     m = {n: F.col(f"m{n}") for n in range(1, S.BLEU_MAX_N + 1)}
     every = F.col("mi") * F.col("mj")
     forth = F.coalesce("forth", every - F.col("back"), every)
