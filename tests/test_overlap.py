@@ -241,3 +241,24 @@ def test_many_copies_make_few_rows(spark):
     first = h * (h + 1) / 2  # an even index comes before an odd one
     total = h * (h - 1) / 2 * (py_bleu(a, a) + py_bleu(b, b)) + first * py_bleu(a, b) + (h * h - first) * py_bleu(b, a)
     assert got == pytest.approx(total / (n * (n - 1) / 2), abs=1e-12)
+
+
+def test_load_queries_equal_all_pairs(spark):
+    """Twelve whole documents a case, against explicit pairs of all of them."""
+    from varilens.plans import catalog
+    from varilens.plans import fixtures as FX
+    rows = FX.load_responses(spark, SF_SMALL).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.case_id, []).append((r.variant_idx, r.response))
+    words = lambda t: [stem(w) if len(w) > 3 else w for w in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " "
+                                                                    for c in t.lower()).split()]
+    rouge = {r.case_id: r.rouge_l for r in catalog.QUERIES["rouge_l_load"](spark, SF_SMALL).collect()}
+    assert set(rouge) == set(by) and max(map(len, by.values())) == 12
+    for case, own in by.items():
+        tokens = [words(t) for _, t in own if t is not None]
+        scores = []
+        for a, b in combinations(tokens, 2):
+            n = lcs_length(a, b)
+            scores.append(2 * n / (len(a) + len(b)) if n else 0.0)
+        assert rouge[case] == (pytest.approx(sum(scores) / len(scores), abs=1e-8) if scores else None)
