@@ -262,3 +262,18 @@ def test_load_queries_equal_all_pairs(spark):
             n = lcs_length(a, b)
             scores.append(2 * n / (len(a) + len(b)) if n else 0.0)
         assert rouge[case] == (pytest.approx(sum(scores) / len(scores), abs=1e-8) if scores else None)
+
+
+def test_bleu_over_many_blocks_and_index_chunks(spark, monkeypatch):
+    """Blocks of two texts and chunks of eight indexes: every two texts still meet once, and no row per shared gram is shuffled."""
+    import random
+    rnd = random.Random(11)
+    monkeypatch.setattr(B, "BLOCK_TEXTS", 2)
+    monkeypatch.setattr(B, "INDEX_CHUNK", 8)
+    texts = ["a b c d e", "a b c d", "a b c d e f", "e d c b a", "a", "", "x y", "a b x y c d", "z", "d e a b c d e"]
+    rows = [(f"c{c}", i, rnd.choice(texts)) for c in range(6) for i in rnd.sample(range(60), 25)] + [("lone", 3, "q"), ("apart", 1, "q"), ("apart", 2, "r")]
+    df = B.bleu_across_variants(_resp(spark, rows), response_col="response")
+    got = {r.case_id: r.bleu for r in df.collect()}
+    want = _mean_bleu(rows)
+    assert got == {k: None if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()

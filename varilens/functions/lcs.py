@@ -34,3 +34,19 @@ def lcs_length_dp(a, b) -> int:
             cur.append(prev[j] + 1 if x == y else max(prev[j + 1], cur[j]))
         prev = cur
     return prev[-1]
+
+
+def lcs_lengths(b, others) -> list[int]:
+    """``lcs_length`` of ``b`` with each of ``others`` (arrays of token numbers): the bit masks of ``b`` are made once."""
+    masks: dict = {}
+    for i, tok in enumerate(b.tolist()):
+        masks[tok] = masks.get(tok, 0) | (1 << i)
+    full, out = (1 << len(b)) - 1, []
+    for a in others:
+        v = full
+        for mask in map(masks.get, a.tolist()):
+            if mask is not None:
+                u = v & mask
+                v = ((v + u) | (v - u)) & full
+        out.append(len(b) - v.bit_count())
+    return out

@@ -3,15 +3,15 @@
 Both metrics are means over the C(k, 2) ordered pairs (earlier variant =
 reference) of a case's k non-null responses.  Neither is decomposable:
 
-* BLEU: n-grams are counted once per distinct text of a case, then joined on
-  ``(gram, case_id)``; the join key spreads a large case over many keys
-  and AQE's skew handling splits hot grams.  Clipped matches are summed
-  per pair; pairs without a shared unigram never exist as rows and enter
-  the mean only through the denominator C(k, 2).  BLEU is asymmetric, so the
-  copies of a text carry their order against other texts as a count.
-* ROUGE-L: each distinct text of a case is stemmed once (column expressions),
-  the distinct texts of a case meet in a join that carries their tokens, and
-  the LCS of each pair is computed in an Arrow UDF over pair batches.
+* Both: each distinct text of a case is one row with its copies.  Texts are
+  dealt into blocks of bounded size and every two blocks of a case meet in
+  one group of rows (``block_pairs``), so a shuffle carries texts, never a row
+  per pair and shared gram, and no task holds more than two blocks at a time.
+* BLEU: the clipped matches of all pairs of a group come from one pass over its
+  n-grams (numpy in ``functions.pairs``); a group sends one summed score.
+  BLEU is asymmetric, so the copies of a text carry their indexes.
+* ROUGE-L: texts are tokenised and stemmed once, before they are dealt; the LCS
+  of the pairs of a group is bit-parallel over token numbers.
 """
 
 from __future__ import annotations
@@ -126,25 +126,6 @@ def _mean_over_pairs(k: DataFrame, pair_sums: DataFrame, out: str) -> DataFrame:
                     .otherwise(F.coalesce(F.col("_s"), F.lit(0.0)) / n_pairs).alias(out)))
 
 
-def _text_grams(df: DataFrame, case_col: str, idx_col: str, text_col: str) -> DataFrame:
-    """(case_id, tid, m, len, n, gram) -> c per distinct text of a case: ``m`` copies, the first at ``tid``.
-
-    With one presence row (n = 0) a text, as in ``_gram_table``.
-    """
-    tok = F.col("tokens")
-    presence = F.struct(F.lit(0).alias("n"), F.array(F.when(tok.isNotNull(), F.lit(""))).alias("grams"))
-    empty = F.array().cast("array<string>")
-    per_n = F.array(presence, *[
-        F.struct(F.lit(n).alias("n"), F.when(tok.isNull(), empty).otherwise(_ngrams(tok, n)).alias("grams"))
-        for n in range(1, S.BLEU_MAX_N + 1)])
-    texts = (df.where(F.col(case_col).isNotNull()).groupBy(F.col(case_col).alias("case_id"), F.col(text_col).alias("text"))
-             .agg(F.min(F.col(idx_col).cast("long")).alias("tid"), F.count(F.lit(1)).alias("m"))
-             .select("case_id", "tid", "m", X.whitespace_tokens("text").alias("tokens")))
-    return (texts.select("case_id", "tid", "m", F.size("tokens").alias("len"), F.inline(per_n))
-            .select("case_id", "tid", "m", "len", "n", F.explode("grams").alias("gram"))
-            .groupBy("case_id", "tid", "m", "len", "n", "gram").agg(F.count(F.lit(1)).alias("c")))
-
-
 ORDER_BLOCK = 4096      # indexes of a case that are put in order together
 
 
@@ -186,58 +167,73 @@ def _self_bleu(length: Column) -> Column:
     return _bleu_expr(length, length, same)
 
 
-def _text_pair_sums(grams: DataFrame, orders: DataFrame) -> DataFrame:
-    """Per case: summed BLEU over the response pairs of different texts that share a gram.
+INDEX_CHUNK = 1 << 20                           # indexes of a case whose copies of a text are one row
+BLOCK_TEXTS, BLOCK_CHARS = 1024, 1 << 20        # texts and characters of a block
+
 
-    A pair of texts is scored once in each direction and weighted with the
-    response pairs that have this direction.  Texts of one length score the
-    same both ways; single copies are in the order of their indexes; for the
-    rest ``orders`` tells.  Its rows go through the pair aggregate as rows
-    without a gram, so they need no join.
+def block_pairs(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (``case_id``, ``tid``, ...) as groups ``g`` in which every two texts of a case meet once.
+
+    ``sizes`` has ``case_id, texts, chars``.  A case of one block is one group
+    of side-0 rows.  A larger one has such a group for each block and one for
+    each two blocks, their texts as sides 1 and 2.  Rows of a group follow each
+    other by side.
     """
-    g = grams.where(F.col("n") > 0)
-    side = lambda i, m, length, c: g.select("case_id", "gram", F.col("n").alias(f"n{i}"), F.col("tid").alias(i),
-                                            F.col("m").alias(m), F.col("len").alias(length), F.col("c").alias(c))
-    shared = (side("i", "mi", "li", "ci").hint("merge").join(side("j", "mj", "lj", "cj"), ["gram", "case_id"])
-              .where(F.col("i") < F.col("j"))
-              .select("case_id", "i", "j", F.col("ni").alias("n"), F.least("ci", "cj").alias("c"), "mi", "mj", "li", "lj",
-                      F.lit(None).cast("long").alias("forth"), F.lit(None).cast("long").alias("back")))
-    none = F.lit(None).cast("long")
-    up = F.col("a") < F.col("b")
-    ends = lambda x: (F.when(up, F.col(f"{x}a")).otherwise(F.col(f"{x}b")).alias(f"{x}i"),
-                      F.when(up, F.col(f"{x}b")).otherwise(F.col(f"{x}a")).alias(f"{x}j"))
-    told = orders.select("case_id", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.lit(0).alias("n"),
-                         none.alias("c"), *ends("m"), *ends("l"), F.when(up, F.col("before")).alias("forth"),
-                         F.when(~up, F.col("before")).alias("back"))
-    # Copies and lengths are functions of the pair: as keys they cost the aggregate no work per gram.
-    pairs = shared.unionByName(told).groupBy("case_id", "i", "j", "mi", "mj", "li", "lj").agg(
-        *[F.sum(F.when(F.col("n") == n, F.col("c"))).alias(f"m{n}") for n in range(1, S.BLEU_MAX_N + 1)],
-        F.max("forth").alias("forth"), F.max("back").alias("back"))
-    m = {n: F.col(f"m{n}") for n in range(1, S.BLEU_MAX_N + 1)}
-    every = F.col("mi") * F.col("mj")
-    forth = F.coalesce("forth", every - F.col("back"), every)
-    score = (_bleu_expr(F.col("li"), F.col("lj"), m) * forth
-             + F.when(forth == every, 0.0).otherwise(_bleu_expr(F.col("lj"), F.col("li"), m) * (every - forth)))
-    return pairs.where("m1 > 0").groupBy("case_id").agg(F.sum(score).alias("_cross"))
+    parts = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("chars") / BLOCK_CHARS), F.lit(1)).cast("int")
+    dealt = (texts.join(sizes.select("case_id", parts.alias("_parts")), "case_id")
+             .withColumn("_mine", F.pmod(F.xxhash64("tid"), F.col("_parts")).cast("int"))
+             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))))
+    group = F.md5(F.to_json(F.struct("case_id", F.least("_mine", "_other").alias("a"), F.greatest("_mine", "_other").alias("b"))))
+    side = F.when(F.col("_mine") == F.col("_other"), 0).when(F.col("_mine") < F.col("_other"), 1).otherwise(2)
+    return (dealt.select(group.alias("g"), side.alias("side"), *texts.columns)
+            .repartition("g").sortWithinPartitions("g", "side"))
+
+
+def _over_groups(groups: DataFrame, score, fields: dict) -> DataFrame:
+    """``score(table, starts)`` over the whole groups of ``block_pairs``: ``case_id`` and ``fields``."""
+    def run(batches):
+        from ..functions.pairs import whole_groups
+        for table, starts in whole_groups(batches):
+            yield from score(table, starts)
+
+    schema = T.StructType([groups.schema["case_id"], *[T.StructField(name, kind) for name, kind in fields.items()]])
+    return groups.mapInArrow(run, schema)
+
+
+def _bleu_group(table, starts):
+    from ..functions.pairs import bleu_sums
+    return bleu_sums(table, starts)
 
 
 def bleu_across_variants(df: DataFrame, *, response_col: str, case_col: str = "case_id",
                          idx_col: str = "variant_idx") -> DataFrame:
     """B2: mean pairwise BLEU per case (NULL when fewer than two non-null responses).
 
-    Equal responses of a case are one text with a count of copies, so a case
-    made of m copies has no m * m rows: pairs of copies add their score
-    C(m, 2) times, and ``copy_orders`` counts which copy comes first in pairs
-    of different texts.  Indexes are whole numbers, distinct within a case.
-    Rows with a NULL case id are left out, as a pandas ``groupby`` does.
+    Equal responses of a case are one text with its copies (a row for each
+    ``INDEX_CHUNK`` indexes), so a case made of m copies has no m * m rows:
+    pairs of copies add their score C(m, 2) times, and which copy comes first
+    in pairs of different texts is counted from the indexes.  Indexes are
+    whole numbers, distinct within a case; a response without one is paired
+    with none.  Rows with a NULL case id are left out, as a pandas
+    ``groupby`` does.
     """
-    grams = _text_grams(df, case_col, idx_col, response_col)
+    tokens = X.whitespace_tokens("text")
+    rows = df.where(F.col(case_col).isNotNull()).select(
+        F.col(case_col).alias("case_id"), F.col(idx_col).cast("long").alias("idx"), F.col(response_col).alias("text"))
+    rows = rows.withColumn("chunk", F.floor(F.col("idx") / INDEX_CHUNK))
+    texts = (rows.where(F.col("text").isNotNull() & F.col("idx").isNotNull()).groupBy("case_id", "text", "chunk")
+             .agg(F.min("idx").alias("tid"), F.count(F.lit(1)).alias("m"), F.collect_list("idx").alias("at"))
+             .select("case_id", "tid", "m", "at", tokens.alias("tokens")).where(F.size("tokens") > 0))
+    counted = (rows.select("case_id", F.unhex(F.md5("text")).alias("key"), "chunk", F.size(tokens).alias("len"), F.length("text").alias("chars"))
+               .groupBy("case_id", "key", "chunk", "len", "chars").agg(F.count(F.lit(1)).alias("m")))
+    given = F.col("key").isNotNull()
     own = F.col("m") * (F.col("m") - 1) / 2 * _self_bleu(F.col("len"))
-    k = (grams.where(F.col("n") == 0).groupBy("case_id")
-         .agg(F.coalesce(F.sum(F.when(F.col("gram").isNotNull(), F.col("m"))), F.lit(0)).alias("k"),
-              F.sum(F.when(F.col("gram").isNotNull() & (F.col("m") > 1), own)).alias("_self")))
-    cross = _text_pair_sums(grams, copy_orders(df, response_col=response_col, case_col=case_col, idx_col=idx_col))
-    sums = k.join(cross, "case_id", "left").select(
+    per_case = counted.groupBy("case_id").agg(
+        F.coalesce(F.sum(F.when(given, F.col("m"))), F.lit(0)).alias("k"), F.sum(F.when(given & (F.col("m") > 1), own)).alias("_self"),
+        F.count("key").alias("texts"), F.sum("chars").alias("chars"))
+    cross = (_over_groups(block_pairs(texts, per_case.select("case_id", "texts", "chars")), _bleu_group, {"cross": T.DoubleType()})
+             .groupBy("case_id").agg(F.sum("cross").alias("_cross")))
+    sums = per_case.join(cross, "case_id", "left").select(
         "case_id", "k", (F.coalesce("_self", F.lit(0.0)) + F.coalesce("_cross", F.lit(0.0))).alias("_s"))
     n_pairs = F.col("k") * (F.col("k") - 1) / 2
     return sums.select("case_id", F.when(F.col("k") >= 2, F.col("_s") / n_pairs).alias("bleu"))
@@ -308,18 +304,35 @@ def _rouge_units(df: DataFrame, case_col: str, idx_col: str, text_col: str, stem
                         F.when(present, _rouge_text("text", stem)).alias("tokens"))
 
 
-def _rouge_pairs(units: DataFrame) -> DataFrame:
+def _lcs_group(table, starts):
+    from ..functions.pairs import lcs_pairs
+    return lcs_pairs(table, starts)
+
+
+def _rouge_pairs(units: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per pair of distinct texts with a common subsequence: (case_id, i, j, weight, rouge_l).
 
-    Distinct texts of a case meet by a plain join that carries the tokens:
-    both sides read one exchange, which AQE may split for a large case.
+    The tokens of a text travel once a group of ``block_pairs``, not once a pair.
     """
-    u = units.where(F.col("n") > 0).select("case_id", "tid", "m", "tokens")
-    pairs = u.alias("a").hint("merge").join(u.alias("b"), "case_id").where(F.col("a.tid") < F.col("b.tid"))
-    scored = pairs.select("case_id", F.col("a.tid").alias("i"), F.col("b.tid").alias("j"),
-                          (F.col("a.m") * F.col("b.m")).alias("weight"), F.size("a.tokens").alias("_ni"),
-                          F.size("b.tokens").alias("_nj"), lcs_udf("a.tokens", "b.tokens").alias("_lcs"))
-    return scored.where(F.col("_lcs") > 0).select("case_id", "i", "j", "weight", _rouge_f(F.col("_lcs"), F.col("_ni"), F.col("_nj")).alias("rouge_l"))
+    u = units.where((F.col("n") > 0) & F.col("tid").isNotNull()).select(
+        "case_id", F.col("tid").cast("long").alias("tid"), F.col("m").cast("long").alias("m"), "tokens")
+    long = T.LongType()
+    scored = _over_groups(block_pairs(u, sizes), _lcs_group, {"i": long, "j": long, "weight": long, "ni": long, "nj": long, "lcs": long})
+    kind = units.schema["tid"].dataType
+    return scored.select("case_id", F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), "weight",
+                         _rouge_f(F.col("lcs"), F.col("ni"), F.col("nj")).alias("rouge_l"))
+
+
+def _rouge_sizes(df: DataFrame, case_col: str, text_col: str) -> DataFrame:
+    """Per case ``k`` responses, the score ``_self`` of its copies, ``texts`` and ``chars``, from digests of the texts."""
+    counted = (df.where(F.col(case_col).isNotNull())
+               .select(F.col(case_col).alias("case_id"), F.unhex(F.md5(text_col)).alias("key"), F.length(text_col).alias("chars"),
+                       F.lower(X.col_(text_col)).rlike("[a-z0-9]").alias("worded"))
+               .groupBy("case_id", "key", "chars", "worded").agg(F.count(F.lit(1)).alias("m")))
+    return counted.groupBy("case_id").agg(
+        F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("m"))), F.lit(0)).alias("k"),
+        F.sum(F.when(F.col("worded"), F.col("m") * (F.col("m") - 1) / 2)).alias("_self"),
+        F.count("key").alias("texts"), F.sum("chars").alias("chars"))
 
 
 def rouge_pair_scores(df: DataFrame, *, response_col: str, case_col: str = "case_id",
@@ -329,7 +342,7 @@ def rouge_pair_scores(df: DataFrame, *, response_col: str, case_col: str = "case
     ``ref_idx`` / ``cand_idx`` are the smallest indexes of the two texts and
     ``weight`` the number of response pairs with exactly these two texts.
     """
-    p = _rouge_pairs(_rouge_units(df, case_col, idx_col, response_col))
+    p = _rouge_pairs(_rouge_units(df, case_col, idx_col, response_col), _rouge_sizes(df, case_col, response_col))
     return p.select("case_id", F.col("i").alias("ref_idx"), F.col("j").alias("cand_idx"), "weight", "rouge_l")
 
 
@@ -341,11 +354,9 @@ def rouge_l_across_variants(df: DataFrame, *, response_col: str, case_col: str =
     sum over distinct text pairs of m_a * m_b * F + sum over texts of C(m, 2) * F(t, t),
     with F(t, t) = 1 for a text with at least one token.
     """
+    per_case = _rouge_sizes(df, case_col, response_col)
     units = _rouge_units(df, case_col, idx_col, response_col, stem)
-    per_case = units.groupBy("case_id").agg(
-        F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("m"))), F.lit(0)).alias("k"),
-        F.sum(F.when(F.col("n") > 0, F.col("m") * (F.col("m") - 1) / 2)).alias("_self"))
-    cross = _rouge_pairs(units).groupBy("case_id").agg(F.sum(F.col("weight") * F.col("rouge_l")).alias("_cross"))
+    cross = _rouge_pairs(units, per_case).groupBy("case_id").agg(F.sum(F.col("weight") * F.col("rouge_l")).alias("_cross"))
     sums = (per_case.join(cross, "case_id", "left")
             .select("case_id", "k", (F.coalesce("_self", F.lit(0.0)) + F.coalesce("_cross", F.lit(0.0))).alias("_s")))
     return _mean_over_pairs(sums.select("case_id", "k"), sums.select("case_id", "_s"), "rouge_l")
