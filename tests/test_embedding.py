@@ -132,3 +132,15 @@ def test_bias_score_and_summaries(spark):
     assert scores == [0.0, 2.0, 4.0, None]
     g = {r.gender: r for r in E.bias_by_gender(s).collect()}
     assert g["female"].mean == pytest.approx(3.0) and g["male"].std is None and "none" not in g
+
+
+def test_texts_are_embedded_once_under_a_filter(spark):
+    """A filter on the vectors must not be pushed below the embedder, which would run it twice."""
+    from pyspark.sql import functions as F
+    from varilens.functions.hashing import hashing_embedder
+    from varilens.operators import embedding as E
+    df = spark.createDataFrame([("a b", 1), ("c", 2), (None, 3), ("a b", 4)], "text string, k int")
+    out = E.embed_distinct(df, "text", hashing_embedder(20)).where(F.col("embedding").isNotNull())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    assert sorted((r.k, len(r.embedding), sum(map(abs, r.embedding))) for r in out.collect()) == [(1, 20, 2.0), (2, 20, 1.0), (4, 20, 2.0)]

@@ -12,13 +12,28 @@ from pyspark.sql import functions as F
 from .text import whitespace_tokens
 
 
+RANGE = 8       # buckets that share one look at the tokens
+
+
 def hashing_embedder(dim: int = 64):
     """A function from a text column to its vector: hex digits 1-8 of a token's hash are its bucket, digit 9 its sign."""
     def embed(text: Column) -> Column:
-        signed = F.transform(whitespace_tokens(text), lambda t: F.struct(
-            F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).alias("at"),
-            F.when(F.substring(F.md5(t), 9, 1) < "8", F.lit(-1.0)).otherwise(F.lit(1.0)).alias("sign")))
-        return F.when(text.isNotNull(), F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda d: F.aggregate(F.filter(signed, lambda x: x["at"] == d), F.lit(0.0), lambda s, x: s + x["sign"])))
+        signed = F.transform(F.transform(whitespace_tokens(text), lambda t: F.md5(t)), lambda h: F.struct(
+            F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim)).alias("at"),
+            F.when(F.substring(h, 9, 1) < "8", F.lit(-1.0)).otherwise(F.lit(1.0)).alias("sign")))
+
+        def total(of: Column, d: Column) -> Column:
+            return F.aggregate(F.filter(of, lambda x: x["at"] == d), F.lit(0.0), lambda s, x: s + x["sign"])
+
+        # Hashed once a token, then dealt twice: a range of buckets looks only at its own tokens.
+        ranges = _bound(signed, lambda tokens: F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1), F.lit(RANGE)),
+            lambda low: _bound(F.filter(tokens, lambda x: (x["at"] >= low) & (x["at"] < low + RANGE)), lambda of: F.transform(
+                F.sequence(low, F.least(low + RANGE, F.lit(dim)) - 1), lambda d: total(of, d)))))
+        return F.when(text.isNotNull(), F.flatten(ranges))
     return embed
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)

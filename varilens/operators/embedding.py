@@ -35,9 +35,7 @@ def cosine_similarity(a, b) -> Column:
 
 
 def unit(a) -> Column:
-    n = norm(a)
-    return F.when(n == 0, F.transform(_dbl(a), lambda x: x * 0.0)).otherwise(
-        F.transform(_dbl(a), lambda x: x / n))
+    return _bind(norm(a), lambda n: F.transform(_dbl(a), lambda x: F.when(n == 0, x * 0.0).otherwise(x / n)))
 
 
 def cossim_across_variants(df: DataFrame, *, embedding_col: str = "embedding",
@@ -68,7 +66,8 @@ def embed_distinct(df: DataFrame, text_col: str, embed) -> DataFrame:
     """Embed each distinct text once with ``embed`` (Column -> Column) and join back, on a hash before the text."""
     keyed = df.withColumn("_hash", F.xxhash64(text_col))
     texts = keyed.select("_hash", text_col).where(F.col(text_col).isNotNull()).distinct()
-    emb = texts.select("_hash", text_col, embed(F.col(text_col)).alias("embedding"))
+    # As a generator's output: a later filter on the vectors does not embed the texts a second time.
+    emb = texts.select("_hash", text_col, F.explode(F.array(embed(F.col(text_col)))).alias("embedding"))
     return keyed.join(emb, ["_hash", text_col], "left").drop("_hash")
 
 
