@@ -277,3 +277,11 @@ def test_bleu_over_many_blocks_and_index_chunks(spark, monkeypatch):
     want = _mean_bleu(rows)
     assert got == {k: None if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}
     assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stems_of_token_lists_equal_the_columns(spark):
+    from pyspark.sql import functions as F
+    rows = [(1, ["running", "the", "cats", "running"]), (2, []), (3, None), (4, ["relational", "ab", "happy"])]
+    df = spark.createDataFrame(rows, "k int, t array<string>").coalesce(1)
+    got = {r.k: (r.a, r.b) for r in df.select("k", B.stems_udf("t").alias("a"), B.stem_tokens(F.col("t")).alias("b")).collect()}
+    assert got[1][0] == ["run", "the", "cat", "run"] and all(a == b for a, b in got.values())

@@ -17,6 +17,7 @@ reference) of a case's k non-null responses.  Neither is decomposable:
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -270,6 +271,18 @@ def stem_tokens(tokens) -> F.Column:
     return F.transform(tokens, lambda t: F.when(F.length(t) > 3, stem(t)).otherwise(t))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems_udf(tokens: pa.Array) -> pa.Array:
+    """``stem_tokens`` for many long texts: a batch stems each of its words once (``functions.porter``)."""
+    import pyarrow.compute as pc
+    from ..functions.porter import stem as plain
+    words = tokens.flatten().dictionary_encode()
+    stems = pa.array([plain(w) if len(w) > 3 else w for w in words.dictionary.to_pylist()], pa.string())
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0))
+    offsets = pa.concat_arrays([pa.array([0], ends.type), ends])
+    return pa.ListArray.from_arrays(offsets, stems.take(words.indices), mask=tokens.is_null())
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     from ..functions.lcs import lcs_length
@@ -300,8 +313,9 @@ def _rouge_units(df: DataFrame, case_col: str, idx_col: str, text_col: str, stem
              .groupBy(F.col(case_col).alias("case_id"), F.col(text_col).alias("text"))
              .agg(F.min(idx_col).alias("tid"), F.count(F.lit(1)).alias("m")))
     present = F.col("text").isNotNull()
-    return units.select("case_id", "tid", "m", F.when(present, F.size(rouge_tokens("text"))).alias("n"),
-                        F.when(present, _rouge_text("text", stem)).alias("tokens"))
+    cut = units.select("case_id", "tid", "m", F.when(present, rouge_tokens("text")).alias("tokens"))
+    tokens = stems_udf("tokens") if stem else F.col("tokens")
+    return cut.select("case_id", "tid", "m", F.size("tokens").alias("n"), tokens.alias("tokens"))
 
 
 def _lcs_group(table, starts):
