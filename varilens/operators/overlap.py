@@ -224,7 +224,7 @@ def bleu_across_variants(df: DataFrame, *, response_col: str, case_col: str = "c
     rows = rows.withColumn("chunk", F.floor(F.col("idx") / INDEX_CHUNK))
     texts = (rows.where(F.col("text").isNotNull() & F.col("idx").isNotNull()).groupBy("case_id", "text", "chunk")
              .agg(F.min("idx").alias("tid"), F.count(F.lit(1)).alias("m"), F.collect_list("idx").alias("at"))
-             .select("case_id", "tid", "m", "at", tokens.alias("tokens")).where(F.size("tokens") > 0))
+             .select("case_id", "tid", "m", "at", tokens.alias("tokens")))
     counted = (rows.select("case_id", F.unhex(F.md5("text")).alias("key"), "chunk", F.size(tokens).alias("len"), F.length("text").alias("chars"))
                .groupBy("case_id", "key", "chunk", "len", "chars").agg(F.count(F.lit(1)).alias("m")))
     given = F.col("key").isNotNull()
@@ -266,6 +266,11 @@ def rouge_tokens(text) -> F.Column:
     return F.filter(F.split(t, " "), lambda x: x != F.lit(""))
 
 
+def _worded(text) -> F.Column:
+    """Whether ``rouge_tokens`` finds a token."""
+    return F.lower(X.col_(text)).rlike("[a-z0-9]")
+
+
 def stem_tokens(tokens) -> F.Column:
     """Porter stems of the tokens longer than 3 characters, the others as they are."""
     return F.transform(tokens, lambda t: F.when(F.length(t) > 3, stem(t)).otherwise(t))
@@ -305,17 +310,15 @@ def _rouge_units(df: DataFrame, case_col: str, idx_col: str, text_col: str, stem
 
     Identical responses are scored once and weighted: ``m`` copies, id
     ``tid`` = their smallest index.  The copy count is a partial aggregate,
-    so a case made of one text repeated millions of times is one row.  ``n``
-    counts the tokens before stemming (stemming drops none), so the per-case
-    sums never run the stemmer.
+    so a case made of one text repeated millions of times is one row.
+    ``worded``: the text has a token, told without cutting it.
     """
     units = (df.where(F.col(case_col).isNotNull())
              .groupBy(F.col(case_col).alias("case_id"), F.col(text_col).alias("text"))
              .agg(F.min(idx_col).alias("tid"), F.count(F.lit(1)).alias("m")))
     present = F.col("text").isNotNull()
-    cut = units.select("case_id", "tid", "m", F.when(present, rouge_tokens("text")).alias("tokens"))
-    tokens = stems_udf("tokens") if stem else F.col("tokens")
-    return cut.select("case_id", "tid", "m", F.size("tokens").alias("n"), tokens.alias("tokens"))
+    tokens = F.when(present, rouge_tokens("text"))
+    return units.select("case_id", "tid", "m", _worded("text").alias("worded"), (stems_udf(tokens) if stem else tokens).alias("tokens"))
 
 
 def _lcs_group(table, starts):
@@ -328,7 +331,7 @@ def _rouge_pairs(units: DataFrame, sizes: DataFrame) -> DataFrame:
 
     The tokens of a text travel once a group of ``block_pairs``, not once a pair.
     """
-    u = units.where((F.col("n") > 0) & F.col("tid").isNotNull()).select(
+    u = units.where(F.col("worded") & F.col("tid").isNotNull()).select(
         "case_id", F.col("tid").cast("long").alias("tid"), F.col("m").cast("long").alias("m"), "tokens")
     long = T.LongType()
     scored = _over_groups(block_pairs(u, sizes), _lcs_group, {"i": long, "j": long, "weight": long, "ni": long, "nj": long, "lcs": long})
@@ -341,7 +344,7 @@ def _rouge_sizes(df: DataFrame, case_col: str, text_col: str) -> DataFrame:
     """Per case ``k`` responses, the score ``_self`` of its copies, ``texts`` and ``chars``, from digests of the texts."""
     counted = (df.where(F.col(case_col).isNotNull())
                .select(F.col(case_col).alias("case_id"), F.unhex(F.md5(text_col)).alias("key"), F.length(text_col).alias("chars"),
-                       F.lower(X.col_(text_col)).rlike("[a-z0-9]").alias("worded"))
+                       _worded(text_col).alias("worded"))
                .groupBy("case_id", "key", "chars", "worded").agg(F.count(F.lit(1)).alias("m")))
     return counted.groupBy("case_id").agg(
         F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("m"))), F.lit(0)).alias("k"),
